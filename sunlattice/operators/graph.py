@@ -1,0 +1,59 @@
+"""Walking graphs as edge tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def undirected(segments: DataFrame) -> DataFrame:
+    """a < b with the least cost of parallel segments (u, v, cost, ordinal) and the tag of the last; loops go."""
+    s = segments.filter("u <> v").withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v"))
+    return s.groupBy("a", "b").agg(F.min("cost").alias("cost"), F.max_by("tag", "ordinal").alias("tag"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """node, label of the component with most nodes (the least label on a tie), by least labels with shortcuts."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")).checkpoint()
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        step = labels.join(near, "node").join(top, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "top").alias("label")).checkpoint()
+        labels = step.select("node", "label")
+        if not step.filter("label < old").limit(1).count():
+            break
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    best = sizes.agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("best")).select((-F.col("best.neg")).alias("label"))
+    return labels.join(F.broadcast(best), "label")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, dist, prev from each source over undirected edges (a, b, cost).
+
+    Rounds relax the edges of what has changed; of equal costs the predecessor
+    that is nearer to the source, then the lower one, is kept.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost").union(edges.select("b", "a", "cost")).checkpoint()
+    best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(0.0).alias("before")).checkpoint()
+    front = best
+    while front.limit(1).count():
+        step = front.join(both, front.node == both.u).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("u").alias("prev"), F.col("dist").alias("before"))
+        all_ = best.union(step)
+        new = all_.groupBy("source", "node").agg(F.min(F.struct("dist", "before", F.coalesce("prev", F.lit(-1)).alias("prev"))).alias("m"))
+        new = new.select("source", "node", "m.dist", F.when(F.col("m.prev") >= 0, F.col("m.prev")).alias("prev"), "m.before").checkpoint()
+        front = new.join(best.select("source", "node", F.col("dist").alias("old")), ["source", "node"], "left").filter("old is null or dist < old").drop("old").checkpoint()
+        best = new
+    return best.drop("before")
+
+
+def edge_flows(paths: DataFrame, demand: DataFrame) -> DataFrame:
+    """a, b, flow: weights of trips (source, node, w) summed over the edges of their paths (source, node, dist, prev)."""
+    at = demand.groupBy("source", "node").agg(F.sum("w").alias("w")).checkpoint()
+    flows = None
+    while at.limit(1).count():
+        moved = at.join(paths.select("source", "node", "prev"), ["source", "node"]).filter("prev is not null").checkpoint()
+        part = moved.select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b"), "w")
+        flows = part if flows is None else flows.union(part)
+        at = moved.groupBy("source", F.col("prev").alias("node")).agg(F.sum("w").alias("w")).checkpoint()
+    return flows.groupBy("a", "b").agg(F.sum("w").alias("flow"))
