@@ -11,7 +11,8 @@ range its start in the whole corpus.
 
 Words are encoded once and remembered: pieces between ASCII white space never
 share a token in this tokenizer, so a text's ids are those of its pieces. The
-memory for that is bounded by `words_kept` pieces.
+memory for that is bounded by about three times `words_kept` pieces in each
+Python worker, which keeps it from task to task.
 
 A null text is empty: its only id is the end id. Equal doc_ids stand in order of
 their text's hash; a null doc_id comes first. Empty tables give no files and an
@@ -20,8 +21,10 @@ empty result. Columns besides doc_id and text are not written.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 
 from sunlattice.llm.common import buffers, prepare, shared_dir
 
+#: Points and commas after an ASCII letter or digit, up to the end of the piece.
+_TAIL = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
+
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
@@ -43,13 +49,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_kept = words_kept
+        #: What is known, and what was before that: words still in use move over, the rest is forgotten.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.words_kept:
-            self.known = {}
+    def _learn(self, words: set[bytes]) -> None:
+        again = words & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
         plain, odd = [], []
-        for w in words:
+        for w in words - again:
             s = w.decode()
             (plain if s.isascii() and "<|" not in s or unicodedata.is_normalized("NFC", s) and not any(x in s for x in self.specials) else odd).append((w, s))
         for i in range(0, len(odd), 512):
@@ -65,20 +73,38 @@ class Encoder:
             for k, (w, _) in enumerate(part):
                 self.known[w] = ids[at[k] : at[k + 1]].tobytes()
 
-    def encode(self, text: bytes) -> bytes:
-        out = []
-        words = text.split()
-        # A long text is taken in runs, as what is known may start anew in between.
-        for i in range(0, len(words), self.words_kept // 4):
-            run = words[i : i + self.words_kept // 4]
-            missing = {w for w in run if w not in self.known}
-            if missing:
-                self._learn(list(missing))
-                missing = {w for w in run if w not in self.known}
-                if missing:
-                    self._learn(list(missing))
-            out.append(b"".join(map(self.known.__getitem__, run)))
-        return b"".join(out)
+    def pieces(self, text: bytes) -> list[bytes]:
+        """White-space pieces in lower case, with points and commas that end a word on their own.
+
+        The tokenizer does both itself; done here, fewer different pieces are
+        left to encode. Texts that may hold special tokens stay as they are.
+        """
+        return text.split() if b"<|" in text else _TAIL.sub(rb" \1", text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. What a call adds to the memory is bounded by taking long texts in runs."""
+        out = [self.pieces(t) for t in texts]
+        if sum(map(len, out)) <= self.words_kept:
+            self._know(set().union(*out))
+            return [b"".join(map(self.known.__getitem__, w)) for w in out]
+        return [b"".join(self._run(w[i : i + self.words_kept]) for i in range(0, len(w), self.words_kept)) for w in out]
+
+    def _run(self, words: list[bytes]) -> bytes:
+        self._know(set(words))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _know(self, words: set[bytes]) -> None:
+        if len(self.known) > self.words_kept:
+            self.known, self.before = {}, self.known
+        missing = words.difference(self.known)
+        if missing:
+            self._learn(missing)
+
+
+@cache
+def _encoder(path: str, words_kept: int) -> Encoder:
+    """The worker's encoder."""
+    return Encoder(path, words_kept)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: int = 300_000, stripe_bytes: int = 16 << 20, stride: int = 1000) -> None:
@@ -89,14 +115,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, at, part = Encoder(tokenizer, words_kept), 0, TaskContext.get().partitionId()
+        encoder, at, part = _encoder(tokenizer, words_kept), 0, TaskContext.get().partitionId()
         for batch in batches:
             data, off = buffers(batch.column(1))
             lo = 0
             while lo < len(batch):
                 # A batch of output for about a megabyte of text.
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1)
-                parts = [encoder.encode(data[off[d] : off[d + 1]].tobytes()) + end for d in range(lo, hi)]
+                parts = [ids + end for ids in encoder.encode([data[off[d] : off[d + 1]].tobytes() for d in range(lo, hi)])]
                 n = np.array([len(p) // 4 for p in parts], np.int64)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), np.frombuffer(b"".join(parts), "<i4"))

@@ -173,6 +173,17 @@ def test_orc_round_trip(spark, docs, rows, none):
     assert orc_tokens.round_trip(none, tokenizer_path(), END_ID).count() == 0
 
 
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng, tokenizer, encoder = random.Random(6), Tokenizer.from_file(tokenizer_path()), orc_tokens.Encoder(tokenizer_path(), 50)
+    parts = ["a", "B", "don't", "I'LL", ".", ",", ",,", ".)", "'", "é", "e\u0301", "É", "\u0301", "ß", "İ", "Σ", "1", "²", " ", "  ", "\n", "\u00a0", "\u2028", "\x1c", "…", "’", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "日本", "ﬁ", "\0", "🙂", "Straße,", "x.y", "3.14."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 7):
+        assert encoder.encode([t.encode() for t in texts[i : i + 7]]) == want[i : i + 7]
+
+
 def test_orc_lookup_prunes_and_encoder_forgets(spark, docs, rows):
     path = common.shared_dir(spark, "lookup")
     orc_tokens.write(docs, path, tokenizer_path(), END_ID, words_kept=40)
