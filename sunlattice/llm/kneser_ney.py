@@ -4,7 +4,7 @@ One model of order `order` per language over letters: text is lower-cased
 letter by letter and every run of other characters is one space. Counts of all
 training rows are made in Spark; what reaches the driver is the table of
 character n-grams, of which at most `max_ngrams` per language (the most
-frequent) are used, whatever the size of the corpus.
+frequent; ties by hash) are used, whatever the size of the corpus.
 
 All models share one sorted array of n-gram hashes per order, with a column of
 log probabilities per language, interpolation already done: a position costs
@@ -225,10 +225,27 @@ class Models:
         return out, n
 
 
+def most_frequent(counts: DataFrame, most: int, tied: int = 32, buckets: int = 1024) -> DataFrame:
+    """The most frequent n-grams of each language in counts (lang, gram, n), `most` a language at most.
+
+    How many n-grams have each count says which counts fit as a whole, so no
+    language's n-grams are sorted. Counts up to `tied`, which many n-grams share,
+    are cut further into `buckets` by hash; of higher ones all stay or all go.
+    """
+    bucket = F.when(F.col("n") <= tied, F.pmod(F.xxhash64("gram"), F.lit(buckets))).otherwise(F.lit(0)).cast("int")
+    place = F.struct((-F.col("n")).alias("falling"), bucket.alias("bucket"))
+    steps = counts.groupBy("lang", place.alias("place")).agg(F.count("*").alias("rows"))
+    # As many rows a language as there are different counts and buckets.
+    upto = F.sum("rows").over(Window.partitionBy("lang").orderBy("place"))
+    last = steps.withColumn("upto", upto).filter(F.col("upto") <= most).groupBy("lang").agg(F.max("place").alias("last"))
+    # A row a language.
+    return counts.join(F.broadcast(last), "lang").filter(place <= F.col("last")).select(*counts.columns)
+
+
 def train(rows: DataFrame, order: int = 4, max_ngrams: int = 500_000) -> Models:
     """Models of rows (lang, text); a null lang or text trains nothing."""
     known = rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = count_grams(known, order).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= max_ngrams)
+    counts = most_frequent(saved(count_grams(known, order), "language-grams"), max_ngrams)
     table = counts.select("lang", "gram", "n").toArrow().combine_chunks()
     out = {}
     for lang in pc.unique(table["lang"]).to_pylist():
