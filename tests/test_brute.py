@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from sunlattice.functions import attributes, geometry
-from sunlattice.operators import graph, placement, raster, spatial
+from sunlattice.operators import graph, placement, raster, sequences, spatial
 from sunlattice.plans.registry import QUERIES
 from sunlattice.session import with_checkpoints
 
@@ -80,7 +80,27 @@ def test_greedy_takes_the_best_each_time(spark):
     assert len(got) == 8
 
 
-@pytest.mark.parametrize("name", ["greedy_place", "flow_accumulate"])
+def test_stops_of_a_name_merge_in_order(spark):
+    rng = random.Random(4)
+    stops = [(k, rng.choice(["a", "b", None]), rng.random() * 40, rng.random() * 40) for k in range(200)]
+    found = []
+    for k, name, x, y in stops:
+        for c in found:
+            n = len(c["x"])
+            if c["name"] == name and math.hypot(sum(c["x"]) / n - x, sum(c["y"]) / n - y) < 9:
+                break
+        else:
+            c = {"name": name, "first": k, "x": [], "y": []}
+            found.append(c)
+        c["x"].append(x)
+        c["y"].append(y)
+    schema = "id long, name string, x double, y double"
+    got = sequences.cluster_named(spark.createDataFrame([*stops, (900, "a", None, 1.0)], schema).repartition(5), 9.0).collect()
+    assert {(r.name, r.cluster, r.n) for r in got} == {(c["name"], c["first"], len(c["x"])) for c in found}
+    assert sequences.cluster_named(spark.createDataFrame([], schema), 9.0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["greedy_place", "flow_accumulate", "cluster_stops"])
 def test_registered(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
