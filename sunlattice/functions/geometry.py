@@ -63,3 +63,34 @@ def cell_of(x: Column, y: Column, xmin: float, ymax: float, res: float) -> tuple
 
 def cell_centre(i: Column, j: Column, xmin: float, ymax: float, res: float) -> tuple[Column, Column]:
     return xmin + (j + 0.5) * res, ymax - (i + 0.5) * res
+
+
+def _span(ring: Column, c: str) -> tuple[Column, Column]:
+    values = F.transform(ring, lambda p: p[c])
+    return F.array_min(values), F.array_max(values)
+
+
+def corner_mean(ring: Column) -> tuple[Column, Column]:
+    """Mean of the corners, as they are listed; null for a ring without any."""
+    x, y = (F.try_divide(F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]), F.size(ring)) for c in ("x", "y"))
+    return x, y
+
+
+def long_axis(ring: Column) -> Column:
+    """'x' or 'y', the direction in which a ring is longer; 'y' if both are alike."""
+    (x0, x1), (y0, y1) = _span(ring, "x"), _span(ring, "y")
+    return F.when(y1 - y0 >= x1 - x0, "y").otherwise("x")
+
+
+def in_central_part(ring: Column, level: float, x: Column, y: Column) -> Column:
+    """Whether a point is within the central share `level` of a ring's length, ends included."""
+    (x0, x1), (y0, y1) = _span(ring, "x"), _span(ring, "y")
+    near = lambda v, lo, hi: F.abs(v - (lo + hi) / 2) <= (hi - lo) / 2 * level
+    return F.when(long_axis(ring) == "y", near(y, y0, y1)).otherwise(near(x, x0, x1))
+
+
+def window_box(ring: Column, lat0: float, lon0: float, margin: float = 45.0) -> Column:
+    """Latitude and longitude of a ring's corner mean, and half its box with a margin on each side."""
+    (x0, x1), (y0, y1), (cx, cy) = _span(ring, "x"), _span(ring, "y"), corner_mean(ring)
+    lat, lon = lat0 + cy / METRES_LAT, lon0 + cx / (METRES_LON * F.cos(F.radians(F.lit(lat0))))
+    return F.array(F.bround(lat, 6), F.bround(lon, 6), F.bround((x1 - x0) / 2 + margin, 1), F.bround((y1 - y0) / 2 + margin, 1))

@@ -12,8 +12,8 @@ def undirected(segments: DataFrame) -> DataFrame:
     return s.groupBy("a", "b").agg(F.min("cost").alias("cost"), F.max_by("tag", "ordinal").alias("tag"))
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    """node, label of the component with most nodes (the least label on a tie), by least labels with shortcuts."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (the least node of its component) over edges (a, b), by least labels with shortcuts."""
     both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")).checkpoint()
     while True:
@@ -22,7 +22,12 @@ def largest_component(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").join(top, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "top").alias("label")).checkpoint()
         labels = step.select("node", "label")
         if not step.filter("label < old").limit(1).count():
-            break
+            return labels
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """node, label of the component with most nodes (the least label on a tie)."""
+    labels = components(edges)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     best = sizes.agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("best")).select((-F.col("best.neg")).alias("label"))
     return labels.join(F.broadcast(best), "label")
@@ -57,3 +62,21 @@ def edge_flows(paths: DataFrame, demand: DataFrame) -> DataFrame:
         flows = part if flows is None else flows.union(part)
         at = moved.groupBy("source", F.col("prev").alias("node")).agg(F.sum("w").alias("w")).checkpoint()
     return flows.groupBy("a", "b").agg(F.sum("w").alias("flow"))
+
+
+def pair_usage(paths: DataFrame, doors: DataFrame) -> DataFrame:
+    """a, b, flow: walks between all pairs of doors (id, node, w) that paths connect, each pair once with the product of its weights.
+
+    paths: from the node of each door. Pairs come from joins on nodes; two doors at one node walk nowhere.
+    """
+    ends = paths.join(doors.select(F.col("id").alias("to"), "node", F.col("w").alias("w_to")), "node")
+    pairs = ends.join(doors.select(F.col("id").alias("from"), F.col("node").alias("source"), F.col("w").alias("w_from")), "source").filter("from < to and source <> node")
+    return edge_flows(paths, pairs.select("source", "node", (F.col("w_from") * F.col("w_to")).alias("w")))
+
+
+def shade_of_routes(edges: DataFrame, limit: float) -> DataFrame:
+    """One row, shade (percent) and hours: edges (flow, len, covered, hours) by flow times length; covered ones have no sun, others without hours are left out."""
+    h = F.when(F.coalesce("covered", F.lit(False)), F.lit(0.0)).otherwise(F.col("hours"))
+    rows = edges.withColumn("h", h).filter("h is not null").withColumn("w", F.col("flow") * F.col("len"))
+    share = lambda v: F.try_divide(F.sum(F.col("w") * v), F.sum("w"))
+    return rows.agg((100 * share((F.col("h") < limit).cast("int"))).alias("shade"), share(F.col("h")).alias("hours"))

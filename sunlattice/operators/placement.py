@@ -5,15 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def greedy(cells: DataFrame, kernel: list[tuple[int, int, float]], spacing: float, most: int, stop_share: float = 0.05) -> DataFrame:
+def greedy(cells: DataFrame, kernel: list[tuple[int, int, float]], spacing: float, most: int, stop_share: float = 0.05, seeds: tuple[tuple[float, float, float, int], ...] = ()) -> DataFrame:
     """kind, step, i, j, gain: objects placed on the cells (kind, i, j, weight, sun) of each kind.
 
     A step takes the candidate whose kernel removes most weighed sun (the first
     in row order on a tie), removes it, and blocks what is nearer than the
     spacing; it ends when the gain falls under a share of the first. Kinds run
-    in parallel, each a grid of its own; steps depend on each other.
+    in parallel, each a grid of its own; steps depend on each other. Each seed
+    (i, j, radius in cells, number) is served first, with cells within its radius
+    only and without that end; the rest of the budget then goes anywhere.
     """
     reach = max(max(abs(a), abs(b)) for a, b, _ in kernel)
 
@@ -35,22 +38,33 @@ def greedy(cells: DataFrame, kernel: list[tuple[int, int, float]], spacing: floa
 
         for r, c in zip(i, j):
             benefit[r, c] = score(r, c)
-        out, first = [], None
+        out = []
         rows, cols = np.indices(shape)
-        while len(out) < most:
-            at = int(np.where(free, benefit, -np.inf).argmax())
-            r, c = divmod(at, shape[1])
-            gain = benefit[r, c]
-            if not free[r, c] or gain <= 0 or first is not None and gain < stop_share * first:
-                break
-            first = gain if first is None else first
-            out.append((kind, len(out), r - reach + i0, c - reach + j0, gain))
-            part = (slice(r - reach, r + reach + 1), slice(c - reach, c + reach + 1))
-            sun[part] *= 1 - shade
-            free &= (rows - r) ** 2 + (cols - c) ** 2 >= spacing * spacing
-            near = (np.abs(i - r) <= 2 * reach) & (np.abs(j - c) <= 2 * reach)
-            for a, b in zip(i[near], j[near]):
-                benefit[a, b] = score(a, b)
+        for ci, cj, radius, count in [*seeds, (0, 0, None, most)]:
+            first, allowed = None, True if radius is None else (rows - reach + i0 - ci) ** 2 + (cols - reach + j0 - cj) ** 2 <= radius * radius
+            until = most if radius is None else min(most, len(out) + count)
+            while len(out) < until:
+                fit = free & allowed
+                at = int(np.where(fit, benefit, -np.inf).argmax())
+                r, c = divmod(at, shape[1])
+                gain = benefit[r, c]
+                if not fit[r, c] or gain <= 0 or radius is None and first is not None and gain < stop_share * first:
+                    break
+                first = gain if first is None else first
+                out.append((kind, len(out), r - reach + i0, c - reach + j0, gain))
+                part = (slice(r - reach, r + reach + 1), slice(c - reach, c + reach + 1))
+                sun[part] *= 1 - shade
+                free &= (rows - r) ** 2 + (cols - c) ** 2 >= spacing * spacing
+                near = (np.abs(i - r) <= 2 * reach) & (np.abs(j - c) <= 2 * reach)
+                for a, b in zip(i[near], j[near]):
+                    benefit[a, b] = score(a, b)
         return pd.DataFrame(out, columns=["kind", "step", "i", "j", "gain"])
 
     return cells.groupBy("kind").applyInPandas(place, "kind string, step long, i long, j long, gain double")
+
+
+def sacrifice(seeded: DataFrame, free: DataFrame) -> DataFrame:
+    """kind, placed, benefit, benefit_free, sacrifice (percent) of a placement with seeds against the one without."""
+    a = seeded.groupBy("kind").agg(F.count("*").alias("placed"), F.sum("gain").alias("benefit"))
+    b = free.groupBy("kind").agg(F.sum("gain").alias("benefit_free"))
+    return a.join(b, "kind").withColumn("sacrifice", 100 * (1 - F.try_divide("benefit", "benefit_free")))

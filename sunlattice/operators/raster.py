@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,8 +69,8 @@ def stamp_crowns(trees: DataFrame, res: float) -> DataFrame:
     return t.withColumn("rr", rr).filter("rr <= 1").groupBy("i", "j").agg(F.max(F.col("base") + half + rise).alias("top"), F.min(F.col("base") + half - rise).alias("bottom"))
 
 
-#: Ground classes, and those of mineral surface.
-PAVED, GRASS, WATER, SPORT, ASPHALT, FOOTPATH, BUILDING = 0, 1, 2, 3, 4, 5, 9
+#: Ground classes.
+PAVED, ASPHALT, FOOTPATH, GRASS, WATER, SPORT, BUILDING = 0, 1, 2, 3, 4, 5, 9
 
 
 def paint_cover(area: Column, last_road: Column, survey_path: Column, survey_asphalt: Column, survey_sport: Column, survey_water: Column, survey_grass: Column, building: Column) -> Column:
@@ -81,6 +81,29 @@ def paint_cover(area: Column, last_road: Column, survey_path: Column, survey_asp
     return F.when(building, BUILDING).otherwise(soft)
 
 
+def disc_means(cells: DataFrame, points: DataFrame, radius: float, xmin: float, ymax: float, res: float, values: list[str]) -> DataFrame:
+    """name, month and the means of the values over the cells (month, i, j, ground, values) on the ground whose centre is within the radius of each point (name, x, y), the edge included."""
+    span = lambda a: F.sequence(F.floor((a - radius) / res).cast("long"), F.floor((a + radius) / res).cast("long"))
+    near = points.withColumn("i", F.explode(span(F.lit(ymax) - F.col("y")))).withColumn("j", F.explode(span(F.col("x") - xmin)))
+    dx, dy = xmin + (F.col("j") + 0.5) * res - F.col("x"), ymax - (F.col("i") + 0.5) * res - F.col("y")
+    near = near.filter(dx * dx + dy * dy <= radius * radius).select("name", "i", "j")
+    return cells.filter("ground").join(near, ["i", "j"]).groupBy("name", "month").agg(*[F.avg(v).alias(v) for v in values])
+
+
+def paint_rings(cells: DataFrame) -> DataFrame:
+    """i, j, h of cells (i, j, ordinal, kind, h) under building rings, as if painted in order of ordinal.
+
+    Rings of buildings with holes come first: an 'outer' one raises the cell to
+    its height, an 'inner' one empties it, whatever stood there. 'simple' ones
+    raise it afterwards. So what counts is the last inner ring, and the highest
+    of the outer ones after it and of the simple ones. Null heights raise
+    nothing; 0 is the ground.
+    """
+    emptied = F.max(F.when(F.col("kind") == "inner", F.col("ordinal"))).over(Window.partitionBy("i", "j"))
+    stands = (F.col("kind") == "simple") | ((F.col("kind") == "outer") & (F.col("emptied").isNull() | (F.col("ordinal") > F.col("emptied"))))
+    return cells.withColumn("emptied", emptied).groupBy("i", "j").agg(F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(stands, F.col("h"))), F.lit(0.0))).alias("h"))
+
+
 def ray_offsets(elevation: float, azimuth: float, res: float, highest: float, most: int = 220) -> list[tuple[int, int, float]]:
     """Cells that a ray towards the sun passes, with its height there; ends above the highest obstacle.
 

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunlattice.functions import geometry
+from sunlattice.operators import graph
+
 
 def polylines(objects: DataFrame, least: int = 3) -> DataFrame:
     """tile, ring, points of drawing objects (tile, pos, kind, x, y) in order of pos.
@@ -72,3 +75,54 @@ def stems(segments: DataFrame, spacing: float) -> DataFrame:
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("len") / spacing) - 1)))
     t = F.col("k") * spacing / F.col("len")
     return rows.select("id", "k", (F.col("ax") + t * dx).alias("x"), (F.col("ay") + t * dy).alias("y"))
+
+
+def chain_rings(lines: DataFrame, least: float = 1.0, most: float = 60_000.0) -> DataFrame:
+    """tile, class, ring of closed rings from boundary lines (tile, class, pos, points), with areas between the limits.
+
+    A line of four points or more that ends where it begins is a ring. Others
+    are followed from the first in order of pos: what comes next is the first
+    unused line that touches the end, either way round, until the chain closes
+    or none is left. Lines that touch are one connected part, found in Spark, and
+    parts are chained in parallel: a task holds one part's lines, not a tile's.
+    Rings leave out the last point. Null or empty lines give nothing.
+    """
+    p, n = F.col("points"), F.size("points")
+    rows = lines.filter("points is not null and size(points) >= 2")
+    end = lambda q: F.concat_ws("|", F.col("tile").cast("string"), F.col("class").cast("string"), q.x.cast("string"), q.y.cast("string"))
+    rows = rows.withColumn("a", end(p[0])).withColumn("b", end(F.element_at(p, -1)))
+    whole = (n >= 4) & (F.col("a") == F.col("b"))
+    closed = rows.filter(whole).select("tile", "class", F.slice("points", F.lit(1), n - 1).alias("ring"))
+    loose = rows.filter(~whole).checkpoint()
+    part = graph.components(loose.select("a", "b").distinct()).select(F.col("node").alias("a"), "label")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        paths = [[(q["x"], q["y"]) for q in points] for points in pdf["points"]]
+        touching: dict[tuple, list[int]] = {}
+        for k, path in enumerate(paths):
+            for corner in {path[0], path[-1]}:
+                touching.setdefault(corner, []).append(k)
+        free, rings = dict.fromkeys(range(len(paths))), []
+        while free:
+            first = next(iter(free))
+            del free[first]
+            ring = list(paths[first])
+            while ring[0] != ring[-1]:
+                after = next((k for k in touching[ring[-1]] if k in free), None)
+                if after is None:
+                    break
+                del free[after]
+                step = paths[after] if paths[after][0] == ring[-1] else paths[after][::-1]
+                ring.extend(step[1:])
+            if len(ring) >= 4 and ring[0] == ring[-1]:
+                rings.append(ring[:-1])
+        out = {c: [pdf[c].iloc[0]] * len(rings) for c in ("tile", "class")} | {c: [[p[k] for p in r] for r in rings] for k, c in enumerate("xy")}
+        # As objects, so that empty columns have no type of their own.
+        return pd.DataFrame(out, dtype=object)
+
+    types = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    grouped = loose.join(part, "a").select("label", "tile", "class", "pos", "points").groupBy("label")
+    chained = grouped.applyInPandas(chain, f"tile {types['tile']}, class {types['class']}, x array<double>, y array<double>").select("tile", "class", F.arrays_zip("x", "y").alias("ring"))
+    area = F.abs(geometry.signed_area(F.col("ring")))
+    return closed.union(chained).filter(area.between(least, most))

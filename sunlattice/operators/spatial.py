@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunlattice.functions import geometry
+
 
 def near_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = True) -> DataFrame:
     """Pairs of left (id, x, y) and right (rid, rx, ry) within a radius, with their squared distance d2.
@@ -33,16 +35,15 @@ def local_median(points: DataFrame, samples: DataFrame, radius: float, least: in
     return joined.select("id", F.when(F.col("n") >= least, F.col("near")).otherwise(F.col("whole")).alias("z"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def first_wins(points: DataFrame, radius: float) -> DataFrame:
-    """Points (id, x, y) that survive a greedy scan in order of id: one goes if a kept one is nearer than the radius.
+def settle(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of points whose id a scan keeps, if a kept `before` drops an `id` for each row of pairs (id, before).
 
     A dropped point suppresses nobody, so this is no anti-join. Points are
     decided in rounds: those without an undecided or kept earlier neighbour
     stay, those with a kept one go. Rounds shrink the open pairs and are written
     out, so each job's plan stays short.
     """
-    right = points.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = near_join(points, right, radius, inclusive=False).filter("rid < id").select("id", F.col("rid").alias("before")).checkpoint()
+    pairs = pairs.checkpoint()
     kept = points.select("id").join(pairs.select("id").distinct(), "id", "left_anti").checkpoint()
     fresh = kept
     while pairs.limit(1).count():
@@ -57,6 +58,39 @@ def first_wins(points: DataFrame, radius: float) -> DataFrame:
     return points.join(kept, "id", "left_semi")
 
 
+def _twins(points: DataFrame, *more: str) -> DataFrame:
+    return points.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), *more)
+
+
+def first_wins(points: DataFrame, radius: float) -> DataFrame:
+    """Points (id, x, y) that survive a greedy scan in order of id: one goes if a kept one is nearer than the radius."""
+    return settle(points, near_join(points, _twins(points), radius, inclusive=False).filter("rid < id").select("id", F.col("rid").alias("before")))
+
+
+def first_wins_within(points: DataFrame, most: float) -> DataFrame:
+    """As first_wins, each point with its own distance `apart` (`most` at most); a kept one at that distance drops it too."""
+    near = near_join(points, _twins(points), most).filter("rid < id and d2 <= apart * apart")
+    return settle(points, near.select("id", F.col("rid").alias("before")))
+
+
+def undominated(points: DataFrame, radius: float, gain: float) -> DataFrame:
+    """Points (id, x, y, d) without a kept one nearer than the radius whose d is less by more than the gain."""
+    near = near_join(points, _twins(points, F.col("d").alias("rd")), radius, inclusive=False).filter(F.col("rd") < F.col("d") - gain)
+    return settle(points, near.select("id", F.col("rid").alias("before")))
+
+
+def in_rings(rings: DataFrame, samples: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Pairs of rings (id, part, ring) and samples (rid, rx, ry, ...) inside them.
+
+    Rings are dealt to the square cells of their box and samples to theirs: an
+    equi-join, then the exact test. A sample is in one cell, so no pair comes twice.
+    """
+    span = lambda c: F.sequence(F.floor(F.array_min(F.transform("ring", lambda p: p[c])) / cell), F.floor(F.array_max(F.transform("ring", lambda p: p[c])) / cell))
+    boxes = rings.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    placed = samples.withColumn("cx", F.floor(F.col("rx") / cell)).withColumn("cy", F.floor(F.col("ry") / cell))
+    return boxes.join(placed, ["cx", "cy"]).drop("cx", "cy").filter(geometry.contains(F.col("ring"), F.col("rx"), F.col("ry")))
+
+
 def ranked(rows: DataFrame, metric: str, tie: str, most: int) -> DataFrame:
     """The first rows by falling metric, ties by the other column, with their rank."""
     top = rows.orderBy(F.desc(metric), tie).limit(most)

@@ -58,10 +58,10 @@ def crown_stamp(spark, sf_dir):
     return raster.stamp_crowns(trees, RES).select("i", "j", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
 
 
-@query("""WITH l AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 1 END AS area, CASE WHEN p_partkey % 7 = 0 THEN 4 WHEN p_partkey % 7 = 1 THEN 5 END AS road,
+@query("""WITH l AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 3 END AS area, CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 7 = 1 THEN 2 END AS road,
  p_partkey % 3 = 0 AS sp, p_partkey % 11 = 0 AS sa, p_partkey % 13 = 0 AS ss, p_partkey % 17 = 0 AS sw, p_partkey % 19 = 0 AS sg, p_size > 45 AS b FROM part),
-g AS (SELECT *, coalesce(road, area, 0) AS c0 FROM l), h AS (SELECT *, CASE WHEN c0 IN (0, 4, 5) THEN CASE WHEN sa THEN 4 WHEN sp THEN 5 ELSE c0 END ELSE c0 END AS c1 FROM g)
-SELECT CAST(CASE WHEN b THEN 9 WHEN sg THEN 1 WHEN sw THEN 2 WHEN ss THEN 3 ELSE c1 END AS INT) AS cover, count(*) AS n, sum(k) AS keys FROM h GROUP BY 1""")
+g AS (SELECT *, coalesce(road, area, 0) AS c0 FROM l), h AS (SELECT *, CASE WHEN c0 IN (0, 1, 2) THEN CASE WHEN sa THEN 1 WHEN sp THEN 2 ELSE c0 END ELSE c0 END AS c1 FROM g)
+SELECT CAST(CASE WHEN b THEN 9 WHEN sg THEN 3 WHEN sw THEN 4 WHEN ss THEN 5 ELSE c1 END AS INT) AS cover, count(*) AS n, sum(k) AS keys FROM h GROUP BY 1""")
 def cover_paint(spark, sf_dir):
     """Ground class of cells under areas, roads, survey layers and buildings."""
     k = F.col("p_partkey")
