@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +97,45 @@ def window_box(ring: Column, lat0: float, lon0: float, margin: float = 45.0) ->
     (x0, x1), (y0, y1), (cx, cy) = _span(ring, "x"), _span(ring, "y"), corner_mean(ring)
     lat, lon = lat0 + cy / METRES_LAT, lon0 + cx / (METRES_LON * F.cos(F.radians(F.lit(lat0))))
     return F.array(F.bround(lat, 6), F.bround(lon, 6), F.bround((x1 - x0) / 2 + margin, 1), F.bround((y1 - y0) / 2 + margin, 1))
+
+
+#: Half axis (metres) and flattening of the ellipsoid, scale on the meridian and false easting of the grid.
+HALF_AXIS, FLATTENING, GRID_SCALE, FALSE_EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+
+
+def grid_place(lat, lon, meridian: float, lib=F):
+    """Easting and northing (northern half) of a transverse Mercator grid; columns, or arrays where lib is numpy."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    ep2 = e2 / (1 - e2)
+    phi = lib.radians(lat)
+    sin, cos, tan = lib.sin(phi), lib.cos(phi), lib.tan(phi)
+    nu, t, c = HALF_AXIS / lib.sqrt(1 - e2 * sin * sin), tan * tan, ep2 * cos * cos
+    a = lib.radians(lon - meridian) * cos
+    arc = HALF_AXIS * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
+        - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * lib.sin(2 * phi)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * lib.sin(4 * phi)
+        - (35 * e2**3 / 3072) * lib.sin(6 * phi)
+    )
+    a2 = a * a
+    east = nu * a * (1 + a2 * ((1 - t + c) / 6 + a2 * (5 - 18 * t + t * t + 72 * c - 58 * ep2) / 120))
+    north = arc + nu * tan * a2 * (0.5 + a2 * ((5 - t + 9 * c + 4 * c * c) / 24 + a2 * (61 - 58 * t + t * t + 600 * c - 330 * ep2) / 720))
+    return FALSE_EASTING + GRID_SCALE * east, GRID_SCALE * north
+
+
+def from_grid(lat0: float, lon0: float, meridian: float, reach: float = 0.005) -> Callable[[Column, Column], tuple[Column, Column]]:
+    """A map of eastings and northings to local metres: the affine fit over a lattice of places around the origin.
+
+    The lattice has 81 places whatever the data, so the fit is made once, on the driver.
+    """
+    lat, lon = (v.ravel() for v in np.meshgrid(lat0 + np.linspace(-reach, reach, 9), lon0 + np.linspace(-reach, reach, 9)))
+    east, north = grid_place(lat, lon, meridian, np)
+    e0, n0 = float(east.mean()), float(north.mean())
+    local = np.column_stack([(lon - lon0) * METRES_LON * np.cos(np.radians(lat0)), (lat - lat0) * METRES_LAT])
+    fit = np.linalg.lstsq(np.column_stack([east - e0, north - n0, np.ones(len(east))]), local, rcond=None)[0].tolist()
+
+    def place(e: Column, n: Column) -> tuple[Column, Column]:
+        x, y = (fit[0][k] * (e - e0) + fit[1][k] * (n - n0) + fit[2][k] for k in (0, 1))
+        return x, y
+
+    return place

@@ -92,6 +92,18 @@ def test_rules_of_tags_and_boxes(spark):
     assert (row.a, row.b, row.c, row.w[2:]) == ("x", True, False, [60.0, 50.0])
 
 
+def test_survey_grid_to_local(spark):
+    # On the meridian the easting is the false one, and the northing the scaled arc of 45 degrees (4984944.378 m).
+    e, n = geometry.grid_place(F.lit(45.0), F.lit(9.0), 9.0)
+    row = spark.range(1).select(e.alias("e"), n.alias("n")).first()
+    assert row.e == 500000.0 and abs(row.n - 0.9996 * 4984944.378) < 0.01
+    places = spark.createDataFrame([(45.48 + a / 1000, 9.23 + b / 1000) for a in range(-5, 6) for b in range(-5, 6)], "lat double, lon double")
+    x, y = geometry.from_grid(45.48, 9.23, 9.0)(*geometry.grid_place(F.col("lat"), F.col("lon"), 9.0))
+    u, v = geometry.to_local(F.col("lat"), F.col("lon"), F.lit(45.48), F.lit(9.23))
+    # The grid bends by some 3 cm over this square, which no affine map takes in.
+    assert places.select(F.max(geometry.distance(x, y, u, v))).first()[0] < 0.06
+
+
 def test_chains_follow_the_order(spark):
     with_checkpoints(spark)
     rng = random.Random(5)
