@@ -24,13 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kneser_ney.keep_known(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 90, width: int = 3) -> DataFrame:
     """One document of each group of linked ones: the one with the least id.
 
+    Linked are documents whose sets of shingles of `width` words have a Jaccard similarity of `percent` / 100 or more.
     Documents without words are no group. Rows that repeat id and text are one document.
     """
     prepare(spark)
-    found = signature_tree.jaccard_components(docs.select("doc_id", "text"), 90)
+    found = signature_tree.jaccard_components(docs.select("doc_id", "text"), percent, width)
     first = found.filter(doc_key() == doc_key("component_id")).select(doc_key().alias("first_id"), "n_shingles").distinct()
     kept = docs.join(first, doc_key() == F.col("first_id"), "left_semi")
     twice = docs.groupBy("doc_id").count().filter("count > 1").select(doc_key().alias("twice_id"))
@@ -40,6 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage: near duplicates on five-word shingles at 0.8. The defaults above are those of op5."""
+    return near_duplicates(spark, docs, sf_dir, 80, 5)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of benchmark items; those that are mostly such go."""
     return suffix_automaton.decontaminate(docs, table(spark, sf_dir, "benchmark"), 10, 0.5)
@@ -56,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(docs, tokenizer_path(), END_ID)
 
 
-STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("token_output", tokens)]
+STAGES = [("language_id", language), ("near_duplicates", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("token_output", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

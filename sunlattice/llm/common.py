@@ -131,22 +131,28 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of three-word shingles by position of their first word, and the mask of those within one row.
+def shingles(h: np.ndarray, first: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles of `width` (two or more) words by position of their first word, and the mask of those within one row.
 
-    A row of one or two words has its whole sequence as its only shingle, at its first word.
+    A row of fewer words has its whole sequence as its only shingle, at its first word.
     """
     n = len(h)
     out, valid = np.zeros(n, np.uint64), np.zeros(n, bool)
-    if n >= 3:
-        out[:-2] = mix(h[:-2] * _K1 + mix(h[1:-1] * _K2 + mix(h[2:] * _K3)))
+    if n >= width:
+        rest = mix(h[width - 1 :] * _K3)
+        for k in range(width - 2, 0, -1):
+            rest = mix(h[k : n - width + 1 + k] * _K2 + rest)
+        out[: n - width + 1] = mix(h[: n - width + 1] * _K1 + rest)
     counts = np.diff(first)
     last = np.repeat(first[1:], counts)
-    valid[:] = np.arange(n) + 2 < last
-    for k in (1, 2):
+    valid[:] = np.arange(n) + width - 1 < last
+    for k in range(1, width):
         at = first[:-1][counts == k]
         if len(at):
-            out[at] = mix(h[at] * _K1 + (h[at + 1] * _K2 if k == 2 else np.uint64(0)) + np.uint64(k))
+            rest = h[at + k - 1] * _K2 if k > 1 else np.uint64(0)
+            for j in range(k - 2, 0, -1):
+                rest = h[at + j] * _K2 + mix(rest)
+            out[at] = mix(h[at] * _K1 + rest + np.uint64(k))
             valid[at] = True
     return out, valid
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees.
 
-Documents are compared by their sets of word shingles and joined when the
-Jaccard similarity reaches `percent` / 100. The result is one row a document
+Documents are compared by their sets of shingles of `width` words and joined
+when the Jaccard similarity reaches `percent` / 100. The result is one row a document
 with its component, not the pairs.
 
 How it runs:
@@ -50,12 +50,12 @@ FAN = 8
 BLOCK = 2048
 
 
-def _sets(column: pa.Array):
+def _sets(column: pa.Array, width: int):
     """(row, sorted distinct shingle hashes) of each row of a batch."""
     none = np.zeros(0, np.uint64)
     for lo, hi, data, off in slices(column):
         words = Words(data, off, SPACED, lower=True)
-        h, valid = shingles(words.hashes(), words.first)
+        h, valid = shingles(words.hashes(), words.first, width)
         for d in range(hi - lo):
             s, e = words.first[d], words.first[d + 1]
             yield lo + d, np.unique(h[s:e][valid[s:e]]) if e > s else none
@@ -77,13 +77,13 @@ def _print(hashes: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     """doc_id, n, fingerprint (f1, f2), prefix and signature of each document's shingle set; written to the shared folder."""
 
     def fill(batch, cells):
         for _, _, data, off in slices(batch.column(0)):
             words = Words(data, off, SPACED, lower=True)
-            h, valid = shingles(words.hashes(), words.first)
+            h, valid = shingles(words.hashes(), words.first, width)
             cells += np.bincount((h[valid] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(cells))
 
     counts = docs.sparkSession.sparkContext.broadcast(hashed_counts(docs.select("text"), fill, COUNT_BITS))
@@ -92,7 +92,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
         hits = counts.value
         for batch in batches:
             ns, f1, f2, prefixes, signatures = [], [], [], [], []
-            for _, s in _sets(batch.column(1)):
+            for _, s in _sets(batch.column(1), width):
                 n = len(s)
                 a, b = _print(s)
                 ns.append(n), f1.append(a), f2.append(b)
@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame, percent: int) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n int, f1 long, f2 long, prefix array<long>, sig binary"), "jaccard-sets")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cid and whole shingle set of each class in `wanted` (cid), made anew from the texts.
 
     A Bloom filter of fixed size keeps most other texts out of the shuffle; the
@@ -129,7 +129,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
         for batch in batches:
             ids = batch.column(0).to_numpy()
             rows, f1, f2, sets = [], [], [], []
-            for row, s in _sets(batch.column(1)):
+            for row, s in _sets(batch.column(1), width):
                 if len(s):
                     a, b = _print(s)
                     if all((there[h >> 3] >> (7 - (h & 7))) & 1 for (h,) in _places(np.array([a]), ids[row : row + 1], bits)):
@@ -311,9 +311,9 @@ def _tree_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percen
     return pairs
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), n_links (of each document's class, as far as links were counted)."""
-    sets = shingle_sets(docs, percent)
+    sets = shingle_sets(docs, percent, width)
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     classes = saved(first.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     of_doc = saved(sets.select("doc_id", "n", "f1", "f2"), "jaccard-docs")
@@ -335,14 +335,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     star = shared.filter(F.col("cid") != F.col("head")).filter(rest * (100 + percent) >= percent * (F.col("n") + F.col("head_n")))
     star = saved(star.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct(), "jaccard-star")
     close = saved(_possible(star, classes, percent), "jaccard-close")
-    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct())
+    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), width)
     links = saved(_linked(close, items, percent), "jaccard-links")
     discard(items, close)
     labels = components(links, "jaccard-labels")
 
     tree = _tree_pairs(shared, labels, classes, percent)
     more = saved(_possible(tree.join(star, ["a", "b"], "left_anti"), classes, percent), "jaccard-more")
-    items = _whole_sets(docs, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct())
+    items = _whole_sets(docs, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct(), width)
     links = saved(links.union(_linked(more, items, percent)), "jaccard-links")
     discard(items, more, tree, star, shared)
     labels = components(links, "jaccard-labels")
