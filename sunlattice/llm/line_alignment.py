@@ -6,8 +6,15 @@ smallest doc_id), so a line shared by any number of documents costs one link
 each and no frequency is too high. The two documents of a link are aligned by patience
 diff over their lines: lines that occur once in both anchor a longest common
 order, blocks grow from the anchors over equal neighbours, and gaps are aligned
-again. Aligned blocks with `min_words` words or more are deleted from the later
-document. The first holder of a line keeps it, so one copy of each remains.
+again. In a gap without such lines the k-th occurrences of a line in both are
+the anchors, so a gap is left only when it has no common line. Aligned blocks
+with `min_words` words or more are deleted from the later document. The first
+holder of a line keeps it, so one copy of each remains.
+
+An alignment keeps one order and uses each line once. With `moved`, lines that
+it leaves but both texts have are matched again with the whole first holder, by
+a suffix automaton over its lines: every block of `min_words` words or more that
+stands anywhere in it is deleted, moved or repeated as often as it may be.
 
 Texts equal as a whole are one text in this: the smallest id keeps it, the
 others lose all their lines.
@@ -61,24 +68,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Common blocks (start in a, start in b, length) of a patience diff, in order."""
+    """Common blocks (start in a, start in b, length) of a patience diff, in order; no gap between them has a common line."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         anchors = _anchors(a, a0, a1, b, b0, b1)
         if not anchors:
-            # Equal ends of a gap without anchors.
-            k = 0
-            while a0 + k < a1 and b0 + k < b1 and a[a0 + k] == b[b0 + k]:
-                k += 1
-            if k:
-                out.append((a0, b0, k))
-            m = 0
-            while a0 + k < a1 - m and b0 + k < b1 - m and a[a1 - 1 - m] == b[b1 - 1 - m]:
-                m += 1
-            if m:
-                out.append((a1 - m, b1 - m, m))
             continue
         pa_, pb = a0, b0
         for i, j in anchors:
@@ -100,9 +96,12 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _anchors(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
-    """Lines that occur once in both parts, in the longest order that both have."""
+    """Lines that occur once in both parts, or else the k-th occurrences in both, in the longest order that both have."""
     once_a, once_b = _once(a, a0, a1), _once(b, b0, b1)
     pairs = sorted((i, once_b[x]) for x, i in once_a.items() if x in once_b)
+    if not pairs:
+        kth_a, kth_b = _kth(a, a0, a1), _kth(b, b0, b1)
+        pairs = sorted((i, kth_b[x]) for x, i in kth_a.items() if x in kth_b)
     # Longest increasing run of places in b.
     ends: list[int] = []
     chain: list[int] = []
@@ -126,7 +125,57 @@ def _once(x, lo, hi) -> dict[int, int]:
     return {k: i for k, i in out.items() if i >= 0}
 
 
-def overlaps(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
+def _kth(x, lo, hi) -> dict[tuple[int, int], int]:
+    seen: dict[int, int] = {}
+    out = {}
+    for i in range(lo, hi):
+        k = seen[x[i]] = seen.get(x[i], -1) + 1
+        out[x[i], k] = i
+    return out
+
+
+def blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Places of b in a block of `min_words` words (`words` of each place) or more that stands anywhere in a, in order."""
+    # Suffix automaton of a: states by longest length, suffix link and moves.
+    length, link, moves = [0], [-1], [{}]
+    last = 0
+    for x in a:
+        new = len(length)
+        length.append(length[last] + 1), link.append(0), moves.append({})
+        p = last
+        while p >= 0 and x not in moves[p]:
+            moves[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = moves[p][x]
+            if length[p] + 1 < length[q]:
+                twin = len(length)
+                length.append(length[p] + 1), link.append(link[q]), moves.append(dict(moves[q]))
+                while p >= 0 and moves[p].get(x) == q:
+                    moves[p][x] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+            else:
+                link[new] = q
+        last = new
+    total = [0]
+    for n in words:
+        total.append(total[-1] + n)
+    out: list[int] = []
+    state = size = 0
+    for k, x in enumerate(b):
+        while state and x not in moves[state]:
+            state = link[state]
+            size = length[state]
+        if x in moves[state]:
+            state, size = moves[state][x], size + 1
+        # The longest block that ends here.
+        if size and total[k + 1] - total[k + 1 - size] >= min_words:
+            out += range(max(k + 1 - size, out[-1] + 1 if out else 0), k + 1)
+    return out
+
+
+def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False) -> tuple[DataFrame, DataFrame]:
     """Lines of each different text, and for later texts the places of their lines to delete with the partners."""
     rows = saved(lines_of(docs), "lines")
     last = F.lit(2**63 - 1)
@@ -150,6 +199,9 @@ def overlaps(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, DataFrame]
                 for _, s, n in align(head, lines):
                     if sum(words[s : s + n]) >= min_words:
                         places += at[s : s + n]
+                done = set(places)
+                if moved and not set(head).isdisjoint(x for x, k in zip(lines, at) if k not in done):
+                    places = [at[k] for k in blocks(head, lines, words, min_words)]
                 gone.append(places)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["tid", "head_id", "gone"])
 
@@ -158,9 +210,9 @@ def overlaps(docs: DataFrame, min_words: int = 8) -> tuple[DataFrame, DataFrame]
     return rows, texts.select("text_key", "rep", "tid").join(per_text, "tid", "left").drop("tid")
 
 
-def dedupe(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dedupe(docs: DataFrame, min_words: int = 8, moved: bool = False) -> DataFrame:
     """doc_id, text without its deleted lines (null if nothing is left), n_lines, n_removed, partners of each row of docs (doc_id, text)."""
-    _, gone = overlaps(docs, min_words)
+    _, gone = overlaps(docs, min_words, moved)
     gone = saved(gone, "line-gone")
     last = F.lit(2**63 - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("text_key"))

@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def op1_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_alignment.digest(line_alignment.dedupe(table(spark, sf_dir, "documents")))
+    return line_alignment.digest(line_alignment.dedupe(table(spark, sf_dir, "documents"), moved=True))
 
 
 def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
