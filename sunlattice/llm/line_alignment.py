@@ -1,9 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Every line of `min_words` words or more is hashed. A hash that several different
-texts share links each of them with the first that has it (the one with the
-smallest doc_id), so a line shared by any number of documents costs one link
-each and no frequency is too high. The two documents of a link are aligned by patience
+Runs of consecutive lines are hashed: from each line on, and up to each line, the
+shortest run of `min_words` words or more (a line that long is a run by itself).
+A hash that several different texts share links each of them with the first that
+has it (the one with the smallest doc_id), so a run shared by any number of
+documents costs one link each and no frequency is too high. Each line of a block
+that two texts share is in such a run of it, so blocks of short lines link too,
+and with `moved` a line stays only if no earlier text has it in such a block. The two documents of a link are aligned by patience
 diff over their lines: lines that occur once in both anchor a longest common
 order, blocks grow from the anchors over equal neighbours, and gaps are aligned
 again. In a gap without such lines the k-th occurrences of a line in both are
@@ -32,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunlattice.llm.common import SPACED, Words, saved, signed, slices
+from sunlattice.llm.common import SPACED, Words, mix, saved, signed, slices
 
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
+_RUN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -67,6 +71,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key string, lines array<long>, words array<int>, at array<int>")
 
 
+def runs_of(texts: DataFrame, min_words: int) -> DataFrame:
+    """tid, rep, key and line: a row for each different run of lines (tid, rep, key, lines, words) of `min_words` words that is no longer than it must be."""
+
+    def run(batches):
+        for batch in batches:
+            lines, words = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            counts = batch.column(3).value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            first = np.cumsum(counts) - counts
+            total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+            at = np.arange(len(lines))
+            # The shortest run from each line on and up to each line, as far as its text has one.
+            end = np.searchsorted(total, total[:-1] + min_words)
+            start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+            on, up = end <= (first + counts)[row], start >= first[row]
+            start, end, row = np.concatenate([at[on], start[up]]), np.concatenate([end[on], at[up] + 1]), np.concatenate([row[on], row[up]])
+            bits = lines.view(np.uint64)
+            h = bits[start]
+            k, more = 1, np.flatnonzero(end - start > 1)
+            while len(more):
+                h[more] = mix(h[more] * _RUN + bits[start[more] + k])
+                k += 1
+                more = more[(end - start)[more] > k]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            where = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in range(3)), pa.array(signed(h[new]))], ["tid", "rep", "key", "line"])
+
+    return texts.select("tid", "rep", F.xxhash64("text_key").alias("key"), "lines", "words").mapInArrow(run, "tid long, rep long, key long, line long")
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of a patience diff, in order; no gap between them has a common line."""
     out = []
@@ -181,9 +218,8 @@ def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False) -> tuple[
     last = F.lit(2**63 - 1)
     texts = rows.groupBy("text_key").agg(F.min(F.coalesce("doc_id", last)).alias("rep"), F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("at").alias("at"))
     texts = saved(texts.withColumn("tid", F.monotonically_increasing_id()), "line-texts")
-    lines = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "words"), lambda l: l.words >= min_words), lambda l: l.lines))
-    each = texts.select("tid", F.struct("rep", F.xxhash64("text_key").alias("key"), "tid").alias("text"), F.explode(lines).alias("line"))
-    # A row a line, made before the shuffle as far as it goes; a line of any frequency then meets its texts in a join.
+    each = runs_of(texts, min_words).select("tid", F.struct("rep", "key", "tid").alias("text"), "line")
+    # A row a run of lines, made before the shuffle as far as it goes; a run of any frequency then meets its texts in a join.
     heads = each.groupBy("line").agg(F.min("text").alias("first"), F.count("*").alias("n")).filter("n > 1")
     held = each.select("tid", "line").join(heads.select("line", F.col("first.tid").alias("head"), "n"), "line").filter("tid <> head")
     pairs = held.groupBy("tid", "head").agg(F.count("*").alias("shared"), F.min("n").alias("rarest"))

@@ -52,3 +52,32 @@ def test_passage_that_a_text_holds_twice_or_elsewhere(spark):
         assert got[d] == ("\n".join(left), len(x) - len(left), [1] if len(x) > len(left) else [])
     # The alignment alone: a passage that the head holds twice is found.
     assert {r.doc_id: r.text for r in line_alignment.dedupe(frame).collect()}[2] == f"{own[3]}\n{own[4]}"
+
+
+def test_blocks_of_short_lines_link(spark):
+    verse = [f"verse {k} of it" for k in range(12)]
+    texts = [(1, ["a title", *verse, "an end"]), (2, ["b title", *verse, "b end"]), (3, ["c", verse[0], "d", verse[1], "e"]), (4, ["x", *verse[4:6], "y"])]
+    frame = common.prepare(spark).createDataFrame([(d, "\n".join(x)) for d, x in texts], "doc_id long, text string")
+    for moved in (False, True):
+        got = {r.doc_id: r.text for r in line_alignment.dedupe(frame, moved=moved).collect()}
+        # Lone short lines are no link; two of four words each are eight.
+        assert got == {1: "\n".join(texts[0][1]), 2: "b title\nb end", 3: "\n".join(texts[2][1]), 4: "x\ny"}
+
+
+def test_lines_of_any_earlier_text_go(spark):
+    """Each text keeps the lines that are in no run of eight words or more that an earlier text has."""
+    rng = random.Random(4)
+    pool = [" ".join(f"w{k}n{n}" for n in range(rng.choice([1, 2, 3, 4, 5, 9]))) for k in range(14)]
+    texts = [(d, [rng.choice(pool) for _ in range(rng.randrange(1, 9))]) for d in range(60)]
+    frame = common.prepare(spark).createDataFrame([(d, "\n".join(x)) for d, x in texts], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_alignment.dedupe(frame, moved=True).collect()}
+    lost = 0
+    for d, x in texts:
+        if any(x == y for _, y in texts[:d]):
+            assert got[d] is None
+            continue
+        words = [len(y.split()) for y in x]
+        gone = {k for _, y in texts[:d] for k in brute_blocks(y, x, words, 8)}
+        lost += len(gone)
+        assert got[d] == "\n".join(y for k, y in enumerate(x) if k not in gone), d
+    assert lost > 40
