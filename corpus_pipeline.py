@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent:
     Documents without words are no group. Rows that repeat id and text are one document.
     """
     prepare(spark)
-    found = signature_tree.jaccard_components(docs.select("doc_id", "text"), percent, width)
+    found = signature_tree.jaccard_components(docs.select("doc_id", "text"), percent, width, all_links=False)
     first = found.filter(doc_key() == doc_key("component_id")).select(doc_key().alias("first_id"), "n_shingles").distinct()
     kept = docs.join(first, doc_key() == F.col("first_id"), "left_semi")
     twice = docs.groupBy("doc_id").count().filter("count > 1").select(doc_key().alias("twice_id"))

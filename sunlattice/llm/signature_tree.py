@@ -13,10 +13,12 @@ How it runs:
    shingle's counter cell was hit over the whole corpus (a table of fixed
    size), rare first, so passages that many documents share come last. Classes
    that share such a shingle meet in its bucket.
-3. In each bucket every class is checked against the class in which the
-   shingle stands earliest: for a group of near copies that is the one with the
-   least text of its own. These links already join most groups.
-4. A bucket whose members still have different labels is searched by a
+3. Where only the components are wanted (`all_links` off), every class of a
+   bucket is first checked against the class in which the shingle stands
+   earliest: for a group of near copies that is the one with the least text of
+   its own. These links already join most groups, and what has one label then
+   is not searched again.
+4. A bucket (all of them, where all links are wanted) is searched by a
    signature tree: leaves hold a bitmap of the set and its size, nodes the OR of
    their bitmaps and the range of their sizes. Two trees (or one with itself)
    are walked in pairs of nodes; a pair is left when all below has one label
@@ -284,10 +286,14 @@ def _search(percent: int):
     return search
 
 
-def _tree_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them."""
-    # The head of a bucket has met all others already.
-    rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+def _tree_pairs(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them; without labels all pairs."""
+    if labels is None:
+        # A label for each class, in order of size: nothing is left for its label.
+        rows = shared.select("token", "cid", "n", F.shiftleft(F.col("n").cast("long"), 48).bitwiseOR(F.col("cid")).alias("label"))
+    else:
+        # The head of a bucket has met all others already.
+        rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     # Sizes that can be linked are in the same band or the next one: a set goes to its own band (side 0) and the one below (side 1).
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) - 1e-9).cast("int")
     kept = rows = saved(rows.withColumn("band", band), "jaccard-rows")
@@ -311,8 +317,41 @@ def _tree_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percen
     return pairs
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), n_links (of each document's class, as far as links were counted)."""
+def _every_link(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b), each once, and the components' labels."""
+    tree = _tree_pairs(shared, None, classes, percent)
+    close = saved(_possible(tree, classes, percent), "jaccard-close")
+    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), width)
+    links = saved(_linked(close, items, percent), "jaccard-links")
+    discard(items, close, tree)
+    return links, components(links, "jaccard-labels")
+
+
+def _few_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) enough for the components, and their labels: first with the heads of buckets, then by trees where labels differ."""
+    # What can still be shared from this place on bounds the overlap.
+    rest = F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) + F.least("pos", "head_pos")
+    star = shared.filter(F.col("cid") != F.col("head")).filter(rest * (100 + percent) >= percent * (F.col("n") + F.col("head_n")))
+    star = saved(star.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct(), "jaccard-star")
+    close = saved(_possible(star, classes, percent), "jaccard-close")
+    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), width)
+    links = saved(_linked(close, items, percent), "jaccard-links")
+    discard(items, close)
+    labels = components(links, "jaccard-labels")
+
+    tree = _tree_pairs(shared, labels, classes, percent)
+    more = saved(_possible(tree.join(star, ["a", "b"], "left_anti"), classes, percent), "jaccard-more")
+    items = _whole_sets(docs, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct(), width)
+    links = saved(links.union(_linked(more, items, percent)), "jaccard-links")
+    discard(items, more, tree, star)
+    return links, components(links, "jaccard-labels")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, all_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), n_links (other sets that the document's own is linked with).
+
+    Without `all_links` n_links counts only the links that were needed to find the components.
+    """
     sets = shingle_sets(docs, percent, width)
     first = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     classes = saved(first.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
@@ -330,22 +369,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3) -> Da
     bucket = F.xxhash64("token", "run").alias("token")
     shared = saved(seen.select(bucket, "cid", "n", "pos", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")), "jaccard-shared")
 
-    # What can still be shared from this place on bounds the overlap.
-    rest = F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) + F.least("pos", "head_pos")
-    star = shared.filter(F.col("cid") != F.col("head")).filter(rest * (100 + percent) >= percent * (F.col("n") + F.col("head_n")))
-    star = saved(star.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct(), "jaccard-star")
-    close = saved(_possible(star, classes, percent), "jaccard-close")
-    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), width)
-    links = saved(_linked(close, items, percent), "jaccard-links")
-    discard(items, close)
-    labels = components(links, "jaccard-labels")
-
-    tree = _tree_pairs(shared, labels, classes, percent)
-    more = saved(_possible(tree.join(star, ["a", "b"], "left_anti"), classes, percent), "jaccard-more")
-    items = _whole_sets(docs, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct(), width)
-    links = saved(links.union(_linked(more, items, percent)), "jaccard-links")
-    discard(items, more, tree, star, shared)
-    labels = components(links, "jaccard-labels")
+    links, labels = (_every_link if all_links else _few_links)(docs, shared, classes, percent, width)
+    discard(shared)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
     named = classes.select("cid", "f1", "f2", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
