@@ -157,17 +157,18 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int = 3) -> tuple[np.ndarr
     return out, valid
 
 
-def hashed_counts(df: DataFrame, fill, bits: int) -> np.ndarray:
-    """Sum of one counter table of 2**bits cells that `fill(batch, cells)` adds to, over all partitions.
+def hashed_counts(df: DataFrame, fill, bits: int, kind=np.int32, merge=np.add) -> np.ndarray:
+    """One table of 2**bits cells that `fill(batch, cells)` changes in each task, merged over all partitions.
 
-    The table has a fixed size whatever the input: each task sends its cells in
-    256 pieces, the pieces are added up in as many groups, and the driver gets
-    2**bits numbers.
+    Each task sends its cells of type `kind` in 256 pieces, the pieces are
+    merged in as many groups, and the driver gets 2**bits numbers: sums as
+    64 bits, anything else as `kind`.
     """
     pieces = min(256, 1 << bits)
+    whole = np.int64 if merge is np.add else kind
 
     def count(batches):
-        cells = np.zeros(1 << bits, np.int64)
+        cells = np.zeros(1 << bits, kind)
         some = False
         for batch in batches:
             fill(batch, cells)
@@ -181,18 +182,23 @@ def hashed_counts(df: DataFrame, fill, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in groups:
             for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = np.frombuffer(p, np.int64)
-                total[k] = total[k] + cells if k in total else cells
+                cells = np.frombuffer(p, kind).astype(whole)
+                total[k] = merge(total[k], cells) if k in total else cells
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["piece", "cells"])
 
     schema = "piece int, cells binary"
-    out = np.zeros((pieces, (1 << bits) // pieces), np.int64)
+    out = np.zeros((pieces, (1 << bits) // pieces), whole)
     for r in df.mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():
-        out[r.piece] += np.frombuffer(r.cells, np.int64)
+        out[r.piece] = merge(out[r.piece], np.frombuffer(r.cells, whole))
     return out.ravel()
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input: by sorting at every size, so plans of small and large runs are alike."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

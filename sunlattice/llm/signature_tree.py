@@ -10,15 +10,15 @@ How it runs:
    copies cost one row each from here on.
 2. Two sets that similar must share a shingle within the first
    n - ceil(t n) + 1 of both, in any common order. The order is by how often a
-   shingle's counter cell was hit over the whole corpus (a table of fixed
-   size), rare first, so passages that many documents share come last. Classes
-   that share such a shingle meet in its bucket.
-3. Where only the components are wanted (`all_links` off), every class of a
-   bucket is first checked against the class in which the shingle stands
-   earliest: for a group of near copies that is the one with the least text of
-   its own. These links already join most groups, and what has one label then
-   is not searched again.
-4. A bucket (all of them, where all links are wanted) is searched by a
+   shingle's counter cell was hit over the whole corpus, rare first, so passages
+   that many documents share come last. The table of counters grows with the
+   input up to `COUNT_BITS`; beyond that the order is coarser, the result the
+   same. Classes that share such a shingle meet in its bucket.
+3. Every class of a bucket is first checked against the class in which the
+   shingle stands earliest: for a group of near copies that is the one with the
+   least text of its own. These links already join most groups, and what has one
+   label then is not searched again.
+4. A bucket that still has several labels is searched by a
    signature tree: leaves hold a bitmap of the set and its size, nodes the OR of
    their bitmaps and the range of their sizes. Two trees (or one with itself)
    are walked in pairs of nodes; a pair is left when all below has one label
@@ -26,7 +26,12 @@ How it runs:
    the bitmaps allow is below what the smallest sizes need. Large buckets are
    cut into blocks, and pairs of blocks are dealt over tasks.
 5. Pairs of either kind whose own bitmaps allow enough overlap are counted exactly
-   on the whole sets.
+   on the whole sets. That gives all components.
+6. Where all links are wanted, the sets of each component of three classes or
+   more meet once more, in blocks by size: trees over them prune as before, but
+   not by label, the pairs left are counted exactly within the task by a matrix
+   product, and what leaves it is a number of links for each set, no pair. Sets
+   that are linked are in one component, so no link is missed.
 
 No bucket, pair or partner is capped. Nulls and texts without words have an
 empty set and link with nothing; they are their own component. A null doc_id
@@ -44,12 +49,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunlattice.llm import common
-from sunlattice.llm.common import SPACED, Words, discard, hashed_counts, saved, shingles, signed, slices
+from sunlattice.llm.common import SPACED, Words, discard, hashed_counts, saved, shingles, signed, slices, sorted_join
 from sunlattice.llm.components import components
 
-COUNT_BITS = 18
+#: At most 2**COUNT_BITS counters, a byte each in every worker.
+COUNT_BITS = 22
 FAN = 8
-BLOCK = 2048
+#: Sets of a block, and shingles of a block of whole sets.
+BLOCK = 512
+BLOCK_ITEMS = 1 << 20
 
 
 def _sets(column: pa.Array, width: int):
@@ -82,13 +90,19 @@ def _print(hashes: np.ndarray) -> tuple[int, int]:
 def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     """doc_id, n, fingerprint (f1, f2), prefix and signature of each document's shingle set; written to the shared folder."""
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A counter for about 2,000 bytes of text: a task's counters stay a small part of what it reads.
+    bits = min(COUNT_BITS, max(12, (size >> 11).bit_length()))
+
     def fill(batch, cells):
         for _, _, data, off in slices(batch.column(0)):
             words = Words(data, off, SPACED, lower=True)
             h, valid = shingles(words.hashes(), words.first, width)
-            cells += np.bincount((h[valid] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(cells))
+            np.add.at(cells, (h[valid] >> np.uint64(64 - bits)).astype(np.int64), 1)
 
-    counts = docs.sparkSession.sparkContext.broadcast(hashed_counts(docs.select("text"), fill, COUNT_BITS))
+    # How often, in steps of a twelfth: one byte a counter.
+    often = (4 * np.log2(hashed_counts(docs.select("text"), fill, bits) + 1)).astype(np.uint8)
+    counts = docs.sparkSession.sparkContext.broadcast(often)
 
     def make(batches):
         hits = counts.value
@@ -99,7 +113,7 @@ def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
                 a, b = _print(s)
                 ns.append(n), f1.append(a), f2.append(b)
                 if n:
-                    order = np.argsort(hits[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")
+                    order = np.argsort(hits[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
                     prefixes.append(signed(s[order[: n - (percent * n + 99) // 100 + 1]]))
                     signatures.append(_signature(s))
                 else:
@@ -112,18 +126,18 @@ def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
 def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cid and whole shingle set of each class in `wanted` (cid), made anew from the texts.
 
-    A Bloom filter of fixed size keeps most other texts out of the shuffle; the
-    join that follows is exact.
+    A Bloom filter, of sixteen bits a class or more, keeps most other texts out
+    of the shuffle; the join that follows is exact.
     """
-    bits = 20
     chosen = classes.join(wanted, "cid", "left_semi").select("cid", "f1", "f2", common.doc_key("rep").alias("rep"))
     chosen = saved(chosen, "jaccard-wanted")
+    bits = min(26, max(12, (16 * chosen.count()).bit_length()))
 
     def fill(batch, cells):
         for h in _places(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits):
             cells[h] = 1
 
-    bloom = hashed_counts(chosen.select("f1", "rep"), fill, bits) > 0
+    bloom = hashed_counts(chosen.select("f1", "rep"), fill, bits, np.uint8, np.maximum)
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
 
     def make(batches):
@@ -140,7 +154,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: i
 
     found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(make, "rep long, f1 long, f2 long, items array<long>")
     # A document repeated with its id would come twice.
-    found = saved(found.join(chosen, ["rep", "f1", "f2"]).groupBy("cid").agg(F.first("items").alias("items")), "jaccard-items")
+    found = saved(sorted_join(found, chosen, ["rep", "f1", "f2"]).groupBy("cid").agg(F.first("items").alias("items")), "jaccard-items")
     discard(chosen)
     return found
 
@@ -154,7 +168,7 @@ def _linked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
     left, right = (items.select(F.col("cid").alias(k), F.col("items").alias(f"{k}_items")) for k in ("a", "b"))
     both = F.size(F.array_intersect("a_items", "b_items"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
+    return sorted_join(sorted_join(pairs, left, "a"), right, "b").filter(100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +187,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             fine = pa.array(most * (100 + percent) >= percent * (a_n + b_n))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], ["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "a_sig", "b_n", "b_sig")
+    joined = sorted_join(sorted_join(pairs, left, "a"), right, "b").select("a", "b", "a_n", "a_sig", "b_n", "b_sig")
     return joined.mapInArrow(keep, "a long, b long")
 
 
@@ -286,45 +300,128 @@ def _search(percent: int):
     return search
 
 
-def _tree_pairs(shared: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them; without labels all pairs."""
-    if labels is None:
-        # A label for each class, in order of size: nothing is left for its label.
-        rows = shared.select("token", "cid", "n", F.shiftleft(F.col("n").cast("long"), 48).bitwiseOR(F.col("cid")).alias("label"))
-    else:
-        # The head of a bucket has met all others already.
-        rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    # Sizes that can be linked are in the same band or the next one: a set goes to its own band (side 0) and the one below (side 1).
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) - 1e-9).cast("int")
-    kept = rows = saved(rows.withColumn("band", band), "jaccard-rows")
-    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    rows = rows.join(open_, "token", "left_semi")
-    sizes = rows.groupBy("token", "band").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes, ["token", "band"]).withColumn("cut", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cut")).cast("int"))
-    rows = rows.join(classes.select("cid", "sig"), "cid")
-    # Own band: block i meets each block j >= i; as side 1 it is the later one.
+def _bands(rows: DataFrame, percent: int) -> DataFrame:
+    """rows with `band`: sizes that can be linked are in the same band or in the next one."""
+    return rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) - 1e-9).cast("int"))
+
+
+def _in_blocks(rows: DataFrame, cuts: DataFrame, *rest: str) -> DataFrame:
+    """rows (token, band, cid, n, label, rest) dealt by (token, band, i, j): each two rows whose sizes fit meet once.
+
+    cuts: blocks of each (token, band). Block i of a band meets each block j >= i
+    of it (as side 1 it is the later one) and each block of the band below.
+    """
+    kept = ["cid", "n", "label"]
+    rows = rows.join(cuts, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cut")).cast("int"))
     own = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    own = own.select("token", (F.col("band") * 2).alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "label", (F.col("block") > F.col("other")).cast("int").alias("side"), "sig")
-    below = sizes.select("token", (F.col("band") + 1).alias("band"), F.ceil(F.col("members") / BLOCK).cast("int").alias("cut_below"))
-    above = sizes.select("token", (F.col("band") - 1).alias("band"), F.ceil(F.col("members") / BLOCK).cast("int").alias("cut_above"))
-    up = rows.join(above, ["token", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cut_above") - 1))).select("token", (F.col("band") * 2 + 1).alias("band"), F.col("block").alias("i"), "j", "cid", "n", "label", F.lit(0).alias("side"), "sig")
-    down = rows.join(below, ["token", "band"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cut_below") - 1))).select("token", (F.col("band") * 2 - 1).alias("band"), "i", F.col("block").alias("j"), "cid", "n", "label", F.lit(1).alias("side"), "sig")
+    own = own.select("token", (F.col("band") * 2).alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *kept, (F.col("block") > F.col("other")).cast("int").alias("side"), *rest)
+    below, above = (cuts.select("token", (F.col("band") + k).alias("band"), F.col("cut").alias("cuts")) for k in (1, -1))
+    many = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    up = rows.join(above, ["token", "band"]).withColumn("j", many).select("token", (F.col("band") * 2 + 1).alias("band"), F.col("block").alias("i"), "j", *kept, F.lit(0).alias("side"), *rest)
+    down = rows.join(below, ["token", "band"]).withColumn("i", many).select("token", (F.col("band") * 2 - 1).alias("band"), "i", F.col("block").alias("j"), *kept, F.lit(1).alias("side"), *rest)
     key = ["token", "band", "i", "j"]
-    dealt = own.union(up).union(down).repartition(*key).sortWithinPartitions(*key)
+    return own.union(up).union(down).repartition(*key).sortWithinPartitions(*key)
+
+
+def _tree_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them."""
+    # The head of a bucket has met all others already.
+    rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    kept = rows = saved(_bands(rows, percent), "jaccard-rows")
+    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
+    rows = rows.join(open_, "token", "left_semi")
+    cuts = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cut"))
+    rows = sorted_join(rows, classes.select("cid", "sig"), "cid")
+    dealt = _in_blocks(rows, cuts, "sig")
     pairs = dealt.mapInArrow(_search(percent), "a long, b long")
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-tree")
     discard(kept)
     return pairs
 
 
-def _every_link(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """All links (a, b), each once, and the components' labels."""
-    tree = _tree_pairs(shared, None, classes, percent)
-    close = saved(_possible(tree, classes, percent), "jaccard-close")
-    items = _whole_sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), width)
-    links = saved(_linked(close, items, percent), "jaccard-links")
-    discard(items, close, tree)
-    return links, components(links, "jaccard-labels")
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Common items of each set of one with each of two, by matrix products over runs of items that both have."""
+    items = np.concatenate([*one, *two])
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    keys, place = np.unique(items, return_inverse=True)
+    left = row < len(one)
+    n = len(keys)
+    both = (np.bincount(place[left], minlength=n) > 0) & (np.bincount(place[~left], minlength=n) > 0)
+    column = np.cumsum(both) - 1
+    fine = both[place]
+    row, place, left = row[fine], column[place[fine]], left[fine]
+    order = np.argsort(place, kind="stable")
+    row, place, left = row[order], place[order], left[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(both.sum()), 1024):
+        s, e = np.searchsorted(place, (lo, lo + 1024))
+        flags = np.zeros((len(one) + len(two), 1024), np.float32)
+        flags[row[s:e], place[s:e] - lo] = 1
+        out += flags[: len(one)] @ flags[len(one) :].T
+    return out
+
+
+def _degrees_in(percent: int):
+    """Over rows sorted by (token, band, i, j) with whole sets: how many links each set has in each group."""
+
+    def group(rows):
+        cid, n, side = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 3))
+        sets = [x for r in rows for x in r[4]]
+        same = not side.any()
+        if not same and side.all():
+            return cid[:0], n[:0]
+        words = _bits(int(n.min())) // 64
+        order = np.argsort(n, kind="stable")
+        bits = np.concatenate([_fold(np.frombuffer(_signature(sets[k]), "<u8")[None, :], words) for k in order])
+        cid, n, side, sets = cid[order], n[order].astype(np.int64), side[order], [sets[k] for k in order]
+        # No two labels are alike: only sizes and bitmaps prune.
+        parts = [np.flatnonzero(side == k) for k in ((0, 0) if same else (0, 1))]
+        trees = [Tree(n[x], k * len(n) + np.arange(len(x)), bits[x]) for k, x in enumerate(parts)]
+        a, b = trees[0].pairs(trees[0] if same else trees[1], percent)
+        if not len(a):
+            return cid[:0], n[:0]
+        a, b = parts[0][a], parts[1][b]
+        (ka, ia), (kb, ib) = (np.unique(x, return_inverse=True) for x in (a, b))
+        both = _overlaps([sets[k] for k in ka], [sets[k] for k in kb])[ia, ib].astype(np.int64)
+        linked = 100 * both >= percent * (n[a] + n[b] - both)
+        degree = np.bincount(np.concatenate([a[linked], b[linked]]), minlength=len(cid))
+        return cid[degree > 0], degree[degree > 0]
+
+    def count(batches):
+        rows, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            cid, n, label, side = (batch.column(k).to_numpy() for k in range(4, 8))
+            flat, off = batch.column(8).values.to_numpy().view(np.uint64), batch.column(8).offsets.to_numpy()
+            for s, e in zip([0, *cuts], [*cuts, len(keys)]):
+                if e > s:
+                    if rows and tuple(keys[s]) != key:
+                        found = group(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["cid", "n_links"])
+                        rows = []
+                    key = tuple(keys[s])
+                    rows.append((cid[s:e], n[s:e], label[s:e], side[s:e], [flat[off[k] : off[k + 1]].copy() for k in range(s, e)]))
+        if rows:
+            found = group(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["cid", "n_links"])
+
+    return count
+
+
+def _degrees(docs: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, width: int) -> DataFrame:
+    """cid, n_links: how many other classes each one is linked with; those of two in a component with each other."""
+    members = labels.groupBy("label").agg(F.count("*").alias("members"))
+    named = saved(labels.join(members, "label"), "jaccard-members")
+    pairs = named.filter("members = 2").select(F.col("node").alias("cid"), F.lit(1).cast("long").alias("n_links"))
+    more = named.filter("members > 2").select(F.col("node").alias("cid"), F.col("label").alias("token"), "label")
+    items = _whole_sets(docs, classes, more.select("cid"), width)
+    rows = _bands(sorted_join(more, items, "cid").withColumn("n", F.size("items")), percent)
+    cuts = rows.groupBy("token", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("cut"))
+    counted = _in_blocks(rows, cuts, "items").mapInArrow(_degrees_in(percent), "cid long, n_links long")
+    out = saved(counted.groupBy("cid").agg(F.sum("n_links").alias("n_links")).union(pairs), "jaccard-degrees")
+    discard(items, named)
+    return out
 
 
 def _few_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -369,10 +466,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, all_l
     bucket = F.xxhash64("token", "run").alias("token")
     shared = saved(seen.select(bucket, "cid", "n", "pos", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")), "jaccard-shared")
 
-    links, labels = (_every_link if all_links else _few_links)(docs, shared, classes, percent, width)
+    links, labels = _few_links(docs, shared, classes, percent, width)
     discard(shared)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    if all_links:
+        degree = _degrees(docs, classes, labels, percent, width)
+    else:
+        degree = saved(links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links")), "jaccard-degrees")
     named = classes.select("cid", "f1", "f2", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "label").join(degree, "cid", "left").select("f1", "f2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -382,5 +482,5 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, all_l
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
     )
     out = saved(out, "jaccard")
-    discard(of_doc, classes, links, labels)
+    discard(of_doc, classes, links, labels, degree)
     return out
