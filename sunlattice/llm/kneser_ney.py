@@ -1,26 +1,33 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order `order` per language over letters: text is lower-cased
-letter by letter and every run of other characters is one space. Counts of all
-training rows are made in Spark; what reaches the driver is the table of
-character n-grams, of which at most `max_ngrams` per language (the most
-frequent; ties by hash) are used, whatever the size of the corpus.
-
-All models share one sorted array of n-gram hashes per order, with a column of
-log probabilities per language, interpolation already done: a position costs
-one binary search, and only n-grams that no language has seen fall back to the
-shorter context.
+letter by letter and every run of other characters is one space. Counts of
+counts, discounts and continuation counts come from all n-grams of the training
+rows, and none is left out of the model. A language with more than `max_rows`
+labelled rows trains on those of the least hashes of their texts, as many whole
+buckets of 1,024 as `max_rows` holds: that bound on the labelled sample is all
+that limits the table of n-grams, which is made in Spark and sent to the driver.
+
+Languages are taken in blocks of `Models.BLOCK`. The models of a block share one
+sorted array of n-gram hashes per order, with a column of log probabilities per
+language, interpolation already done: a position costs one binary search a
+block, and only n-grams that no language of the block has seen fall back to the
+shorter context. An n-gram takes a cell for each language of its blocks, however
+many languages there are.
 
 A document's language is that of the lowest cross-entropy per character; a tie
 goes to the language that comes first. `score` is the softmax of the negative
-cross-entropies, by characters of a document of `evidence` at most. `accepted`
-is false when the cross-entropy is beyond the median of the language's own
-training rows by more than `tolerance` times their spread: such text fits no
-learned language.
+cross-entropies, by characters of a document of `evidence` at most. Rejection is
+calibrated on labelled rows that no count has seen, an eighth of each language's
+(by hash of the text, so copies are on one side): `accepted` is false when the
+cross-entropy lies further above the median of those rows than `margin` times as
+far as their quantile `tail` does. A language with fewer than `least` labelled
+rows keeps none out and is calibrated on those it was trained on.
 
 Null texts and texts without a letter are `und`, score 0, not accepted. Rows
 with a null lang or text train nothing. Without training rows all are `und`.
-Repeated rows each count and each get a row; other columns play no part.
+Very long texts are scored whole, in one task each. Repeated rows each count and
+each get a row; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunlattice.llm.common import free_name, mix, saved, slices
+from sunlattice.llm.common import discard, free_name, mix, saved, slices
 
 _STEP = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, 17, dtype=np.uint64)
 _FLUSH = 1 << 18
@@ -161,40 +168,49 @@ def _tables(grams: np.ndarray, n: np.ndarray, order: int) -> list[dict]:
 
 
 class Models:
-    """Interpolated Kneser-Ney models of all languages in shared sorted hash arrays."""
+    """Interpolated Kneser-Ney models of all languages, in blocks of languages that share sorted hash arrays."""
+
+    BLOCK = 8
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
         """counts: by language, n-grams (rows of `order` symbols) and how often each occurs."""
         self.order, self.langs = order, sorted(counts)
-        each = [_tables(*counts[x], order) for x in self.langs]
-        size = len(each)
-        #: By order: keys and log probabilities of n-grams, keys and log weights of contexts.
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.floor = np.log(np.array([t[0]["rest"][0] / (len(t[0]["key"]) + 1) for t in each])) if each else np.zeros(0)
+        #: By block of languages: by order, keys and log probabilities of n-grams, keys and log weights of contexts; log floors.
+        self.blocks: list[tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]] = []
+        for lo in range(0, len(self.langs), self.BLOCK):
+            self.blocks.append(self._block([_tables(*counts[x], order) for x in self.langs[lo : lo + self.BLOCK]]))
+
+    def _block(self, each: list[list[dict]]):
+        size, levels = len(each), []
+        floor = np.log(np.array([t[0]["rest"][0] / (len(t[0]["key"]) + 1) for t in each]))
         below, low_keys = np.zeros((0, size)), np.zeros(0, np.uint64)
-        for k in range(order if each else 0):
+        for k in range(self.order):
             t = [e[k] for e in each]
             keys, at = np.unique(np.concatenate([x["key"] for x in t]), return_index=True)
             context, ending = (np.concatenate([x[c] for x in t])[at] for c in ("context", "ending"))
             contexts = np.unique(np.concatenate([x["contexts"] for x in t]))
-            rest = np.ones((len(contexts), size))
+            rest = np.ones((len(contexts), size), np.float32)
             for c, x in enumerate(t):
                 rest[_find(contexts, x["contexts"])[0], c] = x["rest"]
             if k:
                 p = below[_find(low_keys, ending)[0]] * rest[_find(contexts, context)[0]]
             else:
-                p = np.broadcast_to(np.exp(self.floor), (len(keys), size)).copy()
+                p = np.broadcast_to(np.exp(floor), (len(keys), size)).copy()
             for c, x in enumerate(t):
                 p[_find(keys, x["key"])[0], c] += x["share"]
-            self.levels.append((keys, np.log(p).astype(np.float32), contexts, np.log(rest).astype(np.float32)))
+            levels.append((keys, np.log(p).astype(np.float32), contexts, np.log(rest)))
             below, low_keys = p, keys
+        return levels, floor.astype(np.float32)
 
     def logs(self, grams: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
         """Log probability of each symbol, a column per language. grams: by order; before: the same of the symbol before."""
-        out = np.zeros((len(grams[0]), len(self.langs)), np.float32)
+        return np.concatenate([self._logs(levels, floor, grams, before) for levels, floor in self.blocks], axis=1)
+
+    def _logs(self, levels, floor, grams, before) -> np.ndarray:
+        out = np.zeros((len(grams[0]), len(floor)), np.float32)
         left = np.arange(len(out))
         for k in range(self.order - 1, -1, -1):
-            keys, p, contexts, rest = self.levels[k]
+            keys, p, contexts, rest = levels[k]
             at, there = _find(keys, grams[k][left])
             out[left[there]] += p[at[there]]
             left = left[~there]
@@ -203,7 +219,7 @@ class Models:
             if k:
                 at, known = _find(contexts, before[k - 1][left])
                 out[left[known]] += rest[at[known]]
-        out[left] += self.floor.astype(np.float32)
+        out[left] += floor
         return out
 
     def cross_entropy(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,28 +241,24 @@ class Models:
         return out, n
 
 
-def most_frequent(counts: DataFrame, most: int, tied: int = 32, buckets: int = 1024) -> DataFrame:
-    """The most frequent n-grams of each language in counts (lang, gram, n), `most` a language at most.
-
-    How many n-grams have each count says which counts fit as a whole, so no
-    language's n-grams are sorted. Counts up to `tied`, which many n-grams share,
-    are cut further into `buckets` by hash; of higher ones all stay or all go.
-    """
-    bucket = F.when(F.col("n") <= tied, F.pmod(F.xxhash64("gram"), F.lit(buckets))).otherwise(F.lit(0)).cast("int")
-    place = F.struct((-F.col("n")).alias("falling"), bucket.alias("bucket"))
-    steps = counts.groupBy("lang", place.alias("place")).agg(F.count("*").alias("rows"))
-    # As many rows a language as there are different counts and buckets.
-    upto = F.sum("rows").over(Window.partitionBy("lang").orderBy("place"))
-    last = steps.withColumn("upto", upto).filter(F.col("upto") <= most).groupBy("lang").agg(F.max("place").alias("last"))
-    # A row a language.
-    return counts.join(F.broadcast(last), "lang").filter(place <= F.col("last")).select(*counts.columns)
+def roles(rows: DataFrame, max_rows: int = 4_000_000, least: int = 32, buckets: int = 1024) -> DataFrame:
+    """rows (lang, text, ...) with `role`: 0 trains, 1 calibrates, 2 does both; null: neither, for want of a lang or text or beyond max_rows."""
+    bucket = F.pmod(F.xxhash64("text"), F.lit(buckets))
+    known = rows.filter("lang is not null and text is not null")
+    # As many rows a language as there are buckets, then one.
+    steps = known.groupBy(F.col("lang").alias("of_lang"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("of_lang").orderBy("bucket"))
+    used = steps.withColumn("upto", upto).groupBy("of_lang").agg(F.max(F.when(F.col("upto") <= max_rows, F.col("bucket"))).alias("last"), F.sum("n").alias("total"))
+    role = F.when(F.col("text").isNull() | ~F.coalesce(bucket <= F.col("last"), F.lit(False)), F.lit(None)).when(F.col("total") < least, F.lit(2)).otherwise((bucket % 8 == 3).cast("int"))
+    return rows.join(F.broadcast(used), F.col("lang") == F.col("of_lang"), "left").select(*[F.col(f"`{c}`") for c in rows.columns], role.alias("role"))
 
 
-def train(rows: DataFrame, order: int = 4, max_ngrams: int = 500_000) -> Models:
+def train(rows: DataFrame, order: int = 4) -> Models:
     """Models of rows (lang, text); a null lang or text trains nothing."""
     known = rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = most_frequent(saved(count_grams(known, order), "language-grams"), max_ngrams)
+    counts = saved(count_grams(known, order), "language-grams")
     table = counts.select("lang", "gram", "n").toArrow().combine_chunks()
+    discard(counts)
     out = {}
     for lang in pc.unique(table["lang"]).to_pylist():
         own = table.filter(pc.equal(table["lang"], lang)).combine_chunks()
@@ -285,27 +297,28 @@ def classify(docs: DataFrame, models: Models, evidence: int = 20, name: str = "l
     return docs.mapInArrow(run, schema)
 
 
-def limits(scored: DataFrame, tolerance: float = 20.0, steady: int = 400) -> DataFrame:
-    """lang_pred, centre and most: what cross-entropies the rows of each language have that were right in training.
+def limits(scored: DataFrame, margin: float = 4.0, tail: float = 0.99, steady: int = 400) -> DataFrame:
+    """lang_pred, centre and most: how far above the centre of its language a cross-entropy may lie.
 
-    scored: rows with lang, lang_pred, cross_entropy, n_symbols. The centre is
-    the median, the spread that of the distances from it, which are scaled by the
-    root of the length (as far as `steady` symbols), as short texts vary more.
-    Both come from counts in steps of a thousandth, so no group is gathered.
+    scored: calibration rows with lang, lang_pred, cross_entropy, n_symbols; those
+    count whose language was found. The centre is the median; distances from it
+    are scaled by the root of the length (as far as `steady` symbols), as short
+    texts vary more, and `most` is `margin` times their quantile `tail`. Both come
+    from counts in steps of a thousandth, so no group is gathered.
     """
     right = scored.filter("lang = lang_pred and cross_entropy is not null")
-    centre = _median(right, F.col("cross_entropy"), "centre")
+    centre = _quantile(right, F.col("cross_entropy"), 0.5, "centre")
     # A row a language.
-    near = right.join(F.broadcast(centre), "lang_pred").withColumn("away", F.abs(_scaled(steady)))
-    spread = _median(near, F.col("away"), "spread")
-    return centre.join(spread, "lang_pred").select("lang_pred", "centre", (tolerance * F.greatest(1.4826 * F.col("spread"), F.lit(0.01))).alias("most"))
+    near = right.join(F.broadcast(centre), "lang_pred").withColumn("away", _scaled(steady))
+    spread = _quantile(near, F.col("away"), tail, "spread")
+    return centre.join(spread, "lang_pred").select("lang_pred", "centre", (margin * F.greatest(F.col("spread"), F.lit(0.01))).alias("most"))
 
 
-def _median(rows: DataFrame, x, name: str) -> DataFrame:
+def _quantile(rows: DataFrame, x, q: float, name: str) -> DataFrame:
     steps = rows.groupBy("lang_pred", F.floor(x * 1000).alias("step")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("lang_pred")
     run = steps.withColumn("upto", F.sum("n").over(group.orderBy("step"))).withColumn("total", F.sum("n").over(group))
-    return run.filter(2 * F.col("upto") >= F.col("total")).groupBy("lang_pred").agg(((F.min("step") + 0.5) / 1000).alias(name))
+    return run.filter(F.col("upto") >= q * F.col("total")).groupBy("lang_pred").agg(((F.min("step") + 0.5) / 1000).alias(name))
 
 
 def _scaled(steady: int):
@@ -313,39 +326,41 @@ def _scaled(steady: int):
 
 
 def fits(steady: int = 400):
-    """Whether a row's cross-entropy is within the limits joined to it."""
-    return F.coalesce(_scaled(steady) <= F.col("most"), F.lit(False))
+    """Whether a row's cross-entropy is within the limits joined to it; a language without calibration rows takes all."""
+    return (F.col("lang_pred") != "und") & F.coalesce(_scaled(steady) <= F.col("most"), F.lit(True))
 
 
-def identify(docs: DataFrame, training, order: int = 4, max_ngrams: int = 500_000, evidence: int = 20, tolerance: float = 20.0, steady: int = 400) -> DataFrame:
+def identify(docs: DataFrame, training, order: int = 4, max_rows: int = 4_000_000, evidence: int = 20, margin: float = 4.0, tail: float = 0.99, steady: int = 400, least: int = 32) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, accepted, in_training of each row of docs (doc_id, text, lang).
 
-    training: a boolean column over docs, the rows that may train.
+    training: a boolean column over docs, the rows that may train and calibrate.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce(training, F.lit(False)).alias("in_training"))
-    models = train(rows.filter("in_training"), order, max_ngrams)
-    scored = saved(classify(rows, models, evidence).select("doc_id", "lang", "in_training", "language.*"), "language")
-    known = limits(scored.filter("in_training"), tolerance, steady)
+    rows = roles(rows.withColumn("lang", F.when(F.col("in_training"), F.col("lang"))), max_rows, least)
+    models = train(rows.filter("role in (0, 2)"), order)
+    scored = saved(classify(rows, models, evidence).select("doc_id", "lang", "in_training", "role", "language.*"), "language")
+    known = limits(scored.filter("role in (1, 2)"), margin, tail, steady)
     # One row a language that was learned.
     out = scored.join(F.broadcast(known), "lang_pred", "left")
     return out.select("doc_id", "lang_pred", "score", "cross_entropy", fits(steady).alias("accepted"), "in_training")
 
 
-def keep_known(docs: DataFrame, order: int = 4, max_ngrams: int = 500_000, evidence: int = 20, tolerance: float = 20.0, steady: int = 400) -> DataFrame:
-    """The rows of docs whose language is accepted, `lang` being the identified one; all labelled rows train.
+def keep_known(docs: DataFrame, order: int = 4, max_rows: int = 4_000_000, evidence: int = 20, margin: float = 4.0, tail: float = 0.99, steady: int = 400, least: int = 32) -> DataFrame:
+    """The rows of docs whose language is accepted, `lang` being the identified one; all labelled rows train or calibrate.
 
-    The texts are scored twice, once for the limits and once to filter, rather
-    than written or shuffled in between.
+    Each text is scored once, on its way through; those that calibrate are scored before.
     """
-    models = train(docs.select("lang", "text"), order, max_ngrams)
-    scored = classify(docs.select(F.col("lang").cast("string").alias("lang"), "text"), models, evidence).select("lang", "language.*")
-    known = limits(saved(scored, "language"), tolerance, steady).collect()
+    rows = roles(docs.select(F.col("lang").cast("string").alias("lang"), "text"), max_rows, least)
+    models = train(rows.filter("role in (0, 2)"), order)
+    scored = saved(classify(rows.filter("role in (1, 2)"), models, evidence).select("lang", "language.*"), "language")
+    known = limits(scored, margin, tail, steady).collect()
+    discard(scored)
     name = free_name(docs.columns, "language")
     got = F.col(name)
-    fine = F.lit(False)
+    fine = F.lit(True)
     # A term a learned language.
     for r in known:
         scaled = (got.cross_entropy - r.centre) * F.sqrt(F.least(got.n_symbols, F.lit(steady)) / steady)
-        fine = fine | ((got.lang_pred == r.lang_pred) & (scaled <= r.most))
-    kept = classify(docs, models, evidence, name).filter(F.coalesce(fine, F.lit(False)))
+        fine = F.when(got.lang_pred == r.lang_pred, scaled <= r.most).otherwise(fine)
+    kept = classify(docs, models, evidence, name).filter((got.lang_pred != "und") & F.coalesce(fine, F.lit(False)))
     return kept.select(*[got.lang_pred.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

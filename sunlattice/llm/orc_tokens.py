@@ -1,13 +1,15 @@
 """Token ids of a corpus as ORC files.
 
-Documents are dealt by ranges of doc_id, encoded, and written as ORC: the ids
-are an integer column (run-length encoded by ORC), every `stride` rows have a row
+Documents are dealt by ranges of doc_id (or stay in the files and the order they
+come in, without a shuffle), encoded, and written as ORC: the ids are an integer column (run-length encoded by ORC), every `stride` rows have a row
 index, and doc_id has Bloom filters, so a reader takes stripes in parallel and a
 lookup by id skips files, stripes and row groups from their metadata.
 
-Each row holds a document: doc_id, part (number of its range), at (ids before it
-in its range), n_tokens, ids. The sums of the ranges, one row a file, give each
-range its start in the whole corpus.
+Each row holds a document: doc_id, part (its range, or the piece of a file it
+came from), at (ids before it in its part), n_tokens, ids. The sums of the parts,
+one row a file or so, give each part its start in the whole corpus: parts follow
+each other as their ranges, or as the names of their files and their places in
+them, which is the order that a table was written in.
 
 Words are encoded once and remembered: pieces between ASCII white space never
 share a token in this tokenizer, so a text's ids are those of its pieces. The
@@ -37,7 +39,7 @@ from sunlattice.llm.common import buffers, prepare, shared_dir
 #: Points and commas after an ASCII letter or digit, up to the end of the piece.
 _TAIL = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
 
-SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
+SCHEMA = "doc_id long, part string, at long, n_tokens long, ids array<int>"
 
 
 class Encoder:
@@ -107,36 +109,46 @@ def _encoder(path: str, words_kept: int) -> Encoder:
     return Encoder(path, words_kept)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: int = 300_000, stripe_bytes: int = 16 << 20, stride: int = 1000) -> None:
-    """Encode docs (doc_id, text) with the tokenizer file and write ORC files to `path`."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: int = 300_000, stripe_bytes: int = 16 << 20, stride: int = 1000, by_id: bool = True) -> None:
+    """Encode docs (doc_id, text) with the tokenizer file and write ORC files to `path`, in order of doc_id or as they come."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranges = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    if by_id:
+        rows = rows.select("doc_id", "text", F.lit("").alias("file"), F.lit(0).cast("long").alias("block")).withColumn("tie", F.xxhash64("text"))
+        rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, at, part = _encoder(tokenizer, words_kept), 0, TaskContext.get().partitionId()
+        encoder, at, part, task = _encoder(tokenizer, words_kept), 0, None, TaskContext.get().partitionId()
         for batch in batches:
             data, off = buffers(batch.column(1))
+            # Rows of one piece of a file follow each other.
+            piece = batch.column(2).dictionary_encode().indices.to_numpy(), batch.column(3).to_numpy()
+            cuts = np.flatnonzero((piece[0][1:] != piece[0][:-1]) | (piece[1][1:] != piece[1][:-1])) + 1
             lo = 0
             while lo < len(batch):
-                # A batch of output for about a megabyte of text.
+                name = f"{batch.column(2)[lo].as_py()} {max(0, int(piece[1][lo])):020d} {task:010d}"
+                if name != part:
+                    part, at = name, 0
+                # A batch of output for about a megabyte of text of one piece.
                 hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1)
+                later = np.searchsorted(cuts, lo, side="right")
+                hi = min(hi, int(cuts[later])) if later < len(cuts) else hi
                 parts = [ids + end for ids in encoder.encode([data[off[d] : off[d + 1]].tobytes() for d in range(lo, hi)])]
                 n = np.array([len(p) // 4 for p in parts], np.int64)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), np.frombuffer(b"".join(parts), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], ["doc_id", "part", "at", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo)), pa.array(at + ends - n), pa.array(n), ids], ["doc_id", "part", "at", "n_tokens", "ids"])
                 at += int(ends[-1])
                 lo = hi
 
-    encoded = ranges.mapInArrow(run, SCHEMA)
+    encoded = rows.mapInArrow(run, SCHEMA)
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": stride, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     encoded.write.options(**options).orc(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """part, base: ids before each range; a row a file. Reads two columns."""
+    """part, base: ids before each part; a row a file or a piece of one. Reads two columns."""
     rows = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     return rows.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
@@ -145,7 +157,7 @@ def read(spark: SparkSession, path: str, where=None) -> DataFrame:
     """doc_id, start, n_tokens, ids of the documents in the files; `where` on doc_id prunes by their metadata."""
     rows = spark.read.schema(SCHEMA).orc(path)
     rows = rows if where is None else rows.filter(where)
-    # One row a file.
+    # One row a part.
     return rows.join(F.broadcast(starts(spark, path)), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
@@ -163,8 +175,8 @@ def digest(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, by_id: bool = True) -> DataFrame:
     """Write docs to a new folder of the shared place and digest what the files hold."""
     path = shared_dir(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, by_id=by_id)
     return digest(read(docs.sparkSession, path))

@@ -234,24 +234,6 @@ def test_language_on_held_out_rows(spark, none):
     assert kneser_ney.identify(none, common.F.lit(True)).count() == 0
 
 
-def test_most_frequent_ngrams_fit(spark):
-    rng = random.Random(2)
-    counts = [(lang, [k, 0], n) for lang in "ab" for k, n in enumerate([rng.randrange(1, 6) for _ in range(900)] + [50] * 20 + [70] * 5)]
-    counts += [("c", [1, 2], 3)]
-    table = spark.createDataFrame(counts, "lang string, gram array<int>, n long")
-    for most in (1, 5, 24, 25, 300, 2000):
-        got = Counter(((r.lang, tuple(r.gram)), r.n) for r in kneser_ney.most_frequent(table, most).collect())
-        assert max(got.values(), default=1) == 1
-        for lang in "abc":
-            kept = sorted(n for (x, _), n in got if x == lang)
-            all_ = sorted(n for x, _, n in counts if x == lang)
-            # The highest counts; of the lowest one that is kept some may be missing.
-            assert kept == all_[len(all_) - len(kept) :] and len(kept) <= most
-            if most >= 25:
-                assert len(kept) > min(most, len(all_)) - 10
-    assert kneser_ney.most_frequent(table.limit(0), 5).count() == 0
-
-
 def test_language_of_odd_texts(spark, docs, rows):
     got = kneser_ney.identify(docs, common.F.lit(True)).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
