@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm import hyper_mix, kneser_ney, orc_tokens, signature_tree, suffix_automaton
-from sunlattice.llm.common import doc_key, prepare, saved, table
+from sunlattice.llm.common import discard, doc_key, prepare, saved, table
 from sunlattice.llm.queries import END_ID, tokenizer_path
 
 #: Mixing, language scoring and the rest can't be told in SQL: the tests hold each stage against brute force.
@@ -47,26 +47,45 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of benchmark items; those that are mostly such go."""
+    """Documents without the passages of benchmark items; those that are mostly such go.
+
+    Null and empty texts stay as they are, and so do repeated rows, each on its own;
+    an empty benchmark or table changes nothing.
+    """
     return suffix_automaton.decontaminate(docs, table(spark, sf_dir, "benchmark"), 10, 0.5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of each source as often as its target says."""
+    """The mix: documents of each source as often as its target says, shuffled within each shard.
+
+    A null source is one of its own, a null text has size 0, rows repeated with
+    id and text are drawn together, and an empty table gives an empty mix.
+    """
     prepare(spark)
     return hyper_mix.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the token files that were written."""
-    return orc_tokens.round_trip(docs, tokenizer_path(), END_ID)
+    """doc_id, start, n_tokens, ids_crc32 of the token files that were written, in the order of the mix.
+
+    Documents are encoded where they are read: what was shuffled stays shuffled.
+    A null or empty text is its end id alone, each repeated row is written, and an
+    empty table gives no files.
+    """
+    return orc_tokens.round_trip(docs, tokenizer_path(), END_ID, by_id=False)
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("token_output", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        # What a stage has read is no longer needed once its own table is written.
+        if last is not None:
+            discard(last)
+        last = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
