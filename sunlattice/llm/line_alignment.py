@@ -2,11 +2,13 @@
 
 Runs of consecutive lines are hashed: from each line on, and up to each line, the
 shortest run of `min_words` words or more (a line that long is a run by itself).
-A hash that several different texts share links each of them with the first that
-has it (the one with the smallest doc_id), so a run shared by any number of
-documents costs one link each and no frequency is too high. Each line of a block
-that two texts share is in such a run of it, so blocks of short lines link too,
-and with `moved` a line stays only if no earlier text has it in such a block. The two documents of a link are aligned by patience
+A rare run, one that at most `rare` different texts share, links every two of
+them. A more common one links each text with the first that has it (the one with
+the smallest doc_id), so it costs one link a text however many share it. Nothing
+is lost by that: each line of a block that two texts share is in such a run of
+it, and the first text with the run has the run too, so with `moved` a line stays
+only if no earlier text has it in such a block. Blocks of short lines link as
+well. The two documents of a link are aligned by patience
 diff over their lines: lines that occur once in both anchor a longest common
 order, blocks grow from the anchors over equal neighbours, and gaps are aligned
 again. In a gap without such lines the k-th occurrences of a line in both are
@@ -14,6 +16,11 @@ the anchors, so a gap is left only when it has no common line. Aligned blocks
 with `min_words` words or more are deleted from the later document. The first
 holder of a line keeps it, so one copy of each remains.
 
+Hot runs: a run that one in `HOT` of all rows or more has is sent to all
+executors with its first text (there are at most `HOT` such), all others are
+joined by run. A text that is the first of very many is repeated as often as it
+takes to spread those over tasks.
+
 An alignment keeps one order and uses each line once. With `moved`, lines that
 it leaves but both texts have are matched again with the whole first holder, by
 a suffix automaton over its lines: every block of `min_words` words or more that
@@ -25,7 +32,9 @@ others lose all their lines.
 Null and empty texts have no lines and stay as they are. Ties of ids: rows that
 repeat both id and text count as one document and all keep the text; of
 different texts with one id the one with the smaller hash is the earlier. A null
-id comes last. Other columns are ignored. Empty tables give empty results.
+id comes last. Very long texts are aligned whole, in a time that grows with their
+lines. Other columns are ignored, whatever their names. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -35,11 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunlattice.llm.common import SPACED, Words, mix, saved, signed, slices
+from sunlattice.llm.common import SPACED, Words, buffers, discard, mix, saved, signed, slices
 
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _RUN = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Runs that so large a part of all rows has are broadcast.
+HOT = 4096
+#: Partners of one text that meet it in one task.
+PARTNERS = 512
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -212,20 +225,40 @@ def blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list
     return out
 
 
-def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False) -> tuple[DataFrame, DataFrame]:
+def _links(each: DataFrame, rare: int) -> DataFrame:
+    """tid, head: texts to align, of rows (line, text: rep, key, tid)."""
+    counts = saved(each.groupBy("line").agg(F.min("text").alias("first"), F.count("*").alias("n")).filter("n > 1"), "line-runs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    few = counts.filter(F.col("n") <= rare).select("line")
+    # At most `rare` texts a run: each with all before it.
+    holders = each.join(few, "line").groupBy("line").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    later = holders.select("texts", F.posexplode("texts").alias("place", "text")).select(F.col("text.tid").alias("tid"), F.explode(F.slice("texts", F.lit(1), F.col("place"))).alias("before"))
+    pairs = later.select("tid", F.col("before.tid").alias("head"))
+    many = counts.filter(F.col("n") > rare).select("line", F.col("first.tid").alias("head"), "n")
+    hot = F.broadcast(many.filter(F.col("n") * HOT >= total).drop("n"))
+    marked = each.select("line", F.col("text.tid").alias("tid")).join(hot, "line", "left")
+    rest = marked.filter("head is null").drop("head").join(many.filter(F.col("n") * HOT < total).drop("n"), "line")
+    common = marked.filter("head is not null").unionByName(rest).filter("tid <> head").select("tid", "head")
+    out = saved(pairs.union(common).distinct(), "line-links")
+    discard(counts)
+    return out
+
+
+def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False, rare: int = 4) -> tuple[DataFrame, DataFrame]:
     """Lines of each different text, and for later texts the places of their lines to delete with the partners."""
     rows = saved(lines_of(docs), "lines")
     last = F.lit(2**63 - 1)
     texts = rows.groupBy("text_key").agg(F.min(F.coalesce("doc_id", last)).alias("rep"), F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("at").alias("at"))
     texts = saved(texts.withColumn("tid", F.monotonically_increasing_id()), "line-texts")
-    each = runs_of(texts, min_words).select("tid", F.struct("rep", "key", "tid").alias("text"), "line")
-    # A row a run of lines, made before the shuffle as far as it goes; a run of any frequency then meets its texts in a join.
-    heads = each.groupBy("line").agg(F.min("text").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    held = each.select("tid", "line").join(heads.select("line", F.col("first.tid").alias("head"), "n"), "line").filter("tid <> head")
-    pairs = held.groupBy("tid", "head").agg(F.count("*").alias("shared"), F.min("n").alias("rarest"))
-    one = texts.select("tid", "lines", "words", "at")
-    other = texts.select(F.col("tid").alias("head"), F.col("rep").alias("head_id"), F.col("lines").alias("head_lines"))
-    both = pairs.join(one, "tid").join(other, "head").select("tid", "head_id", "lines", "words", "at", "head_lines")
+    each = saved(runs_of(texts, min_words).select(F.struct("rep", "key", "tid").alias("text"), "line"), "line-each")
+    pairs = _links(each, rare)
+    # One text for each so many of its partners.
+    spread = pairs.groupBy("head").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    other = texts.select(F.col("tid").alias("head"), F.col("rep").alias("head_id"), F.col("lines").alias("head_lines")).join(spread, "head")
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    one = pairs.join(spread, "head").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("parts")
+    one = one.join(texts.select("tid", "lines", "words", "at"), "tid")
+    both = one.join(other, ["head", "part"]).select("tid", "head_id", "lines", "words", "at", "head_lines")
 
     def cut(batches):
         for batch in batches:
@@ -243,31 +276,55 @@ def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False) -> tuple[
 
     found = both.mapInArrow(cut, "tid long, head_id long, gone array<int>").filter(F.size("gone") > 0)
     per_text = found.groupBy("tid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.sort_array(F.collect_set("head_id")).alias("partners"))
-    return rows, texts.select("text_key", "rep", "tid").join(per_text, "tid", "left").drop("tid")
+    gone = saved(texts.select("text_key", "rep", "tid").join(per_text, "tid", "left").drop("tid"), "line-gone")
+    discard(texts, each, pairs)
+    return rows, gone
 
 
-def dedupe(docs: DataFrame, min_words: int = 8, moved: bool = False) -> DataFrame:
+def dedupe(docs: DataFrame, min_words: int = 8, moved: bool = False, rare: int = 4) -> DataFrame:
     """doc_id, text without its deleted lines (null if nothing is left), n_lines, n_removed, partners of each row of docs (doc_id, text)."""
-    _, gone = overlaps(docs, min_words, moved)
-    gone = saved(gone, "line-gone")
+    lines, gone = overlaps(docs, min_words, moved, rare)
+    discard(lines)
     last = F.lit(2**63 - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("text_key"))
+    # Texts whose lines stay, and copies of a text, need no list of lines: only the rest goes by its key.
     joined = rows.join(gone, "text_key", "left")
-    parts = F.split("text", "\n")
     copy = F.col("rep").isNotNull() & (F.coalesce("doc_id", last) != F.col("rep"))
-    removed = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    full = F.size(F.filter(parts, lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0))
+    full = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long")
-    copied = copy & (n_lines > 0)
-    return joined.select(
+    wide = joined.select("doc_id", "text", n_lines.alias("n_lines"), copy.alias("copy"), "rep", "gone", "partners")
+    cleaned = wide.mapInArrow(_cleaned, "doc_id long, text string, n_lines long, copy boolean, rep long, n_gone long, partners array<long>")
+    copied = F.col("copy") & (F.col("n_lines") > 0)
+    return cleaned.select(
         "doc_id",
-        F.when(~copied, removed).alias("text"),
-        n_lines.alias("n_lines"),
-        F.when(copied, n_lines).otherwise(F.coalesce(F.size("gone"), F.lit(0)).cast("long")).alias("n_removed"),
+        F.when(~copied, F.col("text")).alias("text"),
+        "n_lines",
+        F.when(copied, F.col("n_lines")).otherwise(F.col("n_gone")).alias("n_removed"),
         F.when(copied, F.array("rep")).otherwise(F.coalesce("partners", F.array().cast("array<long>"))).alias("partners"),
     )
 
 
+def _cleaned(batches):
+    """Rows with their text without the lines listed in `gone`, which are in order."""
+    for batch in batches:
+        n_gone = batch.column(5).value_lengths().fill_null(0).cast(pa.int64()) if len(batch) else pa.array([], pa.int64())
+        changed = np.flatnonzero(n_gone.to_numpy(zero_copy_only=False) > 0)
+        text = batch.column(1)
+        if len(changed):
+            data, off = buffers(text)
+            parts, at = [], 0
+            for d in changed.tolist():
+                own = data[off[d] : off[d + 1]]
+                ends = np.concatenate([[-1], np.flatnonzero(own == 0x0A), [len(own)]])
+                keep = np.ones(len(ends) - 1, bool)
+                keep[batch.column(5)[d].values.to_numpy()] = False
+                kept = b"\n".join(own[s + 1 : e].tobytes() for s, e in zip(ends[:-1][keep], ends[1:][keep]))
+                parts += [text.slice(at, d - at), pa.array([kept.decode()], text.type)]
+                at = d + 1
+            text = pa.concat_arrays([*parts, text.slice(at)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), text, batch.column(2), batch.column(3), batch.column(4), n_gone, batch.column(6)], ["doc_id", "text", "n_lines", "copy", "rep", "n_gone", "partners"])
+
+
 def digest(deduped: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, partners, kept_crc32 (of the text that is left; null: nothing is)."""
     return deduped.select("doc_id", "n_lines", "n_removed", "partners", F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
