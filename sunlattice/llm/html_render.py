@@ -9,20 +9,30 @@ blank line around paragraphs and headings, list items have bullets or numbers an
 are indented by depth, preformatted text keeps its spaces, and the cells of a
 table are padded to the width of their column.
 
-Not visible: head contents but for nothing, script, style, template, noscript
-and similar, comments, elements with `hidden`, `aria-hidden=true`, hidden inputs,
-styles `display:none` or `visibility:hidden`, and closed details apart from
-their summary. All other text is emitted once and in order, whatever it is.
+Not visible: head contents, script, style, template, noscript and what other
+media hold in place of themselves, descriptions and definitions inside drawings
+and formulas (their labels are visible), comments, elements with `hidden`, hidden
+inputs, `display:none`, text whose nearest `visibility` is hidden or collapse (a
+descendant that says visible is seen), and closed details apart from their
+summary. `aria-hidden=true` hides from screen readers only: such text is painted
+and kept where `painted` is set, as the query does. All other text is emitted
+once and in order, whatever it is.
+
+Cells keep their columns: one that spans rows leaves its place free in the rows
+below. The work grows with the length of a page, not with its depth, but for end
+tags that a table or cell keeps from their element.
 
 A null html gives a null text, an empty one an empty text. Nesting is not limited
 (the tree is walked without recursion). Repeated rows each get a row; other
-columns are ignored; a null page_id is kept.
+columns are ignored, whatever their names; a null page_id is kept; very long
+pages are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +46,7 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe object svg math audio video canvas datalist title meta link base".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe audio video canvas datalist title meta link base desc metadata defs symbol clippath mask pattern annotation annotation-xml".split())
 HEAD = frozenset("base link meta script style template title noscript".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody thead tfoot tr td th caption ul xmp".split())
 SPACED_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr address menu dir".split())
@@ -72,6 +82,12 @@ def parse(page: str) -> Node:
     root = Node("html", {})
     body = Node("body", {})
     stack = [root]
+    #: How many elements of each tag are open: a search for none is not begun.
+    open_tags: Counter = Counter()
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_tags[node.tag] += 1
 
     def top(tag: str | None) -> None:
         """Head contents stay in the head until anything else comes: that begins the body."""
@@ -79,15 +95,16 @@ def parse(page: str) -> Node:
             if tag in HEAD and body not in root.kids and len(stack) == 1:
                 head = Node("head", {})
                 root.kids.append(head)
-                stack.append(head)
+                push(head)
             elif tag is None or tag not in HEAD or len(stack) == 1:
-                del stack[1:]
+                close(1)
                 if body not in root.kids:
                     root.kids.append(body)
-                stack.append(body)
+                push(body)
 
     def close(upto: int) -> None:
-        del stack[upto:]
+        while len(stack) > upto:
+            open_tags[stack.pop().tag] -= 1
 
     def add(text: str) -> None:
         if text:
@@ -125,14 +142,14 @@ def parse(page: str) -> Node:
         if m[2]:
             if tag in ("html", "body"):
                 continue
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not open_tags["p"]:
                 top(tag)
                 stack[-1].kids.append(Node("p", {}))
                 continue
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -150,10 +167,10 @@ def parse(page: str) -> Node:
         if tag == "head":
             if len(stack) == 1 and body not in root.kids:
                 root.kids.append(Node("head", attrs))
-                stack.append(root.kids[-1])
+                push(root.kids[-1])
             continue
         top(tag)
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_tags["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -162,40 +179,46 @@ def parse(page: str) -> Node:
                     break
         if tag in ENDS:
             ended, stops = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[x] for x in ended) else ():
                 if stack[k].tag in stops:
                     break
                 if stack[k].tag in ended:
                     close(k)
-        if tag in TABLE_PARENTS and any(x.tag == "table" for x in stack):
+        if tag in TABLE_PARENTS and open_tags["table"]:
             chain, t = [], tag
             while t in TABLE_PARENTS and stack[-1].tag not in TABLE_PARENTS[t][1]:
                 t = TABLE_PARENTS[t][0]
                 chain.append(t)
             for t in reversed(chain):
                 stack[-1].kids.append(Node(t, {}))
-                stack.append(stack[-1].kids[-1])
+                push(stack[-1].kids[-1])
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].rstrip().endswith("/") or tag in RAW:
-            stack.append(node)
+            push(node)
             if tag in RAW:
                 for_raw = tag
     return root
 
 
-def visible(node: Node) -> bool:
+def _style(node: Node) -> dict[str, str]:
+    """The last value of each property of the element's own style."""
+    parts = (x.partition(":") for x in node.attrs.get("style", "").lower().split(";"))
+    return {k.strip(" \t\n\r\f"): v.replace("!important", "").strip(" \t\n\r\f") for k, _, v in parts}
+
+
+def visible(node: Node, painted: bool = False) -> bool:
+    """Whether the element has a place in the layout; it may still say that its text is hidden."""
     a = node.attrs
     if node.tag in UNSEEN:
         return False
     if not a:
         return True
-    if "hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true":
+    if "hidden" in a and a["hidden"].lower() != "until-found" or not painted and a.get("aria-hidden", "").lower() == "true":
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    style = SPACE.sub("", a.get("style", "").lower())
-    return not ("display:none" in style or "visibility:hidden" in style or "visibility:collapse" in style)
+    return "style" not in a or _style(node).get("display") != "none"
 
 
 class Flow:
@@ -254,12 +277,12 @@ class Flow:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(root: Node) -> str:
+def render(root: Node, painted: bool = False) -> str:
     """The visible text. Each frame of the stack is a node, or what is done after it."""
     flows = [Flow()]
     tables: list[dict] = []
     stack: list = [root]
-    state = {"pre": 0, "lists": []}
+    state = {"pre": 0, "lists": [], "hidden": False}
     while stack:
         x = stack.pop()
         if callable(x):
@@ -267,14 +290,25 @@ def render(root: Node) -> str:
             continue
         flow = flows[-1]
         if isinstance(x, str):
-            flow.text(x, state["pre"] > 0)
+            if not state["hidden"]:
+                flow.text(x, state["pre"] > 0)
             continue
-        if not visible(x):
+        if not visible(x, painted):
             continue
         tag, kids = x.tag, x.kids
+        seen = _style(x).get("visibility") if "style" in x.attrs else None
+        if seen in ("hidden", "collapse", "visible") and (seen != "visible") != state["hidden"]:
+
+            def after_hidden(before=state["hidden"]):
+                state["hidden"] = before
+
+            stack.append(after_hidden)
+            state["hidden"] = seen != "visible"
         if tag == "br":
             flow._end(True)
             continue
+        if tag in ("img", "input") and state["hidden"]:
+            continue
         if tag == "img":
             if x.attrs.get("alt"):
                 flow.text(x.attrs["alt"], False)
@@ -309,10 +343,12 @@ def render(root: Node) -> str:
             flows.append(Flow())
             pre, state["pre"] = state["pre"], 0
             lists, state["lists"] = state["lists"], []
-            span = x.attrs.get("colspan", "1")
+            across, down = (int(v) if v.isdecimal() and len(v) < 6 else 1 for v in (x.attrs.get("colspan", "1"), x.attrs.get("rowspan", "1")))
+            # No rows at all mean all that are left.
+            cell = (max(1, min(across, 1000)), down or 1 << 20)
 
-            def after_cell(row=tables[-1]["rows"][-1], pre=pre, lists=lists, span=min(int(span), 1000) if span.isdecimal() else 1):
-                row.append((flows.pop().whole(), max(1, span)))
+            def after_cell(row=tables[-1]["rows"][-1], pre=pre, lists=lists, cell=cell):
+                row.append((flows.pop().whole(), *cell))
                 state["pre"], state["lists"] = pre, lists
 
             stack.append(after_cell)
@@ -353,36 +389,44 @@ def render(root: Node) -> str:
     return flows[0].whole()
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table: cells as wide as their column, their lines side by side."""
+def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table (text, columns and rows of each cell): cells as wide as their column, their lines side by side."""
     width: dict[int, int] = {}
+    #: By column that a cell from above still holds: rows it takes, this one included.
+    held: dict[int, int] = {}
+    placed: list[list[tuple[int, int, str]]] = []
     for row in rows:
-        at = 0
-        for text, span in row:
+        at, line = 0, []
+        taken = dict(held)
+        for text, span, down in row:
+            while at in taken:
+                at += 1
+            line.append((at, span, text))
             if span == 1:
                 width[at] = max(width.get(at, 0), max((len(x) for x in text.split("\n")), default=0))
+            if down > 1:
+                held.update((c, down) for c in range(at, at + span))
             at += span
+        line += [(c, 1, "") for c in taken if not any(s <= c < s + n for s, n, _ in line)] if taken else []
+        placed.append(sorted(line))
+        held = {c: n - 1 for c, n in held.items() if n > 1}
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
-            w = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-            cells.append((text.split("\n"), w))
-            at += span
+    for line in placed:
+        cells = [(text.split("\n"), sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)) for at, span, text in line]
         for k in range(max((len(c) for c, _ in cells), default=0)):
-            line = " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in cells).rstrip()
-            if line.strip(" |"):
-                out.append(line)
+            shown = " | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in cells).rstrip()
+            if shown.strip(" |"):
+                out.append(shown)
     return out
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, text of each row of pages (page_id, html)."""
+def extract(pages: DataFrame, painted: bool = False) -> DataFrame:
+    """page_id, text of each row of pages (page_id, html); `painted`: with what is hidden from screen readers only."""
     prepare(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = (None if x is None else render(parse(x)) for x in (v.as_py() for v in batch.column(1)))
+            texts = (None if x is None else render(parse(x), painted) for x in (v.as_py() for v in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, text string")

@@ -25,7 +25,7 @@ def op1_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_render.digest(html_render.extract(table(spark, sf_dir, "pages")))
+    return html_render.digest(html_render.extract(table(spark, sf_dir, "pages"), painted=True))
 
 
 def op3_quality_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
