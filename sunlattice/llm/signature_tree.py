@@ -58,6 +58,9 @@ FAN = 8
 #: Sets of a block, and shingles of a block of whole sets.
 BLOCK = 512
 BLOCK_ITEMS = 1 << 20
+#: Members of a bucket from which signatures of WIDE bits an item are used: nearly exact, so that few pairs are left of many.
+LARGE = 32
+WIDE = 16
 
 
 def _sets(column: pa.Array, width: int):
@@ -71,13 +74,13 @@ def _sets(column: pa.Array, width: int):
             yield lo + d, np.unique(h[s:e][valid[s:e]]) if e > s else none
 
 
-def _bits(n: int) -> int:
-    """Bits of a signature for a set of n shingles: a power of two, twice n at least."""
-    return 1 << max(6, (2 * n - 1).bit_length())
+def _bits(n: int, each: int = 2) -> int:
+    """Bits of a signature for a set of n shingles: a power of two, `each` times n at least."""
+    return 1 << max(6, (each * n - 1).bit_length())
 
 
-def _signature(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(_bits(len(hashes)), np.uint8)
+def _signature(hashes: np.ndarray, each: int = 2) -> bytes:
+    bits = np.zeros(_bits(len(hashes), each), np.uint8)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -123,12 +126,13 @@ def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n int, f1 long, f2 long, prefix array<long>, sig binary"), "jaccard-sets")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cid and whole shingle set of each class in `wanted` (cid), made anew from the texts.
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, wide: bool = False) -> DataFrame:
+    """cid and `items`, the whole shingle set, of each class in `wanted` (cid), made anew from the texts; `wide`: a `sig` of WIDE bits an item instead.
 
     A Bloom filter, of sixteen bits a class or more, keeps most other texts out
     of the shuffle; the join that follows is exact.
     """
+    name = "sig" if wide else "items"
     chosen = classes.join(wanted, "cid", "left_semi").select("cid", "f1", "f2", common.doc_key("rep").alias("rep"))
     chosen = saved(chosen, "jaccard-wanted")
     bits = min(26, max(12, (16 * chosen.count()).bit_length()))
@@ -149,12 +153,12 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: i
                 if len(s):
                     a, b = _print(s)
                     if all((there[h >> 3] >> (7 - (h & 7))) & 1 for (h,) in _places(np.array([a]), ids[row : row + 1], bits)):
-                        rows.append(ids[row]), f1.append(a), f2.append(b), sets.append(signed(s))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "f1", "f2", "items"])
+                        rows.append(ids[row]), f1.append(a), f2.append(b), sets.append(_signature(s, WIDE) if wide else signed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.binary() if wide else pa.list_(pa.int64()))], ["rep", "f1", "f2", name])
 
-    found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(make, "rep long, f1 long, f2 long, items array<long>")
+    found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(make, f"rep long, f1 long, f2 long, {name} {'binary' if wide else 'array<long>'}")
     # A document repeated with its id would come twice.
-    found = saved(sorted_join(found, chosen, ["rep", "f1", "f2"]).groupBy("cid").agg(F.first("items").alias("items")), "jaccard-items")
+    found = saved(sorted_join(found, chosen, ["rep", "f1", "f2"]).groupBy("cid").agg(F.first(name).alias(name)), "jaccard-items")
     discard(chosen)
     return found
 
@@ -305,37 +309,45 @@ def _bands(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) - 1e-9).cast("int"))
 
 
-def _in_blocks(rows: DataFrame, cuts: DataFrame, *rest: str) -> DataFrame:
-    """rows (token, band, cid, n, label, rest) dealt by (token, band, i, j): each two rows whose sizes fit meet once.
+def _in_blocks(rows: DataFrame, cuts: DataFrame, values: DataFrame) -> DataFrame:
+    """rows (token, band, cid, n, label) with their values (cid, value), dealt by (token, band, i, j): each two rows whose sizes fit meet once.
 
     cuts: blocks of each (token, band). Block i of a band meets each block j >= i
-    of it (as side 1 it is the later one) and each block of the band below.
+    of it (as side 1 it is the later one) and each block of the band below. The
+    values, which are wide, are joined last and move once.
     """
     kept = ["cid", "n", "label"]
     rows = rows.join(cuts, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cut")).cast("int"))
     own = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    own = own.select("token", (F.col("band") * 2).alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *kept, (F.col("block") > F.col("other")).cast("int").alias("side"), *rest)
+    own = own.select("token", (F.col("band") * 2).alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *kept, (F.col("block") > F.col("other")).cast("int").alias("side"))
     below, above = (cuts.select("token", (F.col("band") + k).alias("band"), F.col("cut").alias("cuts")) for k in (1, -1))
     many = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    up = rows.join(above, ["token", "band"]).withColumn("j", many).select("token", (F.col("band") * 2 + 1).alias("band"), F.col("block").alias("i"), "j", *kept, F.lit(0).alias("side"), *rest)
-    down = rows.join(below, ["token", "band"]).withColumn("i", many).select("token", (F.col("band") * 2 - 1).alias("band"), "i", F.col("block").alias("j"), *kept, F.lit(1).alias("side"), *rest)
+    up = rows.join(above, ["token", "band"]).withColumn("j", many).select("token", (F.col("band") * 2 + 1).alias("band"), F.col("block").alias("i"), "j", *kept, F.lit(0).alias("side"))
+    down = rows.join(below, ["token", "band"]).withColumn("i", many).select("token", (F.col("band") * 2 - 1).alias("band"), "i", F.col("block").alias("j"), *kept, F.lit(1).alias("side"))
     key = ["token", "band", "i", "j"]
-    return own.union(up).union(down).repartition(*key).sortWithinPartitions(*key)
+    dealt = sorted_join(own.union(up).union(down), values, "cid").select(*key, *kept, "side", *(c for c in values.columns if c != "cid"))
+    return dealt.repartition(*key).sortWithinPartitions(*key)
 
 
-def _tree_pairs(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them."""
     # The head of a bucket has met all others already.
     rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     kept = rows = saved(_bands(rows, percent), "jaccard-rows")
-    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    rows = rows.join(open_, "token", "left_semi")
+    open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).filter("x <> y").select("token", "members")
+    kept_open = rows = saved(rows.join(open_, "token"), "jaccard-open")
     cuts = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cut"))
-    rows = sorted_join(rows, classes.select("cid", "sig"), "cid")
-    dealt = _in_blocks(rows, cuts, "sig")
-    pairs = dealt.mapInArrow(_search(percent), "a long, b long")
+    found, wide = [], None
+    for large in (False, True):
+        part = rows.filter(F.col("members") >= LARGE if large else F.col("members") < LARGE).drop("members")
+        if large:
+            signatures = wide = _whole_sets(docs, classes, part.select("cid").distinct(), width, wide=True)
+        else:
+            signatures = classes.select("cid", "sig")
+        found.append(_in_blocks(part, cuts, signatures).mapInArrow(_search(percent), "a long, b long"))
+    pairs = found[0].union(found[1])
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-tree")
-    discard(kept)
+    discard(kept, kept_open, wide)
     return pairs
 
 
@@ -416,9 +428,9 @@ def _degrees(docs: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     pairs = named.filter("members = 2").select(F.col("node").alias("cid"), F.lit(1).cast("long").alias("n_links"))
     more = named.filter("members > 2").select(F.col("node").alias("cid"), F.col("label").alias("token"), "label")
     items = _whole_sets(docs, classes, more.select("cid"), width)
-    rows = _bands(sorted_join(more, items, "cid").withColumn("n", F.size("items")), percent)
+    rows = _bands(more.join(items.select("cid", F.size("items").alias("n")), "cid"), percent)
     cuts = rows.groupBy("token", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("cut"))
-    counted = _in_blocks(rows, cuts, "items").mapInArrow(_degrees_in(percent), "cid long, n_links long")
+    counted = _in_blocks(rows, cuts, items).mapInArrow(_degrees_in(percent), "cid long, n_links long")
     out = saved(counted.groupBy("cid").agg(F.sum("n_links").alias("n_links")).union(pairs), "jaccard-degrees")
     discard(items, named)
     return out
@@ -436,7 +448,7 @@ def _few_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent:
     discard(items, close)
     labels = components(links, "jaccard-labels")
 
-    tree = _tree_pairs(shared, labels, classes, percent)
+    tree = _tree_pairs(docs, shared, labels, classes, percent, width)
     more = saved(_possible(tree.join(star, ["a", "b"], "left_anti"), classes, percent), "jaccard-more")
     items = _whole_sets(docs, classes, more.select(F.col("a").alias("cid")).union(more.select("b")).distinct(), width)
     links = saved(links.union(_linked(more, items, percent)), "jaccard-links")
