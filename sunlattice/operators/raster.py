@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: least height over a ray that shades (metres).
+MARGIN = 0.01
+
+
 def disc(radius: float) -> list[tuple[int, int]]:
     """Offsets of the cells whose centre is within a radius (in cells)."""
     r = int(radius)
@@ -127,7 +131,7 @@ def shaded(heights: DataFrame, suns: list[tuple[int, float, float]], res: float,
     """
     rays = [(s, a, b, z) for s, elevation, azimuth in suns for a, b, z in ray_offsets(elevation, azimuth, res, highest)]
     o = F.explode(F.array(*[F.struct(F.lit(s).alias("sun"), F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(z).alias("z")) for s, a, b, z in rays]))
-    cast = heights.filter("h > 0").withColumn("o", o).filter("h > o.z")
+    cast = heights.filter("h > 0").withColumn("o", o).filter(F.col("h") > F.col("o.z") + MARGIN)
     return cast.select((F.col("i") - F.col("o.di")).alias("i"), (F.col("j") - F.col("o.dj")).alias("j"), "o.sun").distinct()
 
 
@@ -153,7 +157,7 @@ def march(heights: DataFrame, suns: list[tuple[int, float, float]], res: float,
         for ray in rays.values():
             dark = np.zeros(own.shape, bool)
             for di, dj, z in ray:
-                dark |= grid[halo + di : halo + di + band, wide + dj : wide + dj + nx] > z
+                dark |= grid[halo + di : halo + di + band, wide + dj : wide + dj + nx] > z + MARGIN
             lit += ~dark
         i, j = np.nonzero(own == 0)
         keep = i + first < ny
