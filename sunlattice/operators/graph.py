@@ -53,17 +53,35 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def edge_flows(paths: DataFrame, demand: DataFrame) -> DataFrame:
-    """a, b, flow: weights of trips (source, node, w) summed over the edges of their paths (source, node, dist, prev)."""
+    """a, b, flow: weights of trips (source, node, w) summed over the edges of their paths (source, node, dist, prev).
+
+    Without trips, or with trips that walk nowhere, there are no rows.
+    """
     at = demand.groupBy("source", "node").agg(F.sum("w").alias("w")).checkpoint()
-    flows = None
+    flows = at.select(F.col("node").alias("a"), F.col("node").alias("b"), "w").limit(0)
     while at.limit(1).count():
         moved = at.join(paths.select("source", "node", "prev"), ["source", "node"]).filter("prev is not null").checkpoint()
         part = moved.select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b"), "w")
-        flows = part if flows is None else flows.union(part)
+        flows = flows.union(part)
         at = moved.groupBy("source", F.col("prev").alias("node")).agg(F.sum("w").alias("w")).checkpoint()
     return flows.groupBy("a", "b").agg(F.sum("w").alias("flow"))
 
 
+def door_trips(paths: DataFrame, origins: DataFrame, doors: DataFrame) -> DataFrame:
+    """source, node, w: trips of each origin (id, node, w) to each destination's doors (id, node, w, a row a door).
+
+    A destination's weight is split evenly over those of its doors that a path
+    reaches; doors at one node count each. Destinations that no path reaches get
+    no trip. paths: source, node from the node of each origin.
+    """
+    ends = doors.select(F.col("id").alias("to"), "node", F.col("w").alias("w_to")).join(paths.select("source", "node"), "node")
+    # A row a source and destination.
+    reached = ends.groupBy("source", "to").agg(F.count("*").alias("n"))
+    split = ends.join(reached, ["source", "to"]).groupBy("source", "node").agg(F.sum(F.col("w_to") / F.col("n")).alias("share"))
+    from_ = origins.groupBy(F.col("node").alias("source")).agg(F.sum("w").alias("w_from"))
+    return split.join(from_, "source").select("source", "node", (F.col("w_from") * F.col("share")).alias("w"))
+
+
 def pair_usage(paths: DataFrame, doors: DataFrame) -> DataFrame:
     """a, b, flow: walks between all pairs of doors (id, node, w) that paths connect, each pair once with the product of its weights.
 

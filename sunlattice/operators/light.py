@@ -150,7 +150,7 @@ def tile_cube(cells: DataFrame, suns: DataFrame, res: float, highest: float, til
         free = mine[mine["roof"] <= 0]
         i, j = free["i"].to_numpy(), free["j"].to_numpy()
         at = (i - i0 - halo, j - j0 - halo)
-        parts = [pd.DataFrame({"month": np.int32(m), "i": i, "j": j, "hours": sums[m, 0][at], "insol": sums[m, 1][at], "midday": sums[m, 2][at]}) for m in range(1, 13)]
+        parts = [pd.DataFrame({"month": np.int32(m), "i": i, "j": j, "hours": sums[m, 0][at], "insol": sums[m, 1][at], "midday": sums[m, 2][at]}) for m in sorted({x[0] for x in way})]
         return pd.concat(parts)
 
     return dealt.groupBy("ti", "tj").applyInPandas(one, "month int, i long, j long, hours double, insol double, midday double")

@@ -76,3 +76,35 @@ def markdown_rows(rows: DataFrame, digits: dict[str, int]) -> DataFrame:
     """A column `line`: each row of a result as a row of a Markdown table, numbers with their digits."""
     cells = [F.format_number(F.col(f"`{c}`"), digits[c]) if c in digits else F.col(f"`{c}`").cast("string") for c in rows.columns]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("-")) for c in cells]), F.lit(" |")).alias("line"))
+
+
+def write_flows(path: str, edges: DataFrame, origins: DataFrame, destinations: DataFrame) -> None:
+    """The result of a routing as three tables in a folder; a later run replaces them."""
+    for name, rows in (("edges", edges), ("origins", origins), ("destinations", destinations)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    origins.groupBy("mode").agg(F.sum("w").alias("w")).write.mode("overwrite").parquet(f"{path}/modal_split")
+
+
+def read_flows(spark: SparkSession, path: str, name: str = "edges") -> DataFrame:
+    """edges, origins, destinations or modal_split of a routing."""
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def write_scenarios(rows: DataFrame, path: str) -> None:
+    """Scenarios (name and any of the fields of SCENARIO) as JSON, one a line; fields without a value are left out."""
+    rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_drawing(path: str, rings: DataFrame, points: DataFrame, covers: DataFrame) -> None:
+    """What is read off drawings, as tables: rings by layer, points by kind, flat rings by class."""
+    for name, rows, part in (("rings", rings, "layer"), ("points", points, "kind"), ("covers", covers, "class")):
+        rows.write.mode("overwrite").partitionBy(part).parquet(f"{path}/{name}")
+
+
+def read_drawing(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def element_counts(rows: DataFrame, kind: str) -> DataFrame:
+    """How many rows of each kind there are, and how many have nothing in each column."""
+    return rows.groupBy(kind).agg(F.count("*").alias("n"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"no_{c}") for c in rows.columns if c != kind])
