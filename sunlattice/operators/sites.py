@@ -48,7 +48,7 @@ def merged_trees(mapped: DataFrame, census: DataFrame, stems: DataFrame, survey:
     under 2 m and crowns under 1 m in the census, and zeros, are missing.
     """
     known = census.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.when(F.col("h") >= 2, F.col("h")).alias("ch"), F.when(F.col("crown") >= 1, F.col("crown")).alias("cc"))
-    middle = known.agg(F.median("ch").alias("mh"), F.median("cc").alias("mc"))
+    middle = spatial.whole_median(known, "ch", "cc").withColumnsRenamed({"ch": "mh", "cc": "mc"})
 
     def near(points: DataFrame) -> DataFrame:
         return spatial.nearest_within(points.select("id", "x", "y"), known.select("rid", "rx", "ry"), reach).join(known.select("rid", "ch", "cc"), "rid").select("id", "rid", "ch", "cc")

@@ -30,11 +30,32 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
 def local_median(points: DataFrame, samples: DataFrame, radius: float, least: int = 3) -> DataFrame:
     """id, z: median of the samples (rid, rx, ry, z) in the radius; that of all samples where fewer than `least` are there."""
     near = near_join(points, samples, radius).groupBy("id").agg(F.median("z").alias("near"), F.count("z").alias("n"))
-    whole = samples.agg(F.median("z").alias("whole"))
+    whole = whole_median(samples, "z").withColumnRenamed("z", "whole")
     joined = points.select("id").join(near, "id", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")
     return joined.select("id", F.when(F.col("n") >= least, F.col("near")).otherwise(F.col("whole")).alias("z"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def whole_median(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: the median of each column over a whole table, nulls aside.
+
+    Values are counted before they are put in order, by ranges: the middle is
+    found from the counts of the ranges, and only rows of its range are numbered.
+    """
+    out = None
+    for c in columns:
+        counts = rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id()).checkpoint()
+        # A row a range.
+        parts = counts.groupBy("part").agg(F.sum("n").alias("m"))
+        before = parts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("below"), F.sum("m").over(Window.partitionBy()).alias("total"), "m")
+        low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+        holds = (F.col("below") <= high) & (F.col("below") + F.col("m") > low)
+        near = counts.join(F.broadcast(before.filter(holds)), "part").withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+        first, last = F.min(F.when(F.col("upto") > low, F.col("v"))), F.min(F.when(F.col("upto") > high, F.col("v")))
+        one = near.agg(((first + last) / 2).alias(c))
+        out = one if out is None else out.join(one, F.lit(True))
+    return out
+
+
 def settle(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of points whose id a scan keeps, if a kept `before` drops an `id` for each row of pairs (id, before).
 

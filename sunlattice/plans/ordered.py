@@ -11,14 +11,14 @@ from sunlattice.plans.relations import POINTS_SQL, _points
 from sunlattice.session import table
 
 SEGMENTS_SQL = """e AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS flow, (o_custkey % 59 * 1.5)::DOUBLE AS ax, (o_orderkey % 59 * 1.5)::DOUBLE AS ay,
- (o_custkey * 7 % 59 * 1.5)::DOUBLE AS bx, (o_orderkey * 3 % 59 * 1.5)::DOUBLE AS by_ FROM orders WHERE o_orderkey % 10 = 1),
+ (o_custkey * 7 % 59 * 1.5)::DOUBLE AS bx, (o_orderkey * 3 % 59 * 1.5)::DOUBLE AS by_ FROM orders),
 n AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM e)"""
 
 
 def _segments(spark, sf_dir):
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     ends = (c % 59 * 1.5).alias("ax"), (k % 59 * 1.5).alias("ay"), (c * 7 % 59 * 1.5).alias("bx"), (k * 3 % 59 * 1.5).alias("by")
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 1").select(k.alias("id"), (F.col("o_totalprice") / 1000).alias("flow"), *ends)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), (F.col("o_totalprice") / 1000).alias("flow"), *ends)
 
 
 @query(f"""WITH {SEGMENTS_SQL}, s AS (SELECT *, unnest(generate_series(0, ceil(len / 4.0::DOUBLE)::BIGINT - 1)) AS k FROM n WHERE len > 0)

@@ -14,13 +14,13 @@ RES, NY, NX = 1.5, 60, 60
 SUNS = [(0, 12.0, 95.0), (1, 35.0, 140.0), (2, 55.0, 180.0), (3, 20.0, 262.0)]
 HIGHEST = 20.0
 
-GRID_SQL = "grid AS (SELECT l_partkey % 60 AS i, l_orderkey % 60 AS j, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)"
+GRID_SQL = "grid AS (SELECT l_partkey % 60 AS i, l_orderkey % 60 AS j, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 HEIGHTS_SQL = """cells AS (SELECT i, j FROM generate_series(0, 59) a(i), generate_series(0, 59) b(j)),
 heights AS (SELECT c.i, c.j, coalesce(o.h, 0) AS h FROM cells c LEFT JOIN (SELECT s_suppkey * 7 % 60 AS i, s_suppkey * 11 % 60 AS j, max(s_suppkey % 18 + 2)::DOUBLE AS h FROM supplier GROUP BY ALL) o ON o.i = c.i AND o.j = c.j)"""
 
 
 def _grid(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    line = table(spark, sf_dir, "lineitem")
     return line.groupBy((F.col("l_partkey") % 60).alias("i"), (F.col("l_orderkey") % 60).alias("j")).agg(F.max("l_quantity").alias("v"))
 
 
@@ -31,14 +31,14 @@ def _heights(spark, sf_dir):
     return cells.join(objects, ["i", "j"], "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
 
 
-@query(f"""WITH {GRID_SQL}, e AS (SELECT o_orderkey AS id, (o_custkey % 59 * 1.5)::DOUBLE AS ax, (o_orderkey % 59 * 1.5)::DOUBLE AS ay, (o_custkey * 7 % 59 * 1.5)::DOUBLE AS bx, (o_orderkey * 3 % 59 * 1.5)::DOUBLE AS by_ FROM orders WHERE o_orderkey % 10 = 1),
+@query(f"""WITH {GRID_SQL}, e AS (SELECT o_orderkey AS id, (o_custkey % 59 * 1.5)::DOUBLE AS ax, (o_orderkey % 59 * 1.5)::DOUBLE AS ay, (o_custkey * 7 % 59 * 1.5)::DOUBLE AS bx, (o_orderkey * 3 % 59 * 1.5)::DOUBLE AS by_ FROM orders),
 n AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len, greatest(2, trunc(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) / 2.0::DOUBLE)::INT + 1) AS n FROM e),
 s AS (SELECT id, len, k, ax + k / (n - 1)::DOUBLE * (bx - ax) AS x, ay + k / (n - 1)::DOUBLE * (by_ - ay) AS y FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM n)),
 c AS (SELECT id, len, k, trunc(round((90 - y) / 1.5, 9))::BIGINT AS i, trunc(round(x / 1.5, 9))::BIGINT AS j FROM s)
 SELECT id, count(*) AS samples, count(v) AS hits, round(any_value(len), 6) AS length, round(avg(v), 6) AS mean FROM c LEFT JOIN grid USING (i, j) GROUP BY id""")
 def segment_sampling(spark, sf_dir):
     """Mean value of the cells along street segments; null where no sample has one, the segment stays."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 1")
+    o = table(spark, sf_dir, "orders")
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     seg = o.select(k.alias("id"), (c % 59 * 1.5).alias("ax"), (k % 59 * 1.5).alias("ay"), (c * 7 % 59 * 1.5).alias("bx"), (k * 3 % 59 * 1.5).alias("by"))
     s = raster.segment_samples(seg, 2.0)
@@ -106,7 +106,7 @@ def shadow_march(spark, sf_dir):
     return raster.march(_heights(spark, sf_dir), SUNS, RES, HIGHEST, NY, NX, band=16)
 
 
-@query("""WITH suns AS (SELECT s_suppkey AS k, (12 + s_suppkey % 50)::DOUBLE AS el, (s_suppkey * 37 % 360)::DOUBLE AS az, (100 + s_suppkey % 700)::DOUBLE AS w FROM supplier WHERE s_suppkey <= 200),
+@query("""WITH suns AS (SELECT s_suppkey AS k, (12 + s_suppkey % 50)::DOUBLE AS el, (s_suppkey * 37 % 360)::DOUBLE AS az, (100 + s_suppkey % 700)::DOUBLE AS w FROM supplier),
 d AS (SELECT *, 8.0::DOUBLE / tan(radians(el)) AS reach FROM suns),
 f AS (SELECT DISTINCT k, w, round_even((c * cos(radians(az)) * 1.5 + oi * 1.5) / 1.5, 0)::BIGINT AS di, round_even((-c * sin(radians(az)) * 1.5 + oj * 1.5) / 1.5, 0)::BIGINT AS dj
  FROM d, generate_series(0, 24) g(c), generate_series(-2, 2) a(oi), generate_series(-2, 2) b(oj) WHERE oi * oi + oj * oj <= 4 AND c * 1.5 <= least(reach, 36))
@@ -114,7 +114,7 @@ SELECT di, dj, round(0.85 * sum(w) / (SELECT sum(w) FROM suns), 8) AS share FROM
 def shadow_kernel(spark, sf_dir):
     """Share of the irradiance that an object of 8 m takes from each cell around it, weighed over sun positions."""
     k = F.col("s_suppkey")
-    suns = table(spark, sf_dir, "supplier").filter("s_suppkey <= 200").select(k.alias("k"), (12 + k % 50).cast("double").alias("el"), (k * 37 % 360).cast("double").alias("az"), (100 + k % 700).cast("double").alias("w"))
+    suns = table(spark, sf_dir, "supplier").select(k.alias("k"), (12 + k % 50).cast("double").alias("el"), (k * 37 % 360).cast("double").alias("az"), (100 + k % 700).cast("double").alias("w"))
     reach = F.least(8.0 / F.tan(F.radians("el")), F.lit(36.0))
     c = F.explode(F.sequence(F.lit(0), (reach / RES).cast("int")))
     foot = raster.disc(2.0)

@@ -69,9 +69,10 @@ def merged_trees(spark, sf_dir):
     c, s = relations._points(spark, sf_dir)
     mapped = s.select(F.col("rid").alias("id"), F.col("rx").alias("x"), F.col("ry").alias("y"), (F.col("rid") % 4 * 5).cast("double").alias("h"), F.lit(None).cast("double").alias("crown"), (F.col("rid") % 7 == 0).alias("evergreen"))
     census = c.withColumn("h", (F.col("id") % 25).cast("double")).withColumn("crown", (F.col("id") % 9).cast("double"))
-    o = ordered._segments(spark, sf_dir).filter("id % 50 = 1")
+    row = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), *relations._xy("s_suppkey"))
+    o = row.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 5 + F.col("id") % 23).alias("bx"), (F.col("y") + F.col("id") % 19).alias("by"))
     stems = sequences.stems(o, 4.0).select((F.col("id") * 1000 + F.col("k")).alias("id"), "x", "y")
-    survey = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), *relations._xy("p_partkey"))
+    survey = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *relations._xy("p_partkey"))
     return sites.merged_trees(mapped, census, stems, survey)
 
 

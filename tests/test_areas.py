@@ -2,10 +2,11 @@
 
 import json
 import math
+import statistics
 
 import pytest
 
-from sunlattice.operators import areas, graph, light
+from sunlattice.operators import areas, graph, light, spatial
 from sunlattice.plans.registry import QUERIES
 from sunlattice.session import with_checkpoints
 from sunlattice.sources import studies
@@ -85,3 +86,12 @@ def test_results_are_written_and_read(spark, tmp_path):
     assert studies.read_drawing(spark, f"{path}/d", "rings").filter("layer = 'roof'").first().pos == 1
     counts = studies.element_counts(spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "kind string, v int"), "kind")
     assert {(r.kind, r.n, r.no_v) for r in counts.collect()} == {("a", 2, 1), ("b", 1, 0)}
+
+
+def test_median_of_a_whole_table(spark):
+    with_checkpoints(spark)
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, None], list(range(101)), [2.0] * 50 + [9.0] * 50, [None]):
+        rows = spark.createDataFrame([(None if v is None else float(v), float(k)) for k, v in enumerate(values)], "z double, y double")
+        known = [v for v in values if v is not None]
+        got = spatial.whole_median(rows, "z", "y").first()
+        assert got.z == (statistics.median(known) if known else None) and got.y == statistics.median(range(len(values)))
