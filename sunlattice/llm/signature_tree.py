@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with signature trees.
+"""N-gram Jaccard join with a signature tree a bucket.
 
 Documents are compared by their sets of shingles of `width` words and joined
 when the Jaccard similarity reaches `percent` / 100. The result is one row a document
@@ -20,7 +20,7 @@ How it runs:
    label then is not searched again.
 4. A bucket that still has several labels is searched by a
    signature tree: leaves hold a bitmap of the set and its size, nodes the OR of
-   their bitmaps and the range of their sizes. Two trees (or one with itself)
+   their bitmaps and the range of their sizes. Two of them (or one with itself)
    are walked in pairs of nodes; a pair is left when all below has one label
    already, when the size ranges can't fit, or when the largest overlap that
    the bitmaps allow is below what the smallest sizes need. Large buckets are
@@ -28,7 +28,7 @@ How it runs:
 5. Pairs of either kind whose own bitmaps allow enough overlap are counted exactly
    on the whole sets. That gives all components.
 6. Where all links are wanted, the sets of each component of three classes or
-   more meet once more, in blocks by size: trees over them prune as before, but
+   more meet once more, in blocks by size: a tree over each prunes as before, but
    not by label, the pairs left are counted exactly within the task by a matrix
    product, and what leaves it is a number of links for each set, no pair. Sets
    that are linked are in one component, so no link is missed.
@@ -257,7 +257,7 @@ def _children(a, b, n_a, n_b, down_a, down_b):
 
 
 def _search(percent: int):
-    """Over rows sorted by (token, band, i, j): walk each group's trees, yield the pairs that are left."""
+    """Over rows sorted by (token, band, i, j): walk each group's tree or two, yield the pairs that are left."""
 
     def group(rows):
         cid, n, label, side = (np.concatenate([r[k] for r in rows]) for k in range(4))
@@ -330,7 +330,7 @@ def _in_blocks(rows: DataFrame, cuts: DataFrame, values: DataFrame) -> DataFrame
 
 
 def _tree_pairs(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a < b) in buckets whose members have different labels, as far as the trees leave them."""
+    """Pairs (a < b) in buckets whose members have different labels, as far as the search leaves them."""
     # The head of a bucket has met all others already.
     rows = shared.filter("cid <> head").select("token", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     kept = rows = saved(_bands(rows, percent), "jaccard-rows")
@@ -388,8 +388,8 @@ def _degrees_in(percent: int):
         cid, n, side, sets = cid[order], n[order].astype(np.int64), side[order], [sets[k] for k in order]
         # No two labels are alike: only sizes and bitmaps prune.
         parts = [np.flatnonzero(side == k) for k in ((0, 0) if same else (0, 1))]
-        trees = [Tree(n[x], k * len(n) + np.arange(len(x)), bits[x]) for k, x in enumerate(parts)]
-        a, b = trees[0].pairs(trees[0] if same else trees[1], percent)
+        both_ = [Tree(n[x], k * len(n) + np.arange(len(x)), bits[x]) for k, x in enumerate(parts)]
+        a, b = both_[0].pairs(both_[0] if same else both_[1], percent)
         if not len(a):
             return cid[:0], n[:0]
         a, b = parts[0][a], parts[1][b]
@@ -437,7 +437,7 @@ def _degrees(docs: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
 
 
 def _few_links(docs: DataFrame, shared: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) enough for the components, and their labels: first with the heads of buckets, then by trees where labels differ."""
+    """Links (a, b) enough for the components, and their labels: first with the heads of buckets, then by a tree a bucket where labels differ."""
     # What can still be shared from this place on bounds the overlap.
     rest = F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) + F.least("pos", "head_pos")
     star = shared.filter(F.col("cid") != F.col("head")).filter(rest * (100 + percent) >= percent * (F.col("n") + F.col("head_n")))

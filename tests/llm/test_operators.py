@@ -82,7 +82,7 @@ def test_jaccard_components(docs, rows, none):
     assert signature_tree.jaccard_components(none).count() == 0
 
 
-def test_signature_trees_prune_no_pair(monkeypatch):
+def test_signature_tree_prunes_no_pair(monkeypatch):
     rng = np.random.default_rng(3)
     sets = []
     for _ in range(60):
