@@ -56,14 +56,14 @@ def segment_samples(segments: DataFrame, step: float) -> DataFrame:
     return rows.select("id", "k", "len", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
 
 
-def stamp_crowns(trees: DataFrame, res: float) -> DataFrame:
+def stamp_crowns(plants: DataFrame, res: float) -> DataFrame:
     """i, j, top, bottom of crowns (x, y, h, crown): ellipsoids on cells, highest top and lowest bottom.
 
     Heights are held to 3-30 m, radii to 1-8 m, the crown begins at 2 m or 35 % of the height.
     """
     h = F.greatest(F.lit(3.0), F.least(F.lit(30.0), F.col("h")))
     r = F.greatest(F.lit(1.0), F.least(F.lit(8.0), F.col("crown") / 2))
-    t = trees.withColumn("h", h).withColumn("r", r).withColumn("base", F.greatest(F.lit(2.0), 0.35 * F.col("h")))
+    t = plants.withColumn("h", h).withColumn("r", r).withColumn("base", F.greatest(F.lit(2.0), 0.35 * F.col("h")))
     reach = (F.col("r") / res).cast("int") + 1
     t = t.withColumn("ci", F.floor(F.col("y") / res)).withColumn("cj", F.floor(F.col("x") / res)).withColumn("di", F.explode(F.sequence(-reach, reach))).withColumn("dj", F.explode(F.sequence(-reach, reach)))
     t = t.withColumn("i", F.col("ci") + F.col("di")).withColumn("j", F.col("cj") + F.col("dj"))

@@ -1,4 +1,4 @@
-"""Site models from maps, surveys and censuses: heights, trees, where walks begin and end."""
+"""Site models from maps, surveys and censuses: heights, plants, where walks begin and end."""
 
 from __future__ import annotations
 
@@ -38,11 +38,11 @@ def unmapped_volumes(buildings: DataFrame, volumes: DataFrame, ground: DataFrame
     return rows.select(F.col("id").alias("rid"), F.least(F.lit(HIGHEST), F.col("h")).alias("height"))
 
 
-def merged_trees(mapped: DataFrame, census: DataFrame, stems: DataFrame, survey: DataFrame, reach: float = 8.0) -> DataFrame:
-    """source, key, x, y, h, crown, evergreen of trees from four sources, in their order; what is too near to a kept one goes.
+def merged_plants(mapped: DataFrame, census: DataFrame, stems: DataFrame, survey: DataFrame, reach: float = 8.0) -> DataFrame:
+    """source, key, x, y, h, crown, evergreen of plants from four sources, in their order; what is too near to a kept one goes.
 
     mapped (id, x, y, h, crown, evergreen) and census (id, x, y, h, crown); stems
-    and survey (id, x, y). Mapped and survey trees take what they lack from the
+    and survey (id, x, y). Mapped and survey plants take what they lack from the
     nearest census tree within reach, whose own row then is not used again if a
     mapped tree took it; what is still missing is the census median. Heights
     under 2 m and crowns under 1 m in the census, and zeros, are missing.

@@ -24,7 +24,7 @@ def _segments(spark, sf_dir):
 @query(f"""WITH {SEGMENTS_SQL}, s AS (SELECT *, unnest(generate_series(0, ceil(len / 4.0::DOUBLE)::BIGINT - 1)) AS k FROM n WHERE len > 0)
 SELECT id, k, round(ax + k * 4 / len * (bx - ax), 6) AS x, round(ay + k * 4 / len * (by_ - ay), 6) AS y FROM s""")
 def tree_row_stems(spark, sf_dir):
-    """Stems every 4 m along rows of trees."""
+    """Stems every 4 m along rows of plants."""
     return sequences.stems(_segments(spark, sf_dir), 4.0).select("id", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

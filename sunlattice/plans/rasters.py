@@ -54,8 +54,8 @@ SELECT i, j, round(max(b + (h - b) / 2 + (h - b) / 2 * sqrt(1 - rr)), 6) AS top,
 def crown_stamp(spark, sf_dir):
     """Tree crowns as ellipsoids on cells."""
     k = F.col("s_suppkey")
-    trees = table(spark, sf_dir, "supplier").select((k * 13 % 97).cast("double").alias("x"), (k * 29 % 89).cast("double").alias("y"), (k % 40).cast("double").alias("h"), (k % 21).cast("double").alias("crown"))
-    return raster.stamp_crowns(trees, RES).select("i", "j", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
+    plants = table(spark, sf_dir, "supplier").select((k * 13 % 97).cast("double").alias("x"), (k * 29 % 89).cast("double").alias("y"), (k % 40).cast("double").alias("h"), (k % 21).cast("double").alias("crown"))
+    return raster.stamp_crowns(plants, RES).select("i", "j", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
 
 
 @query("""WITH l AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 3 END AS area, CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 7 = 1 THEN 2 END AS road,

@@ -224,7 +224,7 @@ def cost_benefit(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     base = s.groupBy(F.col("s_nationkey").alias("point")).agg((F.max("s_acctbal") / 1000).alias("base"))
     rows = s.groupBy(F.col("s_nationkey").alias("point"), (F.col("s_suppkey") % 2).alias("solution"), (F.col("s_suppkey") % 3).alias("level")).agg((F.avg("s_acctbal") / 1000).alias("hours"), F.sum(F.col("s_suppkey") % 40).alias("qty"))
-    trees = F.col("solution") == 0
+    planted = F.col("solution") == 0
     rows = rows.join(base, "point").withColumn("dsun", F.col("base") - F.col("hours"))
-    rows = rows.withColumn("cost", F.when(trees, F.col("qty") * 500.0).otherwise(F.col("qty") * 2.25 * 150)).withColumn("yearly", F.when(trees, F.col("qty") * 100.0).otherwise(F.col("qty") * 2.25 * 12))
+    rows = rows.withColumn("cost", F.when(planted, F.col("qty") * 500.0).otherwise(F.col("qty") * 2.25 * 150)).withColumn("yearly", F.when(planted, F.col("qty") * 100.0).otherwise(F.col("qty") * 2.25 * 12))
     return rows.select("point", "solution", "level", F.round("dsun", 6).alias("dsun"), F.round("cost", 2).alias("cost"), F.round("yearly", 2).alias("yearly"), F.when(F.col("dsun") > 0.05, F.round(F.col("cost") / F.col("dsun"), 4)).alias("eff"))

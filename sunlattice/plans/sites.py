@@ -1,4 +1,4 @@
-"""Heights, trees, rings, where walks begin and end, exposure of routes and points."""
+"""Heights, plants, rings, where walks begin and end, exposure of routes and points."""
 
 from __future__ import annotations
 
@@ -64,8 +64,8 @@ def walk_origins(spark, sf_dir):
 
 
 @query()
-def merged_trees(spark, sf_dir):
-    """Trees of a map, a census, rows and a survey, each once; tested against brute force."""
+def merged_plants(spark, sf_dir):
+    """Plants of a map, a census, rows and a survey, each once; tested against brute force."""
     c, s = relations._points(spark, sf_dir)
     mapped = s.select(F.col("rid").alias("id"), F.col("rx").alias("x"), F.col("ry").alias("y"), (F.col("rid") % 4 * 5).cast("double").alias("h"), F.lit(None).cast("double").alias("crown"), (F.col("rid") % 7 == 0).alias("evergreen"))
     census = c.withColumn("h", (F.col("id") % 25).cast("double")).withColumn("crown", (F.col("id") % 9).cast("double"))
@@ -73,7 +73,7 @@ def merged_trees(spark, sf_dir):
     o = row.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 5 + F.col("id") % 23).alias("bx"), (F.col("y") + F.col("id") % 19).alias("by"))
     stems = sequences.stems(o, 4.0).select((F.col("id") * 1000 + F.col("k")).alias("id"), "x", "y")
     survey = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *relations._xy("p_partkey"))
-    return sites.merged_trees(mapped, census, stems, survey)
+    return sites.merged_plants(mapped, census, stems, survey)
 
 
 @query("""WITH c AS (SELECT l_partkey % 50 AS i, l_orderkey % 40 AS j, l_orderkey * 10 + l_linenumber AS ordinal, l_linenumber % 3 AS kind, l_quantity AS h FROM lineitem),

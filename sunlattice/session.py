@@ -11,7 +11,10 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     """The cluster's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark
 
 

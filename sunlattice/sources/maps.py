@@ -32,7 +32,7 @@ def tag(name: str) -> Column:
 
 
 def split_map(rows: DataFrame) -> dict[str, DataFrame]:
-    """buildings (rings of role and pts), trees, tree_rows and roads (line); an element goes to the first layer whose tag it has."""
+    """buildings (rings of role and pts), plants, tree_rows and roads (line); an element goes to the first layer whose tag it has."""
     where = ("part", "file", "pos", "id", "tags")
     drawn = F.filter(F.coalesce("members", F.array().cast(rows.schema["members"].dataType)), lambda m: m.geometry.isNotNull())
     rings = F.when((F.col("type") == "way") & F.col("geometry").isNotNull(), F.array(F.struct(F.lit("outer").alias("role"), F.col("geometry").alias("pts"))))
@@ -42,7 +42,7 @@ def split_map(rows: DataFrame) -> dict[str, DataFrame]:
     of = lambda name: rows.filter(F.col("layer") == name)
     return {
         "buildings": of("building").withColumn("rings", rings).filter(F.size("rings") > 0).select(*where, "rings"),
-        "trees": of("tree").select(*where, "lat", "lon"),
+        "plants": of("tree").select(*where, "lat", "lon"),
         "tree_rows": of("tree_row").select(*where, F.col("geometry").alias("line")),
         "roads": of("road").select(*where, F.col("geometry").alias("line"), tag("highway").alias("highway")),
     }

@@ -35,7 +35,7 @@ def test_map_layers(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"elements": []}))
     rows = maps.elements(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
     got = {k: {r.id: r for r in df.collect()} for k, df in maps.split_map(rows).items()}
-    assert {k: sorted(v) for k, v in got.items()} == {"buildings": [1, 2], "trees": [4], "tree_rows": [5], "roads": [6, 7, 8]}
+    assert {k: sorted(v) for k, v in got.items()} == {"buildings": [1, 2], "plants": [4], "tree_rows": [5], "roads": [6, 7, 8]}
     assert [r.role for r in got["buildings"][2].rings] == ["outer", "outer"]
     transit = maps.split_transit(rows)
     assert {r.id: r.kind for r in transit["nodes"].collect()} == {4: None, 9: "metro", 10: None}
@@ -71,7 +71,7 @@ def test_drawings_scenarios_and_cubes(spark, tmp_path):
     plan = tmp_path / "s.json"
     plan.write_text(json.dumps({"name": "t", "trees": [[1, 2, 8, 5]], "sails": [[3, 4]], "sail_cells": [[5, 6], [7, 8]]}))
     parts = studies.scenarios(spark, str(plan))
-    assert sorted((r.h, r.evergreen) for r in parts["trees"].collect()) == [(4.1, True), (8.0, False)]
+    assert sorted((r.h, r.evergreen) for r in parts["plants"].collect()) == [(4.1, True), (8.0, False)]
     assert [(r.h, r.light) for r in parts["sheets"].collect()] == [(6.0, 0.28)] * 2
     cube = spark.createDataFrame([("a", m, 0, 0, float(m), 1.0, 2.0) for m in range(1, 13)], "scenario string, month int, i int, j int, hours double, insol double, midday double")
     studies.write_cube(cube, str(tmp_path / "cube"))
@@ -139,7 +139,7 @@ def test_chains_follow_the_order(spark):
     assert sequences.chain_rings(df.limit(0)).count() == 0
 
 
-def test_trees_come_once(spark):
+def test_plants_come_once(spark):
     with_checkpoints(spark)
     rng = random.Random(6)
     place = lambda: (rng.randrange(120) / 2, rng.randrange(120) / 2)
@@ -176,7 +176,7 @@ def test_trees_come_once(spark):
         c = near(x, y)
         add(3, k, x, y, *(clean(c) if c else (None, None)), False, 8.0)
     df = spark.createDataFrame
-    got = sites.merged_trees(df(mapped, "id long, x double, y double, h double, crown double, evergreen boolean"), df(census, "id long, x double, y double, h double, crown double"), df(stems, "id long, x double, y double"), df(survey, "id long, x double, y double"))
+    got = sites.merged_plants(df(mapped, "id long, x double, y double, h double, crown double, evergreen boolean"), df(census, "id long, x double, y double, h double, crown double"), df(stems, "id long, x double, y double"), df(survey, "id long, x double, y double"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(kept)
 
 
@@ -268,5 +268,5 @@ def test_holes_empty_what_stood(spark):
 
 
 def test_registered(spark):
-    for name in ("walk_origins", "merged_trees", "building_usage", "seeded_place"):
+    for name in ("walk_origins", "merged_plants", "building_usage", "seeded_place"):
         assert QUERIES[name](spark, SF).count() > 0, name
