@@ -114,7 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: i
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
     if by_id:
-        rows = rows.select("doc_id", "text", F.lit("").alias("file"), F.lit(0).cast("long").alias("block")).withColumn("tie", F.xxhash64("text"))
+        rows = rows.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
         rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -122,12 +122,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: i
         encoder, at, part, task = _encoder(tokenizer, words_kept), 0, None, TaskContext.get().partitionId()
         for batch in batches:
             data, off = buffers(batch.column(1))
-            # Rows of one piece of a file follow each other.
-            piece = batch.column(2).dictionary_encode().indices.to_numpy(), batch.column(3).to_numpy()
-            cuts = np.flatnonzero((piece[0][1:] != piece[0][:-1]) | (piece[1][1:] != piece[1][:-1])) + 1
+            cuts = np.zeros(0, np.int64)
+            if not by_id:
+                # Rows of one piece of a file follow each other.
+                file, block = batch.column(2).dictionary_encode().indices.to_numpy(), batch.column(3).to_numpy()
+                cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
             lo = 0
             while lo < len(batch):
-                name = f"{batch.column(2)[lo].as_py()} {max(0, int(piece[1][lo])):020d} {task:010d}"
+                name = f"{task:010d}" if by_id else f"{batch.column(2)[lo].as_py()} {max(0, int(block[lo])):020d} {task:010d}"
                 if name != part:
                     part, at = name, 0
                 # A batch of output for about a megabyte of text of one piece.
