@@ -12,9 +12,11 @@ each other as their ranges, or as the names of their files and their places in
 them, which is the order that a table was written in.
 
 Words are encoded once and remembered: pieces between ASCII white space never
-share a token in this tokenizer, so a text's ids are those of its pieces. The
-memory for that is bounded by about three times `words_kept` pieces in each
-Python worker, which keeps it from task to task.
+share a token in this tokenizer, so a text's ids are those of its pieces. A piece
+of Latin letters, digits and marks is cut into words by the tokenizer's own
+pattern, and each word goes to its model alone; any other piece goes through the
+whole tokenizer. The memory for that is bounded by about three times `words_kept`
+pieces and their words in each Python worker, which keeps it from task to task.
 
 A null text is empty: its only id is the end id. Equal doc_ids stand in order of
 their text's hash; a null doc_id comes first. Empty tables give no files and an
@@ -24,20 +26,34 @@ empty result. Columns besides doc_id and text are not written.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
+from collections.abc import Iterable
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunlattice.llm.common import buffers, prepare, shared_dir
 
-#: Points and commas after an ASCII letter or digit, up to the end of the piece.
-_TAIL = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\x20\x09-\x0D]|\Z)")
+#: ASCII marks after an ASCII letter or digit, up to the end of the piece.
+_TAIL = re.compile(rb"(?<=[a-z0-9])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
+
+#: Characters whose normal form, lower case and class are the same in every library (no marks that combine, no sigma).
+_LATIN = re.compile(r"[\x21-\x7e\u00a1-\u024f\u2010-\u2027]+")
+
+#: Fixed value: how the tokenizer's file cuts text into words.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+#: Byte-level tokens write printable bytes as themselves and the others as the characters from 256 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip(sorted(set(range(256)) - set(_PRINTED)), range(256, 512)))
 
 SCHEMA = "doc_id long, part string, at long, n_tokens long, ids array<int>"
 
@@ -49,6 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_kept = words_kept
         #: What is known, and what was before that: words still in use move over, the rest is forgotten.
@@ -58,25 +75,29 @@ class Encoder:
     def _learn(self, words: set[bytes]) -> None:
         again = words & self.before.keys()
         self.known.update((w, self.before[w]) for w in again)
-        plain, odd = [], []
+        odd = []
         for w in words - again:
             s = w.decode()
-            (plain if s.isascii() and "<|" not in s or unicodedata.is_normalized("NFC", s) and not any(x in s for x in self.specials) else odd).append((w, s))
+            if "<|" not in s and (s.isascii() and s.isprintable() or _LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s)):
+                self.known[w] = b"".join(map(self._word, _WORDS.findall(s.lower())))
+            else:
+                odd.append((w, s))
         for i in range(0, len(odd), 512):
             part = odd[i : i + 512]
             for (w, _), e in zip(part, self.tokenizer.encode_batch([s for _, s in part], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for i in range(0, len(plain), 1024):
-            part = plain[i : i + 1024]
-            e = self.tokenizer.encode(" ".join(s for _, s in part), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            begins = np.cumsum([0, *(len(s) + 1 for _, s in part)])
-            at = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begins)
-            for k, (w, _) in enumerate(part):
-                self.known[w] = ids[at[k] : at[k + 1]].tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one word of the pattern, in lower case."""
+        key = word.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            tokens = self.model.tokenize(word if word.isascii() else key.decode("latin-1").translate(_BYTES))
+            ids = self.known[key] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
 
     def pieces(self, text: bytes) -> list[bytes]:
-        """White-space pieces in lower case, with points and commas that end a word on their own.
+        """White-space pieces in lower case, with marks that end a word on their own.
 
         The tokenizer does both itself; done here, fewer different pieces are
         left to encode. Texts that may hold special tokens stay as they are.
@@ -87,18 +108,18 @@ class Encoder:
         """The ids of each text. What a call adds to the memory is bounded by taking long texts in runs."""
         out = [self.pieces(t) for t in texts]
         if sum(map(len, out)) <= self.words_kept:
-            self._know(set().union(*out))
+            self._know(chain.from_iterable(out))
             return [b"".join(map(self.known.__getitem__, w)) for w in out]
         return [b"".join(self._run(w[i : i + self.words_kept]) for i in range(0, len(w), self.words_kept)) for w in out]
 
     def _run(self, words: list[bytes]) -> bytes:
-        self._know(set(words))
+        self._know(words)
         return b"".join(map(self.known.__getitem__, words))
 
-    def _know(self, words: set[bytes]) -> None:
+    def _know(self, words: Iterable[bytes]) -> None:
         if len(self.known) > self.words_kept:
             self.known, self.before = {}, self.known
-        missing = words.difference(self.known)
+        missing = set(filterfalse(self.known.__contains__, words))
         if missing:
             self._learn(missing)
 

@@ -57,3 +57,24 @@ def test_stages_on_odd_and_empty_tables(spark):
         if name == "token_output":
             assert ids == Counter(r[0] for r in rows) and out.agg(common.F.min("n_tokens")).first()[0] == 1
         assert set(ids) <= {r[0] for r in rows}
+
+
+def test_pieces_have_the_ids_of_the_whole_tokenizer():
+    """Every kind of character beside every other, in any case, composed or not."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from sunlattice.llm.orc_tokens import Encoder
+    from sunlattice.llm.queries import tokenizer_path
+
+    draw = random.Random(3)
+    letters = "abzABZ019 .,'’–<|>«»éÉñçßİıŸǅǈª²½­_^ \u0085\x1c\x1f\x07ΣσΑς中文é'sdtlrevm\n\t"
+    rows = ["".join(draw.choices([*letters, "<|endoftext|>", "###"], k=draw.randint(0, 40))) for _ in range(4000)]
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(whole.encode(r, add_special_tokens=False).ids, "<u4").tobytes() for r in rows]
+    # A small memory forgets words between and within calls.
+    for kept in (300_000, 50):
+        encoder = Encoder(tokenizer_path(), kept)
+        assert [ids for i in range(0, len(rows), 100) for ids in encoder.encode([r.encode() for r in rows[i : i + 100]])] == want
