@@ -80,6 +80,35 @@ def test_greedy_takes_the_best_each_time(spark):
     assert len(got) == 8
 
 
+def test_greedy_over_tiles(spark):
+    """Only the best tiles are searched, with ties, a null kind, seeds and cells below zero; gains are exact in halves."""
+    rng = random.Random(3)
+    kernel, seeds, spacing, most = [(a, b, 0.5) for a, b in raster.disc(1.0)], ((-9.0, 20.0, 3.0, 2),), 2.5, 5
+    grids = {k: {(i, j): (float(rng.randrange(3)), float(rng.randrange(1, 4))) for i in range(-20, 25) for j in range(-15, 30) if rng.random() < 0.8} for k in ("a", None)}
+    rows = [(k, i, j, w, s, "x") for k, grid in grids.items() for (i, j), (w, s) in grid.items()]
+    schema = "kind string, i int, j int, weight double, sun double, ti string"
+    want = set()
+    for kind, cells in grids.items():
+        sun, free, n = {c: v[1] for c, v in cells.items()}, set(cells), 0
+
+        def gain(c):
+            return sum(x * cells[c[0] + a, c[1] + b][0] * sun[c[0] + a, c[1] + b] for a, b, x in kernel if (c[0] + a, c[1] + b) in cells)
+
+        for ci, cj, radius, until in [(*seeds[0][:3], seeds[0][3]), (0, 0, 1e9, most)]:
+            while n < until:
+                at = min((c for c in free if math.hypot(c[0] - ci, c[1] - cj) <= radius), key=lambda c: (-gain(c), c))
+                want.add((kind, n, *at, gain(at)))
+                n += 1
+                for a, b, x in kernel:
+                    if (at[0] + a, at[1] + b) in sun:
+                        sun[at[0] + a, at[1] + b] *= 1 - x
+                free -= {c for c in free if math.hypot(c[0] - at[0], c[1] - at[1]) < spacing}
+    for tile in (3, 64):
+        got = placement.greedy(spark.createDataFrame(rows, schema), kernel, spacing, most, 0.0, seeds, tile)
+        assert {tuple(r) for r in got.collect()} == want
+    assert placement.greedy(spark.createDataFrame([], schema), kernel, spacing, most).count() == 0
+
+
 def test_stops_of_a_name_merge_in_order(spark):
     rng = random.Random(4)
     stops = [(k, rng.choice(["a", "b", None]), rng.random() * 40, rng.random() * 40) for k in range(200)]
