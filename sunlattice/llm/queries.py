@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, signature_tree, suffix_automaton, warc_zstd
+from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, ranked_search, signature_tree, suffix_automaton, warc_zstd
 from sunlattice.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,13 +70,17 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.digest(suffix_automaton.mark(docs, table(spark, sf_dir, "benchmark"), 10))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton]
+    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton, op11_ranked_search]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_zstd": WARC_SQL}
+    return {"op9_warc_zstd": WARC_SQL, "op11_ranked_search": SEARCH_SQL}
 
 
 WARC_SQL = """
@@ -92,3 +96,27 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents WHERE text IS NOT NULL
+), size AS (
+  SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size
+), item AS (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)
+), held AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM item) GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, total GROUP BY term
+), score AS (
+  SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM item JOIN held USING (term) JOIN weight USING (term) JOIN size USING (r), total GROUP BY item_id, doc_id, r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
