@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, ranked_search, signature_tree, suffix_automaton, warc_zstd
+from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, ranked_search, signature_tree, suffix_automaton, vantage_tree, warc_zstd
 from sunlattice.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,13 +74,19 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op12_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return vantage_tree.mine(vectors, F.col("vec_id") % 100 == 0, 5, 5, (80, 100), 256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton, op11_ranked_search]
+    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton, op11_ranked_search, op12_vantage_tree]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_zstd": WARC_SQL, "op11_ranked_search": SEARCH_SQL}
+    return {"op9_warc_zstd": WARC_SQL, "op11_ranked_search": SEARCH_SQL, "op12_vantage_tree": NEGATIVES_SQL}
 
 
 WARC_SQL = """
@@ -120,3 +126,20 @@ WITH d AS (
 )
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pair AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.r <> b.r
+), positive AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS place FROM pair WHERE same
+), negative AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other_id) AS rank
+  FROM positive p JOIN pair n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5
+"""
