@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, ranked_search, signature_tree, suffix_automaton, vantage_tree, warc_zstd
+from sunlattice.llm import html_render, hyper_mix, kneser_ney, line_alignment, lpt_shards, orc_tokens, quality_sketch, ranked_search, signature_tree, subword_quality, suffix_automaton, vantage_tree, warc_zstd
 from sunlattice.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,8 +80,13 @@ def op12_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_tree.mine(vectors, F.col("vec_id") % 100 == 0, 5, 5, (80, 100), 256)
 
 
+def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = subword_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(~held_out(), F.lit(False)), "quality", 0.7)
+    return judged.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton, op11_ranked_search, op12_vantage_tree]
+    named = [op1_line_alignment, op2_html_render, op3_quality_sketch, op4_orc_tokens, op5_signature_tree, op6_lpt_shards, op7_kneser_ney, op8_hyper_mix, op9_warc_zstd, op10_suffix_automaton, op11_ranked_search, op12_vantage_tree, op13_subword_quality]
     return {f.__name__: f for f in named}
 
 
