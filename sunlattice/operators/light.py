@@ -1,8 +1,7 @@
 """Direct light on a grid through roofs, crowns and sheets, over the sun positions of a year.
 
-Cells that stand in the way cast their shadow: only what is shaded becomes rows,
-and the light of a month is what its suns give less what is lost. Grids carry
-their own keys (a scenario, say) along.
+Cells that stand in the way cast their shadow within tiles of the grid. Grids
+carry their own keys (a scenario, say) along.
 """
 
 from __future__ import annotations
@@ -25,135 +24,157 @@ AIR, WARMING, SHADED_UNDER = 26.0, 4.3, 4.0
 SEASONS = {"djf": (12, 1, 2), "mam": (3, 4, 5), "jja": (6, 7, 8), "son": (9, 10, 11)}
 
 
-def rays(suns: DataFrame, res: float, highest: float, most: int = 220) -> DataFrame:
-    """month, minute, di, dj, z: the cells that the ray to each sun (month, minute, elev, az) passes, and its height there.
-
-    Steps are a cell long and end above `highest`; offsets are rounded half to
-    even and each counts once, with the height at the rounded offset. At most
-    `most` rows a sun.
-    """
-    tan, az, k = F.tan(F.radians("elev")), F.radians("az"), F.col("k")
-    steps = suns.select("month", "minute", tan.alias("tan"), az.alias("az"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).filter(k * res * F.col("tan") <= highest)
-    steps = steps.select("month", "minute", "tan", F.bround(-k * F.cos("az")).cast("long").alias("di"), F.bround(k * F.sin("az")).cast("long").alias("dj")).distinct()
-    return steps.select("month", "minute", "di", "dj", (F.hypot(F.col("di").cast("double"), F.col("dj").cast("double")) * res * F.col("tan")).alias("z"))
-
-
-def shaded(cells: DataFrame, suns: DataFrame, res: float, highest: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, i, j, month, minute and roof, evergreen, deciduous, sheet: what stands between a cell and a sun.
+LAYERS = ("roof", "green_top", "green_bottom", "leaf_top", "leaf_bottom", "sheet", "light")
+#: Fixed value: steps of a ray at most.
+MOST = 220
+
+
+class Sun:
+    """A sun position with the offsets of its ray, by rising height."""
+
+    def __init__(self, month: int, elev: float, az: float, w: float, lunch: bool, res: float):
+        self.month, self.w, self.lunch = month, w, lunch
+        self.tan, self.cos, self.sin, self.res = np.tan(np.radians(elev)), np.cos(np.radians(az)), np.sin(np.radians(az)), res
+        k = np.arange(1, MOST + 1)
+        # Offsets are rounded half to even; each counts once, with the height at the rounded offset and the step that meets it first.
+        both = np.stack([np.rint(-k * self.cos), np.rint(k * self.sin)], axis=1).astype(np.int64)
+        _, first = np.unique(both, axis=0, return_index=True)
+        z = np.hypot(*both[first].T) * res * self.tan
+        order = np.argsort(z, kind="stable")
+        self.di, self.dj, self.z, self.step = *both[first][order].T, z[order], (k[first] * res * self.tan)[order]
+
+    def crossing(self, height):
+        """The offset at which a sheet of a height is met."""
+        steps = height / (self.res * self.tan)
+        return np.rint(-steps * self.cos).astype(np.int64), np.rint(steps * self.sin).astype(np.int64)
+
+
+def _reach(suns: list[Sun], metres: int = 512) -> list[tuple[int, ...]]:
+    """For things up to a height, by whole metres: least and largest row and column offsets of what shades from there. The last holds for all above."""
+    m = np.arange(metres + 1)
+    low, high = np.zeros((2, metres + 1), np.int64), np.zeros((2, metres + 1), np.int64)
+    for s in suns:
+        n = np.where(m == metres, len(s.z), np.searchsorted(s.z, m + 1.0))
+        for axis, (offsets, crossing) in enumerate(zip((s.di, s.dj), s.crossing(m + 1.0))):
+            for ends, f in ((low[axis], np.minimum), (high[axis], np.maximum)):
+                so_far = np.concatenate([[0], f.accumulate(offsets)])
+                ends[:] = f(f(ends, so_far[n]), crossing)
+    return [tuple(r) for r in np.stack([m, low[0], high[0], low[1], high[1]], axis=1).tolist()]
+
+
+def _cast(flags: np.ndarray, sun: Sun, highest: float, i: np.ndarray, j: np.ndarray, top: np.ndarray, bottom: np.ndarray | None) -> None:
+    """Set flags (a tile) where things (i, j in the tile's cells, by falling top) stand between a cell and the sun."""
+    passed = sun.step <= highest
+    z = sun.z[passed]
+    # As many things as are high enough, for each offset.
+    some = np.searchsorted(-top, -(z + MARGIN))
+    total = int(some.sum())
+    if not total:
+        return
+    at = np.arange(total) - np.repeat(np.cumsum(some) - some, some)
+    a, b = i[at] - np.repeat(sun.di[passed], some), j[at] - np.repeat(sun.dj[passed], some)
+    keep = (a >= 0) & (a < flags.shape[0]) & (b >= 0) & (b < flags.shape[1])
+    if bottom is not None:
+        keep &= bottom[at] < np.repeat(z, some)
+    flags[a[keep], b[keep]] = True
+
+
+def month_cube(cells: DataFrame, suns: DataFrame, res: float, by: tuple[str, ...] = (), step: int = 15, window: tuple[int, int, int, int] | None = None, tile: int = 64) -> DataFrame:
+    """by, month, i, j, hours, insol, midday of the cells (receptors) without a roof: sun a day, kWh a day, minutes of the lunch window.
 
     cells: by, i, j, roof (height), green_top, green_bottom, leaf_top, leaf_bottom,
     sheet (its height), light (its share through); null or 0 where there is none.
-    A sheet is thin: it shades the one cell that the ray through it meets.
-    """
-    top = F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in ("roof", "green_top", "leaf_top")])
-    # Rays and obstacles meet by metre of height: a ray passes a cell at one height.
-    ray = rays(suns, res, highest).withColumn("metre", F.floor("z"))
-    things = cells.withColumn("top", top).filter(F.col("top") > MARGIN).withColumn("metre", F.explode(F.sequence(F.lit(0).cast("long"), F.floor("top"))))
-    # As many rows as rays of a year's suns.
-    met = things.join(F.broadcast(ray), "metre").filter(F.col("top") > F.col("z") + MARGIN)
-    over = lambda c: F.coalesce(F.col(c) > F.col("z") + MARGIN, F.lit(False))
-    crown = lambda c: over(f"{c}_top") & F.coalesce(F.col(f"{c}_bottom") < F.col("z"), F.lit(False))
-    at = [*by, (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), "month", "minute"]
-    hit = met.select(*at, over("roof").alias("roof"), crown("green").alias("evergreen"), crown("leaf").alias("deciduous"), F.lit(None).cast("double").alias("sheet"))
-    hit = hit.filter("roof or evergreen or deciduous")
-    sheets = cells.filter("sheet > 0")
-    # The offset at which a sheet's height is met: a row for each sun and height of sheets.
-    heights = sheets.select("sheet").distinct()
-    steps = F.col("sheet") / (res * F.tan(F.radians("elev")))
-    crossed = heights.join(F.broadcast(suns.select("month", "minute", "elev", "az")), F.lit(True))
-    crossed = crossed.select("sheet", "month", "minute", F.bround(-steps * F.cos(F.radians("az"))).cast("long").alias("di"), F.bround(steps * F.sin(F.radians("az"))).cast("long").alias("dj"))
-    none = F.lit(False)
-    under = sheets.select(*by, "i", "j", "sheet", "light").join(F.broadcast(crossed), "sheet").select(*at, none.alias("roof"), none.alias("evergreen"), none.alias("deciduous"), F.col("light").alias("sheet"))
-    return hit.unionByName(under).groupBy(*by, "i", "j", "month", "minute").agg(*[F.max(c).alias(c) for c in ("roof", "evergreen", "deciduous", "sheet")])
-
-
-def fraction(month: Column) -> Column:
-    """Share of the direct light that is left on a row of `shaded`."""
-    leaves = F.when(month.isin(*BARE_MONTHS), BARE).otherwise(LEAFED)
-    through = F.when(F.col("evergreen"), LEAFED).otherwise(1.0) * F.when(F.col("deciduous"), leaves).otherwise(1.0) * F.coalesce("sheet", F.lit(1.0))
-    return F.when(F.col("roof"), 0.0).otherwise(through)
-
-
-def month_cube(cells: DataFrame, suns: DataFrame, res: float, highest: float, by: tuple[str, ...] = (), step: int = 15, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """by, month, i, j, hours, insol, midday of the cells (receptors) without a roof: sun a day, kWh a day, minutes of the lunch window.
-
-    suns: month, minute, elev, az, w (irradiance), lunch. `window` (first and last
-    row and column) holds the receptors to a part of the grid; obstacles outside
-    it still shade it. A cell counts as lit with half of the light.
+    suns: month, minute, elev, az, w (irradiance), lunch: a year's steps, as many
+    rows as those. `window` (first and last row and column) holds the receptors to
+    a part of the grid; what stands outside it still shades it. A cell counts as lit
+    with half of the light. A sheet is thin: it shades the one cell that the ray
+    through it meets, and of several the lightest counts.
+
+    Square tiles of `tile` cells: each thing goes to the tiles that its own shadow
+    can reach, by its height and the directions of the suns, so low things move
+    to their own tile and few others. In a tile things cast their shadows along the
+    rays; rays end where they are above the highest thing of all cells (by `by`).
+    Offsets are rounded from each receptor, so rays are no lines that cells share,
+    and crowns have undersides: there is no common horizon to sweep, and each sun
+    is cast by itself.
+
+    Rows without a place play no part. A place with several rows is shaded by all of
+    its things and is a receptor as often as it has rows without a roof. No suns or no
+    cells give no rows.
     """
-    hour, lit = step / 60.0, F.col("left") >= 0.5
+    listed = [Sun(r.month, r.elev, r.az, r.w, bool(r.lunch), res) for r in suns.select("month", "elev", "az", "w", "lunch").orderBy("month", "minute").collect()]
+    months = sorted({s.month for s in listed})
+    spark = cells.sparkSession
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    grid = cells.filter("i is not null and j is not null").select(*by, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *[value(c).alias(c) for c in LAYERS])
+    grid = grid.withColumn("top", F.greatest("roof", "green_top", "leaf_top"))
     inside = F.lit(True) if window is None else F.col("i").between(*window[:2]) & F.col("j").between(*window[2:])
-    dark = shaded(cells, suns, res, highest, by).filter(inside).withColumn("left", fraction(F.col("month"))).join(F.broadcast(suns.select("month", "minute", "w", "lunch")), ["month", "minute"])
-    lost = dark.groupBy(*by, "i", "j", "month").agg(
-        (F.count(F.when(~lit, 1)) * hour).alias("dark"), (F.sum((1 - F.col("left")) * F.col("w")) * hour / 1000).alias("lost"), (F.count(F.when(~lit & F.col("lunch"), 1)) * step).alias("gone")
-    )
-    whole = suns.groupBy("month").agg((F.count("*") * hour).alias("day"), (F.sum("w") * hour / 1000).alias("energy"), (F.count(F.when(F.col("lunch"), 1)) * step).alias("noon"))
-    ground = cells.filter(inside & (F.coalesce("roof", F.lit(0.0)) <= 0)).select(*by, "i", "j", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).join(F.broadcast(whole), "month")
-    out = ground.join(lost, [*by, "i", "j", "month"], "left")
-    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
-    return out.select(*by, "month", "i", "j", less("day", "dark").alias("hours"), less("energy", "lost").alias("insol"), less("noon", "gone").cast("double").alias("midday"))
-
-
-def tile_cube(cells: DataFrame, suns: DataFrame, res: float, highest: float, tile: int = 128, step: int = 15, most: int = 220) -> DataFrame:
-    """month, i, j, hours, insol, midday as month_cube, by square tiles with numpy: the form for large grids.
-
-    A tile gets its own cells and what its rays can pass; the halo is as wide as
-    the lowest sun's ray to the highest obstacle, whatever the grid's size.
-    """
-    positions = [tuple(r) for r in suns.select("month", "minute", "elev", "az", "w", "lunch").collect()]
-    way = []
-    for month, _, elev, az, w, lunch in positions:
-        tan, a, seen = np.tan(np.radians(elev)), np.radians(az), {}
-        for k in range(1, most + 1):
-            if k * res * tan > highest:
-                break
-            o = (round(-k * np.cos(a)), round(k * np.sin(a)))
-            seen[o] = float(np.hypot(*o) * res * tan)
-        way.append((month, w, lunch, tan, a, list(seen.items())))
-    halo = max((max(abs(x) for x in o) for *_, r in way for o, _ in r), default=0)
-    # Sheets are met where their own height is.
-    tall = cells.agg(F.max("sheet")).first()[0] or 0.0
-    halo = max(halo, int(np.ceil(max((tall / (res * t) for _, _, _, t, _, _ in way), default=0))) if tall else 0)
-    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
     own = lambda c: F.floor(F.col(c) / tile)
-    things = cells.filter("roof > 0 or green_top > 0 or leaf_top > 0 or sheet > 0").withColumn("ti", F.explode(span("i"))).withColumn("tj", F.explode(span("j")))
-    ground = cells.withColumn("ti", own("i")).withColumn("tj", own("j"))
-    layers = ["roof", "green_top", "green_bottom", "leaf_top", "leaf_bottom", "sheet", "light"]
-    dealt = ground.withColumn("mine", F.lit(True)).unionByName(things.withColumn("mine", F.lit(False))).select("ti", "tj", "i", "j", "mine", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in layers])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    ground = grid.filter(inside & (F.col("roof") <= 0)).withColumns({"ti": own("i"), "tj": own("j"), "mine": F.lit(True)})
+    # A row a metre of height.
+    table = _reach(listed)
+    reach = spark.createDataFrame(table, "metre long, i0 long, i1 long, j0 long, j1 long")
+    things = grid.filter((F.col("top") > MARGIN) | (F.col("sheet") > 0))
+    highest = things.groupBy(*by).agg(F.max("top").alias("highest"))
+    metre = F.least(F.floor(F.greatest("top", "sheet")), F.lit(len(table) - 1)).alias("metre")
+    span = lambda c: F.sequence(F.floor((F.col(c) - F.col(f"{c}1")) / tile), F.floor((F.col(c) - F.col(f"{c}0")) / tile))
+    far = things.withColumn("metre", metre).join(F.broadcast(reach), "metre")
+    far = far.withColumn("ti", F.explode(span("i"))).withColumn("tj", F.explode(span("j"))).withColumn("mine", F.lit(False))
+    if window is not None:
+        far = far.filter(F.col("ti").between(*(x // tile for x in window[:2])) & F.col("tj").between(*(x // tile for x in window[2:])))
+    columns = [*by, "ti", "tj", "mine", "i", "j", *LAYERS, "top"]
+    both = ground.select(*columns).unionByName(far.select(*columns))
+    # A row a scenario.
+    highest = highest.select(*[F.col(c).alias(f"of_{c}") for c in by], "highest")
+    same_key = F.lit(True)
+    for c in by:
+        same_key &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    both = both.join(F.broadcast(highest), same_key, "left").drop(*(f"of_{c}" for c in by))
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in by), "month int, i long, j long, hours double, insol double, midday double"])
+    names = [*by, "month", "i", "j", "hours", "insol", "midday"]
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["mine"]]
-        empty = pd.DataFrame({"month": np.zeros(0, np.int32), "i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "hours": np.zeros(0), "insol": np.zeros(0), "midday": np.zeros(0)})
-        if mine.empty:
-            return empty
-        i0, j0 = int(mine["ti"].iloc[0]) * tile - halo, int(mine["tj"].iloc[0]) * tile - halo
-        side = tile + 2 * halo
-        grid = {c: np.zeros((side, side)) for c in layers}
-        for c in layers:
-            grid[c][pdf["i"] - i0, pdf["j"] - j0] = pdf[c]
-        inner = lambda g, di=0, dj=0: g[halo + di : halo + di + tile, halo + dj : halo + dj + tile]
-        heights = [h for h in np.unique(grid["sheet"]) if h > 0]
-        sums = np.zeros((13, 3, tile, tile))
-        for month, w, lunch, tan, a, ray in way:
-            roof, green, leaf = (np.zeros((tile, tile), bool) for _ in range(3))
-            for (di, dj), z in ray:
-                roof |= inner(grid["roof"], di, dj) > z + MARGIN
-                green |= (inner(grid["green_top"], di, dj) > z + MARGIN) & (inner(grid["green_bottom"], di, dj) < z)
-                leaf |= (inner(grid["leaf_top"], di, dj) > z + MARGIN) & (inner(grid["leaf_bottom"], di, dj) < z)
-            left = np.where(green, LEAFED, 1.0) * np.where(leaf, BARE if month in BARE_MONTHS else LEAFED, 1.0)
-            sheet = np.full((tile, tile), -1.0)
-            for h in heights:
-                di, dj = round(-h / (res * tan) * np.cos(a)), round(h / (res * tan) * np.sin(a))
-                sheet = np.maximum(sheet, np.where(inner(grid["sheet"], di, dj) == h, inner(grid["light"], di, dj), -1.0))
-            left = np.where(roof, 0.0, left * np.where(sheet >= 0, sheet, 1.0))
-            sums[month] += np.stack([(left >= 0.5) * (step / 60.0), left * (w * step / 60.0 / 1000), (left >= 0.5) * (step * bool(lunch))])
-        free = mine[mine["roof"] <= 0]
-        i, j = free["i"].to_numpy(), free["j"].to_numpy()
-        at = (i - i0 - halo, j - j0 - halo)
-        parts = [pd.DataFrame({"month": np.int32(m), "i": i, "j": j, "hours": sums[m, 0][at], "insol": sums[m, 1][at], "midday": sums[m, 2][at]}) for m in sorted({x[0] for x in way})]
-        return pd.concat(parts)
-
-    return dealt.groupBy("ti", "tj").applyInPandas(one, "month int, i long, j long, hours double, insol double, midday double")
+        if mine.empty or not months:
+            return pd.DataFrame({c: pd.Series([], dtype=object if c in by else float) for c in names})
+        i0, j0 = int(key[-2]) * tile, int(key[-1]) * tile
+        rest, most = pdf[~pdf["mine"]], float(np.nan_to_num(pdf["highest"].iloc[0]))
+        casts = []
+        for top, bottom in (("roof", None), ("green_top", "green_bottom"), ("leaf_top", "leaf_bottom")):
+            found = rest[rest[top] > MARGIN].sort_values(top, ascending=False)
+            casts.append((found["i"].to_numpy() - i0, found["j"].to_numpy() - j0, found[top].to_numpy(), None if bottom is None else found[bottom].to_numpy()))
+        sheets = rest[rest["sheet"] > 0]
+        si, sj, sh, sl = sheets["i"].to_numpy() - i0, sheets["j"].to_numpy() - j0, sheets["sheet"].to_numpy(), sheets["light"].to_numpy()
+        sums = {m: np.zeros((3, tile, tile)) for m in months}
+        roof, green, leaf = (np.zeros((tile, tile), bool) for _ in range(3))
+        for sun in listed:
+            for flags, cast in zip((roof, green, leaf), casts):
+                flags[:] = False
+                if len(cast[0]):
+                    _cast(flags, sun, most, *cast)
+            left = np.where(green, LEAFED, 1.0) * np.where(leaf, BARE if sun.month in BARE_MONTHS else LEAFED, 1.0)
+            if len(sh):
+                di, dj = sun.crossing(sh)
+                a, b = si - di, sj - dj
+                keep = (a >= 0) & (a < tile) & (b >= 0) & (b < tile)
+                through = np.full((tile, tile), -1.0)
+                np.maximum.at(through, (a[keep], b[keep]), sl[keep])
+                left *= np.where(through >= 0, through, 1.0)
+            left[roof] = 0.0
+            lit, total = left >= 0.5, sums[sun.month]
+            total[0] += lit * (step / 60.0)
+            total[1] += left * (sun.w * step / 60.0 / 1000)
+            if sun.lunch:
+                total[2] += lit * float(step)
+        i, j = mine["i"].to_numpy(), mine["j"].to_numpy()
+        same = {c: pd.Series([None if pd.isna(k) else k] * len(i), dtype=object) for c, k in zip(by, key)}
+        parts = [pd.DataFrame({**same, "month": np.int32(m), "i": i, "j": j, **dict(zip(names[-3:], sums[m][:, i - i0, j - j0]))}) for m in months]
+        return pd.concat(parts)[names]
+
+    # Few bytes make much work here: by a number, as partitions are not joined by their size then.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, *by, "ti", "tj").groupBy(*by, "ti", "tj").applyInPandas(one, schema)
 
 
 def seasons(cube: DataFrame, by: tuple[str, ...] = (), values: tuple[str, ...] = ("hours", "insol", "midday")) -> DataFrame:

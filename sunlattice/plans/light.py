@@ -11,7 +11,7 @@ from sunlattice.plans.registry import query
 from sunlattice.plans.sun import STEPS_SQL, month_steps, sun_sql
 from sunlattice.session import table, with_checkpoints
 
-RES, HIGHEST = 1.5, 20.0
+RES = 1.5
 BY = ("scenario",)
 
 #: A square grid that grows with the suppliers; roofs, crowns of both kinds and sheets on it, with and without more crowns.
@@ -28,9 +28,9 @@ ONE_SQL = "cells AS (SELECT 'baseline' AS scenario, * FROM base)"
 BOTH_SQL = """cells AS (SELECT 'baseline' AS scenario, * FROM base UNION ALL SELECT 'planted', i, j, roof, gt, gb, CASE WHEN (i * 5 + j) % 37 = 0 AND roof IS NULL THEN greatest(coalesce(lt, 0), 8) ELSE lt END,
   CASE WHEN (i * 5 + j) % 37 = 0 AND roof IS NULL THEN least(coalesce(lb, 9), 2.8::DOUBLE) ELSE lb END, sheet, cover FROM base)"""
 
-CUBE_SQL = """ray AS (SELECT *, sqrt(di * di + dj * dj) * 1.5 * t AS z FROM (SELECT DISTINCT month, minute, t, round_even(-k * cos(az), 0)::BIGINT AS di, round_even(k * sin(az), 0)::BIGINT AS dj FROM suns, generate_series(1, 220) x(k) WHERE k * 1.5 * t <= 20)),
-thing AS (SELECT *, greatest(coalesce(roof, 0), coalesce(gt, 0), coalesce(lt, 0)) AS top FROM cells WHERE roof > 0 OR gt > 0 OR lt > 0),
-hit AS (SELECT scenario, i - di AS i, j - dj AS j, month, minute, coalesce(roof > z + 0.01, false) AS b, coalesce(gt > z + 0.01 AND gb < z, false) AS e, coalesce(lt > z + 0.01 AND lb < z, false) AS d, NULL AS s FROM thing JOIN ray ON top > z + 0.01
+CUBE_SQL = """ray AS (SELECT *, sqrt(di * di + dj * dj) * 1.5 * t AS z FROM (SELECT month, minute, t, min(k * 1.5 * t) AS step, round_even(-k * cos(az), 0)::BIGINT AS di, round_even(k * sin(az), 0)::BIGINT AS dj FROM suns, generate_series(1, 220) x(k) GROUP BY month, minute, t, di, dj)),
+thing AS (SELECT *, greatest(coalesce(roof, 0), coalesce(gt, 0), coalesce(lt, 0)) AS top, max(greatest(coalesce(roof, 0), coalesce(gt, 0), coalesce(lt, 0))) OVER (PARTITION BY scenario) AS highest FROM cells WHERE roof > 0 OR gt > 0 OR lt > 0),
+hit AS (SELECT scenario, i - di AS i, j - dj AS j, month, minute, coalesce(roof > z + 0.01, false) AS b, coalesce(gt > z + 0.01 AND gb < z, false) AS e, coalesce(lt > z + 0.01 AND lb < z, false) AS d, NULL AS s FROM thing JOIN ray ON top > z + 0.01 AND step <= highest
   UNION ALL SELECT scenario, i - round_even(-6 / (1.5 * t) * cos(az), 0)::BIGINT, j - round_even(6 / (1.5 * t) * sin(az), 0)::BIGINT, month, minute, false, false, false, 0.28::DOUBLE FROM cells, suns WHERE sheet > 0),
 f AS (SELECT scenario, i, j, month, minute, CASE WHEN bool_or(b) THEN 0 ELSE CASE WHEN bool_or(e) THEN 0.15::DOUBLE ELSE 1 END * CASE WHEN bool_or(d) THEN CASE WHEN month IN (11, 12, 1, 2, 3) THEN 0.55::DOUBLE ELSE 0.15 END ELSE 1 END * coalesce(max(s), 1) END AS f FROM hit GROUP BY scenario, i, j, month, minute),
 lost AS (SELECT scenario, i, j, month, count(*) FILTER (f < 0.5) * 0.25 AS dark, sum((1 - f) * w) * 0.25 / 1000 AS lost, count(*) FILTER (f < 0.5 AND lunch) * 15 AS gone FROM f JOIN suns USING (month, minute) GROUP BY ALL),
@@ -80,7 +80,7 @@ def year_suns(spark) -> DataFrame:
 def _heat(spark, sf_dir, both: bool = False) -> DataFrame:
     """scenario, i, j, cover, hours_jja, insol_jja, midday_jja, absorbed on the ground."""
     cells = _cells(spark, sf_dir, both)
-    cube = light.month_cube(cells, year_suns(spark), RES, HIGHEST, BY)
+    cube = light.month_cube(cells, year_suns(spark), RES, BY)
     summer = light.seasons(cube.filter(F.col("month").isin(*light.SEASONS["jja"])), BY).join(cells.select(*BY, "i", "j", "cover"), [*BY, "i", "j"]).checkpoint()
     return summer.join(light.heat(summer, RES, by=BY), [*BY, "i", "j"])
 
@@ -88,21 +88,21 @@ def _heat(spark, sf_dir, both: bool = False) -> DataFrame:
 @query(f"WITH {CELLS_SQL}, {ONE_SQL}, {CUBE_SQL} SELECT month::INT AS month, i, j, round(hours, 6) AS hours, round(insol, 6) AS insol, midday FROM cube")
 def light_cube(spark, sf_dir):
     """Sun, energy and lunch minutes of each ground cell in each month, through roofs, crowns and sheets."""
-    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, HIGHEST, BY)
+    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, BY)
     return cube.select("month", "i", "j", F.round("hours", 6).alias("hours"), F.round("insol", 6).alias("insol"), "midday")
 
 
 @query(f"WITH {CELLS_SQL}, {ONE_SQL}, {CUBE_SQL} SELECT month::INT AS month, i, j, round(hours, 6) AS hours, round(insol, 6) AS insol, midday FROM cube")
 def light_tiles(spark, sf_dir):
-    """The same by tiles, the form for large grids."""
-    cube = light.tile_cube(_cells(spark, sf_dir).drop("scenario", "cover"), year_suns(spark), RES, HIGHEST, 32)
+    """The same by small tiles, which gives the same rows."""
+    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, BY, tile=32)
     return cube.select("month", "i", "j", F.round("hours", 6).alias("hours"), F.round("insol", 6).alias("insol"), "midday")
 
 
 @query(f"WITH {CELLS_SQL}, {ONE_SQL}, {CUBE_SQL} SELECT i, j, round(avg(hours), 6) AS hours, round(avg(insol), 6) AS insol FROM cube WHERE i BETWEEN 20 AND 33 AND j BETWEEN 11 AND 40 GROUP BY ALL")
 def light_window(spark, sf_dir):
     """The year's means of the cells around a place, shaded by all that stands outside too."""
-    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, HIGHEST, BY, window=(20, 33, 11, 40))
+    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, BY, window=(20, 33, 11, 40))
     return light.seasons(cube).select("i", "j", F.round("hours_annual", 6).alias("hours"), F.round("insol_annual", 6).alias("insol"))
 
 
@@ -110,7 +110,7 @@ def light_window(spark, sf_dir):
  round(avg(hours) FILTER (month IN (3, 4, 5)), 6) AS hours_mam, round(avg(hours) FILTER (month IN (6, 7, 8)), 6) AS hours_jja, round(avg(hours) FILTER (month IN (9, 10, 11)), 6) AS hours_son FROM cube GROUP BY ALL""")
 def season_rasters(spark, sf_dir):
     """Sun of the year and of each season, and lunch minutes, by cell."""
-    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, HIGHEST, BY)
+    cube = light.month_cube(_cells(spark, sf_dir), year_suns(spark), RES, BY)
     kept = ["hours_annual", "midday_annual", "hours_djf", "hours_mam", "hours_jja", "hours_son"]
     return light.seasons(cube).select("i", "j", *[F.round(c, 6).alias(c) for c in kept])
 

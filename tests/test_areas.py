@@ -4,6 +4,7 @@ import json
 import math
 import statistics
 
+import numpy as np
 import pytest
 
 from sunlattice.operators import areas, graph, light, spatial
@@ -60,14 +61,72 @@ def test_what_a_ray_meets(spark, cell, want):
     names = ["roof", "green_top", "green_bottom", "leaf_top", "leaf_bottom", "sheet", "light"]
     cells = spark.createDataFrame([(0, 0, *[None] * 7), (2, 0, *[cell.get(n) for n in names])], "i long, j long, " + ", ".join(f"{n} double" for n in names))
     suns = spark.createDataFrame([(m, 720, 45.0, 180.0, 1000.0, True) for m in (1, 7)], "month int, minute int, elev double, az double, w double, lunch boolean")
-    got = {(r.month, r.i): r for r in light.month_cube(cells, suns, 1.5, 12.0).collect()}
+    got = {(r.month, r.i): r for r in light.month_cube(cells, suns, 1.5).collect()}
     for month, f in zip((7, 1), want):
         r = got[month, 0]
         assert r.insol == pytest.approx(f * 0.25) and r.hours == (0.25 if f >= 0.5 else 0) and r.midday == (15 if f >= 0.5 else 0)
-    tiles = {(r.month, r.i): r.insol for r in light.tile_cube(cells, suns, 1.5, 12.0, 2).collect()}
+    tiles = {(r.month, r.i): r.insol for r in light.month_cube(cells, suns, 1.5, tile=2).collect()}
     assert all(tiles[k] == pytest.approx(r.insol) for k, r in got.items()) and len(tiles) == len(got)
 
 
+def test_high_things_odd_places_and_no_suns(spark):
+    names = ["roof", "green_top", "green_bottom", "leaf_top", "leaf_bottom", "sheet", "light"]
+    schema = "site string, i long, j long, " + ", ".join(f"{n} double" for n in names)
+    none = [None] * 7
+    cells = spark.createDataFrame([("a", 0, 0, *none), ("a", 0, 0, *none), ("a", 40, 0, 90.0, *none[1:]), ("a", None, 3, *none), ("b", 0, 0, *none), ("b", 40, 0, 59.0, *none[1:]), (None, 0, 0, *none)], schema)
+    suns = spark.createDataFrame([(3, 720, 45.0, 180.0, 1000.0, False)], "month int, minute int, elev double, az double, w double, lunch boolean")
+    for tile in (128, 16, 1):
+        got = sorted((str(r.site), r.i, r.hours) for r in light.month_cube(cells, suns, 1.5, ("site",), tile=tile).collect())
+        # 40 cells of 1.5 m at 45 degrees: what is over 60 m shades.
+        assert got == [("None", 0, 0.25), ("a", 0, 0.0), ("a", 0, 0.0), ("b", 0, 0.25)]
+    assert light.month_cube(cells, suns.limit(0), 1.5, ("site",)).count() == light.month_cube(cells.limit(0), suns, 1.5, ("site",)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tiles_against_a_march_over_the_whole_grid(spark, seed):
+    rng = np.random.default_rng(seed)
+    n, res = 22, 1.5
+    grid = {c: np.where(rng.random((n, n)) < p, rng.uniform(*x, (n, n)), 0) for c, p, x in (("roof", 0.05, (2, 30)), ("green_top", 0.05, (5, 12)), ("leaf_top", 0.05, (5, 12)), ("sheet", 0.1, (5, 6)))}
+    low = {"green_bottom": np.where(grid["green_top"] > 0, rng.uniform(1, 8, (n, n)), 0), "leaf_bottom": np.where(grid["leaf_top"] > 0, rng.uniform(1, 8, (n, n)), 0), "light": rng.uniform(0.2, 0.7, (n, n))}
+    grid |= low
+    names = ["roof", "green_top", "green_bottom", "leaf_top", "leaf_bottom", "sheet", "light"]
+    cells = spark.createDataFrame([(i, j, *(float(grid[c][i, j]) for c in names)) for i in range(n) for j in range(n)], "i long, j long, " + ", ".join(f"{c} double" for c in names))
+    positions = [(int(rng.integers(1, 13)), k, float(rng.uniform(3.1, 70)), float(rng.uniform(60, 300)), float(rng.uniform(100, 900)), bool(k % 2)) for k in range(9)]
+    suns = spark.createDataFrame(positions, "month int, minute int, elev double, az double, w double, lunch boolean")
+    highest = max(grid[c].max() for c in ("roof", "green_top", "leaf_top"))
+    want = {(m, i, j): [0.0, 0.0, 0.0] for m, *_ in positions for i in range(n) for j in range(n) if grid["roof"][i, j] == 0}
+    at = lambda c, i, j: grid[c][i, j] if 0 <= i < n and 0 <= j < n else 0.0
+    for month, _, elev, az, w, lunch in positions:
+        tan, a, ray = math.tan(math.radians(elev)), math.radians(az), {}
+        for k in range(1, 221):
+            if k * res * tan > highest:
+                break
+            o = (round(-k * math.cos(a)), round(k * math.sin(a)))
+            ray[o] = math.hypot(*o) * res * tan
+        for m, i, j in want:
+            if m != month:
+                continue
+            hit = [any(at(t, i + p, j + q) > z + 0.01 and (b is None or at(b, i + p, j + q) < z) for (p, q), z in ray.items()) for t, b in (("roof", None), ("green_top", "green_bottom"), ("leaf_top", "leaf_bottom"))]
+            f = 0.0 if hit[0] else (0.15 if hit[1] else 1) * ((0.55 if month in light.BARE_MONTHS else 0.15) if hit[2] else 1)
+            under = [grid["light"][p, q] for p, q in sheets(grid["sheet"], i, j, res * tan, a)]
+            f *= max(under, default=1.0)
+            for k, x in enumerate(((f >= 0.5) * 0.25, f * w * 0.25 / 1000, (f >= 0.5) * 15 * lunch)):
+                want[m, i, j][k] += x
+    for tile in (64, 7):
+        got = {(r.month, r.i, r.j): (r.hours, r.insol, r.midday) for r in light.month_cube(cells, suns, res, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def sheets(sheet, i, j, rise, a):
+    """Cells of sheets that the ray from a cell crosses at the height of the sheet there."""
+    n, out = len(sheet), []
+    for h in np.unique(sheet[sheet > 0]):
+        p, q = i + round(-h / rise * math.cos(a)), j + round(h / rise * math.sin(a))
+        if 0 <= p < n and 0 <= q < n and sheet[p, q] == h:
+            out.append((p, q))
+    return out
+
+
 def test_results_are_written_and_read(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     edges = spark.createDataFrame([(1, 2, 0.5, None)], "a long, b long, flow double, hours double")
