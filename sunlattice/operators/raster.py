@@ -124,23 +124,31 @@ def ray_offsets(elevation: float, azimuth: float, res: float, highest: float, mo
     return out
 
 
-def shaded(heights: DataFrame, suns: list[tuple[int, float, float]], res: float, highest: float) -> DataFrame:
+def _highest(heights: DataFrame) -> float:
+    return heights.agg(F.max("h")).first()[0] or 0.0
+
+
+def shaded(heights: DataFrame, suns: list[tuple[int, float, float]], res: float) -> DataFrame:
     """i, j, sun: cells of (i, j, h) in the shadow of a higher cell, by sun (number, elevation, azimuth).
 
-    Each cell casts its shadow along the ray, as far as its own height reaches.
+    Each cell casts its shadow along the ray, as far as its own height reaches;
+    cells and rays meet by metre of height. Null heights cast nothing.
     """
-    rays = [(s, a, b, z) for s, elevation, azimuth in suns for a, b, z in ray_offsets(elevation, azimuth, res, highest)]
-    o = F.explode(F.array(*[F.struct(F.lit(s).alias("sun"), F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(z).alias("z")) for s, a, b, z in rays]))
-    cast = heights.filter("h > 0").withColumn("o", o).filter(F.col("h") > F.col("o.z") + MARGIN)
-    return cast.select((F.col("i") - F.col("o.di")).alias("i"), (F.col("j") - F.col("o.dj")).alias("j"), "o.sun").distinct()
+    highest = _highest(heights)
+    rays = [(s, a, b, z, int(z)) for s, elevation, azimuth in suns for a, b, z in ray_offsets(elevation, azimuth, res, highest)]
+    # At most 220 rows a sun.
+    ray = F.broadcast(heights.sparkSession.createDataFrame(rays, "sun long, di long, dj long, z double, metre long"))
+    cast = heights.filter(F.col("h") > MARGIN).withColumn("metre", F.explode(F.sequence(F.lit(0).cast("long"), F.floor("h")))).join(ray, "metre").filter(F.col("h") > F.col("z") + MARGIN)
+    return cast.select((F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), "sun").distinct()
 
 
-def march(heights: DataFrame, suns: list[tuple[int, float, float]], res: float, highest: float, ny: int, nx: int, band: int = 64) -> DataFrame:
+def march(heights: DataFrame, suns: list[tuple[int, float, float]], res: float, ny: int, nx: int, band: int = 64) -> DataFrame:
     """i, j, lit: number of suns that reach each ground cell, by bands of rows with numpy.
 
     A band gets its own rows and those that its rays can pass: rows are sent to
     as many bands as their height reaches, and each band is one small dense grid.
     """
+    highest = _highest(heights)
     rays = {s: ray_offsets(e, a, res, highest) for s, e, a in suns}
     halo = max((abs(o[0]) for r in rays.values() for o in r), default=0)
     wide = max((abs(o[1]) for r in rays.values() for o in r), default=0)

@@ -86,7 +86,7 @@ def gaussian_mix(spark, sf_dir):
 
 
 RAYS_SQL = """suns AS (SELECT * FROM (VALUES (0, 12.0::DOUBLE, 95.0::DOUBLE), (1, 35.0::DOUBLE, 140.0::DOUBLE), (2, 55.0::DOUBLE, 180.0::DOUBLE), (3, 20.0::DOUBLE, 262.0::DOUBLE)) t(sun, el, az)),
-rays AS (SELECT DISTINCT sun, el, round_even(-k * cos(radians(az)), 0)::BIGINT AS di, round_even(k * sin(radians(az)), 0)::BIGINT AS dj FROM suns, generate_series(1, 220) g(k) WHERE k * 1.5 * tan(radians(el)) <= 20),
+rays AS (SELECT DISTINCT sun, el, round_even(-k * cos(radians(az)), 0)::BIGINT AS di, round_even(k * sin(radians(az)), 0)::BIGINT AS dj FROM suns, generate_series(1, 220) g(k) WHERE k * 1.5 * tan(radians(el)) <= (SELECT max(h) FROM heights)),
 hit AS (SELECT DISTINCT r.sun, h.i, h.j FROM heights h JOIN rays r ON true JOIN heights o ON o.i = h.i + r.di AND o.j = h.j + r.dj WHERE o.h > sqrt(r.di * r.di + r.dj * r.dj) * 1.5 * tan(radians(r.el)) + 0.01)"""
 LIT_SQL = f"""WITH {HEIGHTS_SQL}, {RAYS_SQL}, n AS (SELECT i, j, count(*) AS dark FROM hit GROUP BY ALL)
 SELECT h.i, h.j, 4 - coalesce(n.dark, 0) AS lit FROM heights h LEFT JOIN n ON n.i = h.i AND n.j = h.j WHERE h.h = 0"""
@@ -96,14 +96,14 @@ SELECT h.i, h.j, 4 - coalesce(n.dark, 0) AS lit FROM heights h LEFT JOIN n ON n.
 def shadow_rays(spark, sf_dir):
     """Number of suns that reach each ground cell: every object casts its shadow along the rays."""
     h = _heights(spark, sf_dir)
-    dark = raster.shaded(h, SUNS, RES, HIGHEST).groupBy("i", "j").agg(F.count("*").alias("dark"))
+    dark = raster.shaded(h, SUNS, RES).groupBy("i", "j").agg(F.count("*").alias("dark"))
     return h.filter("h = 0").join(dark, ["i", "j"], "left").select("i", "j", (len(SUNS) - F.coalesce("dark", F.lit(0))).alias("lit"))
 
 
 @query(LIT_SQL)
 def shadow_march(spark, sf_dir):
     """The same by bands of rows, the form for large grids."""
-    return raster.march(_heights(spark, sf_dir), SUNS, RES, HIGHEST, NY, NX, band=16)
+    return raster.march(_heights(spark, sf_dir), SUNS, RES, NY, NX, band=16)
 
 
 @query("""WITH suns AS (SELECT s_suppkey AS k, (12 + s_suppkey % 50)::DOUBLE AS el, (s_suppkey * 37 % 360)::DOUBLE AS az, (100 + s_suppkey % 700)::DOUBLE AS w FROM supplier),
