@@ -21,10 +21,10 @@ executors with its first text (there are at most `HOT` such), all others are
 joined by run. A text that is the first of very many is repeated as often as it
 takes to spread those over tasks.
 
-An alignment keeps one order and uses each line once. With `moved`, lines that
-it leaves but both texts have are matched again with the whole first holder, by
-a suffix automaton over its lines: every block of `min_words` words or more that
-stands anywhere in it is deleted, moved or repeated as often as it may be.
+An alignment keeps one order and uses each line once. With `moved`, what it
+leaves is aligned with the whole first holder again, as often as it takes (see
+`again`): every block of `min_words` words or more that stands anywhere in it is
+deleted, moved or repeated as often as it may be.
 
 Texts equal as a whole are one text in this: the smallest id keeps it, the
 others lose all their lines.
@@ -39,6 +39,10 @@ results.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -157,7 +161,7 @@ def _anchors(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
     chain: list[int] = []
     back = []
     for k, (_, j) in enumerate(pairs):
-        at = int(np.searchsorted(ends, j)) if ends else 0
+        at = bisect_left(ends, j)
         ends[at : at + 1] = [j]
         chain[at : at + 1] = [k]
         back.append(chain[at - 1] if at else -1)
@@ -184,45 +188,46 @@ def _kth(x, lo, hi) -> dict[tuple[int, int], int]:
     return out
 
 
-def blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places of b in a block of `min_words` words (`words` of each place) or more that stands anywhere in a, in order."""
-    # Suffix automaton of a: states by longest length, suffix link and moves.
-    length, link, moves = [0], [-1], [{}]
-    last = 0
-    for x in a:
-        new = len(length)
-        length.append(length[last] + 1), link.append(0), moves.append({})
-        p = last
-        while p >= 0 and x not in moves[p]:
-            moves[p][x] = new
-            p = link[p]
-        if p >= 0:
-            q = moves[p][x]
-            if length[p] + 1 < length[q]:
-                twin = len(length)
-                length.append(length[p] + 1), link.append(link[q]), moves.append(dict(moves[q]))
-                while p >= 0 and moves[p].get(x) == q:
-                    moves[p][x] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
+def again(head: list[int], lines: list[int], words: list[int], min_words: int, done: set[int]) -> list[int]:
+    """Places of lines in blocks that an alignment has left (all but `done`): the rest is aligned with the whole head again.
+
+    What is matched are the shortest blocks of `min_words` words or more, from each
+    line on and up to each line: every longer block is made of those. The k-th
+    time that one occurs here goes with the k-th in the head (from the first again
+    after the last), and the pairs are dealt into chains that rise in both, each the
+    order of one more alignment; a pair joins the chain whose end is nearest below.
+    """
+    total = [0, *accumulate(words)]
+    left = {}
+    for k in range(len(lines)):
+        if k not in done:
+            end = bisect_left(total, total[k] + min_words)
+            start = bisect_right(total, total[k + 1] - min_words) - 1
+            for s, e in ((k, end), (start, k + 1)):
+                if s >= 0 and e < len(total):
+                    left[s, e] = tuple(lines[s:e])
+    places: dict[tuple, list[int]] = {x: [] for x in left.values()}
+    for n in {len(x) for x in places}:
+        for i in range(len(head) - n + 1):
+            x = tuple(head[i : i + n])
+            if x in places:
+                places[x].append(i)
+    ends: list[int] = []
+    chains: list[list[tuple[int, int]]] = []
+    times: Counter = Counter()
+    for s, e in sorted(left):
+        own = places[left[s, e]]
+        if own:
+            i = own[times[left[s, e]] % len(own)]
+            times[left[s, e]] += 1
+            at = bisect_left(ends, i) - 1
+            if at < 0:
+                ends.insert(0, i)
+                chains.insert(0, [(s, e)])
             else:
-                link[new] = q
-        last = new
-    total = [0]
-    for n in words:
-        total.append(total[-1] + n)
-    out: list[int] = []
-    state = size = 0
-    for k, x in enumerate(b):
-        while state and x not in moves[state]:
-            state = link[state]
-            size = length[state]
-        if x in moves[state]:
-            state, size = moves[state][x], size + 1
-        # The longest block that ends here.
-        if size and total[k + 1] - total[k + 1 - size] >= min_words:
-            out += range(max(k + 1 - size, out[-1] + 1 if out else 0), k + 1)
-    return out
+                ends[at] = i
+                chains[at].append((s, e))
+    return sorted({k for chain in chains for s, e in chain for k in range(s, e)})
 
 
 def _links(each: DataFrame, rare: int) -> DataFrame:
@@ -264,14 +269,10 @@ def overlaps(docs: DataFrame, min_words: int = 8, moved: bool = False, rare: int
         for batch in batches:
             gone = []
             for lines, words, at, head in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                places = []
-                for _, s, n in align(head, lines):
-                    if sum(words[s : s + n]) >= min_words:
-                        places += at[s : s + n]
-                done = set(places)
-                if moved and not set(head).isdisjoint(x for x, k in zip(lines, at) if k not in done):
-                    places = [at[k] for k in blocks(head, lines, words, min_words)]
-                gone.append(places)
+                places = [k for _, s, n in align(head, lines) if sum(words[s : s + n]) >= min_words for k in range(s, s + n)]
+                if moved and len(places) < len(lines):
+                    places = sorted({*places, *again(head, lines, words, min_words, set(places))})
+                gone.append([at[k] for k in places])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["tid", "head_id", "gone"])
 
     found = both.mapInArrow(cut, "tid long, head_id long, gone array<int>").filter(F.size("gone") > 0)

@@ -1,6 +1,7 @@
 """Repeated and moved passages of the line alignment, against brute force."""
 
 import random
+import time
 
 from sunlattice.llm import common, line_alignment
 
@@ -27,11 +28,26 @@ def test_alignment_leaves_no_common_line_in_a_gap():
 
 def test_blocks_anywhere_in_the_head():
     rng = random.Random(3)
-    for _ in range(500):
+    for _ in range(2000):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
         size = [rng.randrange(1, 6) for _ in range(4)]
         words = [size[x] for x in b]
-        assert line_alignment.blocks(a, b, words, 8) == brute_blocks(a, b, words, 8)
+        assert line_alignment.again(a, b, words, 8, set()) == brute_blocks(a, b, words, 8)
+        first = {k for _, s, n in line_alignment.align(a, b) if sum(words[s : s + n]) >= 8 for k in range(s, s + n)}
+        assert sorted(first | set(line_alignment.again(a, b, words, 8, first))) == brute_blocks(a, b, words, 8)
+
+
+def test_long_texts_take_a_second_at_most():
+    rng = random.Random(6)
+    a = list(range(20_000))
+    moved = a[:]
+    rng.shuffle(moved)
+    for b in (moved, a[::-1], a[:10_000] * 2, [rng.randrange(40_000) for _ in a], a[5_000:] + a[:5_000]):
+        began = time.perf_counter()
+        first = {k for _, s, n in line_alignment.align(a, b) for k in range(s, s + n)}
+        gone = first | set(line_alignment.again(a, b, [8] * len(b), 8, first))
+        assert time.perf_counter() - began < 2
+        assert gone == {k for k, x in enumerate(b) if x < 20_000}
 
 
 def test_passage_that_a_text_holds_twice_or_elsewhere(spark):
