@@ -10,7 +10,8 @@ are indented by depth, preformatted text keeps its spaces, and the cells of a
 table are padded to the width of their column.
 
 Not visible: head contents, script, style, template, noscript and what other
-media hold in place of themselves, descriptions and definitions inside drawings
+media, progress bars and meters hold in place of themselves, parentheses of ruby
+text, dialogs that are not open, descriptions and definitions inside drawings
 and formulas (their labels are visible), comments, elements with `hidden`, hidden
 inputs, `display:none`, text whose nearest `visibility` is hidden or collapse (a
 descendant that says visible is seen), and closed details apart from their
@@ -40,13 +41,14 @@ from pyspark.sql import functions as F
 
 from sunlattice.llm.common import prepare
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)[a-zA-Z]")
+NAME_END, SPECIAL = re.compile(r"[\s/>]"), re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript noembed noframes iframe audio video canvas datalist title meta link base desc metadata defs symbol clippath mask pattern annotation annotation-xml".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes iframe audio video canvas datalist progress meter rp title meta link base desc metadata defs symbol clippath mask pattern annotation annotation-xml".split())
 HEAD = frozenset("base link meta script style template title noscript".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody thead tfoot tr td th caption ul xmp".split())
 SPACED_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr address menu dir".split())
@@ -67,6 +69,8 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 TABLE_PARENTS = {"td": ("tr", {"tr"}), "th": ("tr", {"tr"}), "tr": ("tbody", {"tbody", "thead", "tfoot"})}
+#: Kinds of inputs that show what is written in them, or else their placeholder.
+WRITTEN = ("text", "search", "email", "url", "tel", "number")
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "body", "template"])
 
 
@@ -77,6 +81,64 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+class _Ahead:
+    """The next place of a pattern from a place on; it is searched for once, however many places ask for it."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.since, self.at = page, pattern, 0, -1
+
+    def __call__(self, place: int) -> int:
+        if not self.since <= place <= self.at:
+            found = self.pattern.search(self.page, place)
+            self.since, self.at = place, found.start() if found else len(self.page)
+        return self.at
+
+
+class Scanner:
+    """Cuts a page into tags, comments and CDATA. No byte is read more than a few times, also where tags or quotes never end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.name_end, self.special = _Ahead(page, NAME_END), _Ahead(page, SPECIAL)
+        #: Places of marks from which no tag ends.
+        self.dead: set[int] = set()
+
+    def _tag_end(self, place: int) -> int:
+        """Where the tag ends whose attributes begin at a place: at the first > outside quotes; -1 if there is none."""
+        page, been = self.page, []
+        while (s := self.special(place)) < len(page) and s not in self.dead:
+            if page[s] == ">":
+                return s
+            been.append(s)
+            place = page.find(page[s], s + 1) + 1
+            if not place:
+                break
+        self.dead.update(been)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, str, str] | None:
+        """(first, end, text of CDATA, / of an end tag, tag, attributes) of what comes next; no tag for what is left out."""
+        page, n = self.page, len(self.page)
+        while m := OPENING.search(page, at):
+            first, opened = m.start(), m[0]
+            if opened == "<!--":
+                end = page.find("-->", m.end())
+                return first, n if end < 0 else end + 3, None, "", "", ""
+            if opened == "<![CDATA[":
+                end = page.find("]]>", m.end())
+                return first, n if end < 0 else end + 3, page[m.end() : n if end < 0 else end], "", "", ""
+            if opened in ("<!", "<?"):
+                end = page.find(">", m.end())
+                return first, n if end < 0 else end + 1, None, "", "", ""
+            begin = m.end() - 1
+            name = self.name_end(begin)
+            end = self._tag_end(name)
+            if end >= 0:
+                return first, end + 1, None, m[1], page[begin:name].lower(), page[name:end]
+            at = m.end()
+        return None
+
+
 def parse(page: str) -> Node:
     """The element tree of a page; kids are nodes and strings."""
     root = Node("html", {})
@@ -115,6 +177,7 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(text)
 
     at, n = 0, len(page)
+    scanner = Scanner(page)
     for_raw = None
     while at < n:
         if for_raw:
@@ -126,20 +189,19 @@ def parse(page: str) -> Node:
             at, for_raw = stop, None
             if not end:
                 break
-        m = TOKEN.search(page, at)
-        if not m:
+        found = scanner.next(at)
+        if not found:
             add(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            add(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            add(m[1])
-        tag = m[3]
+        first, end, cdata, closing, tag, own = found
+        if first > at:
+            add(entities.unescape(page[at:first]))
+        at = end
+        if cdata is not None:
+            add(cdata)
         if not tag:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closing:
             if tag in ("html", "body"):
                 continue
             if tag == "p" and not open_tags["p"]:
@@ -156,7 +218,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in SCOPE and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "body", "html"):
                     break
             continue
-        attrs = {a[1].lower(): entities.unescape(next((x for x in a.groups()[1:] if x is not None), "")) for a in ATTRIBUTE.finditer(m[4])} if m[4] else {}
+        attrs = {a[1].lower(): entities.unescape(next((x for x in a.groups()[1:] if x is not None), "")) for a in ATTRIBUTE.finditer(own)} if own else {}
         if tag == "html":
             root.attrs |= attrs
             continue
@@ -194,7 +256,7 @@ def parse(page: str) -> Node:
                 push(stack[-1].kids[-1])
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].rstrip().endswith("/") or tag in RAW:
+        if tag not in VOID and not own.rstrip().endswith("/") or tag in RAW:
             push(node)
             if tag in RAW:
                 for_raw = tag
@@ -213,9 +275,11 @@ def visible(node: Node, painted: bool = False) -> bool:
     if node.tag in UNSEEN:
         return False
     if not a:
-        return True
+        return node.tag != "dialog"
     if "hidden" in a and a["hidden"].lower() != "until-found" or not painted and a.get("aria-hidden", "").lower() == "true":
         return False
+    if node.tag == "dialog" and "open" not in a:
+        return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
     return "style" not in a or _style(node).get("display") != "none"
@@ -314,8 +378,11 @@ def render(root: Node, painted: bool = False) -> str:
                 flow.text(x.attrs["alt"], False)
             continue
         if tag == "input":
-            if x.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and x.attrs.get("value"):
-                flow.text(x.attrs["value"], False)
+            kind = x.attrs.get("type", "text").lower()
+            shown = x.attrs.get("value") if kind in ("submit", "button", "reset", *WRITTEN) else None
+            shown = shown or (x.attrs.get("placeholder") if kind in WRITTEN or kind == "password" else None)
+            if shown:
+                flow.text(shown, False)
             continue
         if tag == "hr":
             flow.block(True)
@@ -361,10 +428,16 @@ def render(root: Node, painted: bool = False) -> str:
                 state["lists"].append([tag, int(begin) if re.fullmatch(r"-?\d{1,9}", begin) else 1])
             elif tag == "li":
                 if state["lists"] and state["lists"][-1][0] == "ol":
+                    own = x.attrs.get("value", "")
+                    if re.fullmatch(r"-?\d{1,9}", own):
+                        state["lists"][-1][1] = int(own)
                     flow.marker = f"{state['lists'][-1][1]}. "
                     state["lists"][-1][1] += 1
                 else:
                     flow.marker = "- "
+            elif tag == "optgroup" and x.attrs.get("label"):
+                kids = [Node("option", {}), *kids]
+                kids[0].kids.append(x.attrs["label"])
             elif tag == "dd":
                 flow.prefix += "  "
             elif tag == "blockquote":
@@ -383,6 +456,15 @@ def render(root: Node, painted: bool = False) -> str:
                     state["pre"] -= 1
 
             stack.append(after_block)
+        elif tag == "textarea":
+            state["pre"] += 1
+
+            def after_area():
+                state["pre"] -= 1
+
+            stack.append(after_area)
+            first = kids[0] if kids and isinstance(kids[0], str) else ""
+            kids = [first[1:] if first.startswith("\n") else first] if first.strip() else [x.attrs.get("placeholder", "")]
         elif tag == "q":
             kids = ["“", *kids, "”"]
         stack.extend(reversed(kids))

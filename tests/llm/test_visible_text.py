@@ -96,3 +96,28 @@ def test_deep_and_long_pages_take_linear_time(spark):
     got = Counter((r.page_id, r.text) for r in html_render.extract(pages).collect())
     assert got == {(1, "x"): 2, (2, None): 1, (None, ""): 1}
     assert html_render.extract(pages.limit(0)).count() == 0
+
+
+def test_what_never_ends_takes_no_longer():
+    for page in ("<a " * 350_000, "<a" * 500_000, "<a x='" * 170_000, "<a \"\" " * 150_000 + "'", "<a \"<b '" * 120_000, "<p><!-- " * 120_000, "<![CDATA[" * 110_000, "<! " * 350_000, "</a " * 250_000 + ">"):
+        began = time.perf_counter()
+        html_render.parse(page)
+        assert time.perf_counter() - began < 4, page[:20]
+
+
+def test_tags_end_outside_quotes():
+    shown = lambda page: html_render.render(html_render.parse(page))
+    assert shown("""a <b title="x > y" data='">'>bold</b> c""") == "a bold c"
+    assert shown("1 < 2 <i>and</i> 3 <4") == "1 < 2 and 3 <4"
+    assert shown("""a <b title="never ends>b <i>c</i>""") == 'a <b title="never ends>b c'
+    assert shown("a<br/>b<BR>c") == "a\nb\nc"
+
+
+def test_controls_and_what_browsers_do_not_paint():
+    shown = lambda page: html_render.render(html_render.parse(page))
+    assert shown("<input placeholder=Name><input value=v placeholder=Name><input type=hidden placeholder=no>") == "Namev"
+    assert shown("<textarea>\none\n  two</textarea>") == "one\n  two" and shown("<textarea placeholder=Say></textarea>") == "Say"
+    assert shown("<select><optgroup label=Fruit><option>fig</optgroup></select>") == "Fruit\nfig"
+    assert shown("a<dialog>no</dialog><dialog open>yes</dialog>") == "a\nyes"
+    assert shown("<progress>50%</progress><meter>1</meter>x <ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>") == "x kr"
+    assert shown("<ol><li>a<li value=5>b<li>c</ol>") == "1. a\n5. b\n6. c"
