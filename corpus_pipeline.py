@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm import hyper_mix, kneser_ney, orc_tokens, signature_tree, suffix_automaton
-from sunlattice.llm.common import discard, doc_key, prepare, saved, table
+from sunlattice.llm.common import discard, doc_key, free_name, prepare, saved, table
 from sunlattice.llm.queries import END_ID, tokenizer_path
 
 #: Mixing, language scoring and the rest can't be told in SQL: the tests hold each stage against brute force.
@@ -19,7 +19,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, `lang` being the one that was identified."""
+    """Documents whose language is known, `lang` being the one that was identified.
+
+    Null texts and texts without a letter go, as their language is not known. Rows
+    without a lang train nothing and stay if their language is accepted; repeated
+    rows each stay or go; an empty table gives an empty one.
+    """
     prepare(spark)
     return kneser_ney.keep_known(docs)
 
@@ -29,20 +34,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent:
 
     Linked are documents whose sets of shingles of `width` words have a Jaccard similarity of `percent` / 100 or more.
     Documents without words are no group. Rows that repeat id and text are one document.
+    Different texts with one id are documents of their own, in the order of their hashes;
+    a null id comes before all others. Very long texts are compared whole, and an empty table gives an empty one.
     """
     prepare(spark)
+    twice = docs.groupBy("doc_id").count().filter("count > 1")
+    if twice.limit(1).count():
+        return _first_of_each(docs, percent, width)
     found = signature_tree.jaccard_components(docs.select("doc_id", "text"), percent, width, all_links=False)
     first = found.filter(doc_key() == doc_key("component_id")).select(doc_key().alias("first_id"), "n_shingles").distinct()
-    kept = docs.join(first, doc_key() == F.col("first_id"), "left_semi")
-    twice = docs.groupBy("doc_id").count().filter("count > 1").select(doc_key().alias("twice_id"))
-    if twice.limit(1).count():
-        again = kept.join(twice, doc_key() == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(twice, doc_key() == F.col("twice_id"), "left_anti").union(again)
-    return kept.select(*docs.columns)
+    return docs.join(first, doc_key() == F.col("first_id"), "left_semi").select(*docs.columns)
+
+
+def _first_of_each(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The same where ids repeat: on numbers of the different rows of id and text, which follow the order of both."""
+    number, digest = free_name(docs.columns, "row_number"), free_name(docs.columns, "text_digest")
+    one = docs.dropDuplicates(["doc_id", "text"]).withColumn(digest, F.sha2("text", 256))
+    one = saved(one.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest).withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    found = signature_tree.jaccard_components(one.select(F.col(number).alias("doc_id"), "text"), percent, width, all_links=False)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id"))
+    return one.join(first, F.col(number) == F.col("first_id"), "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The stage: near duplicates on five-word shingles at 0.8. The defaults above are those of op5."""
+    """The stage: near duplicates on five-word shingles at 0.8. The defaults above are those of op5; odd rows are as there."""
     return near_duplicates(spark, docs, sf_dir, 80, 5)
 
 
