@@ -10,7 +10,7 @@ from sunlattice.operators import spatial
 
 #: Widths of roads (metres) by class, and the classes that are walked on.
 ROAD_WIDTH = {"motorway": 16.0, "trunk": 14.0, "primary": 12.0, "secondary": 10.0, "tertiary": 8.0, "unclassified": 6.0, "residential": 6.0, "living_street": 5.0, "service": 4.0, "track": 3.0, "pedestrian": 5.0, "footway": 2.5, "cycleway": 2.5, "path": 2.0, "steps": 2.0}
-WALKED = ("pedestrian", "footway", "cycleway", "path", "steps")
+WALKED = ("pedestrian", "footway", "path", "steps")
 
 
 def road_width(kind: Column) -> Column:
