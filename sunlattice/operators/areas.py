@@ -93,24 +93,6 @@ def union_centre(areas: DataFrame, roofs: DataFrame, xmin: float, ymax: float, r
     return union.agg(F.count("*").alias("cells"), F.avg(xmin + (F.col("j") + 0.5) * res).alias("cx"), F.avg(ymax - (F.col("i") + 0.5) * res).alias("cy"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
-    """id, rid, d2: the nearest target (rid, rx, ry) of each point (id, x, y) however far it is; the lower rid on a tie.
-
-    Points look within `cell`; those that find nothing look twice as far, and so
-    on until none is left: each round is an equi-join on grid cells.
-    """
-    found, left = None, points.select("id", "x", "y")
-    if not targets.limit(1).count():
-        return points.select("id", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("d2")).limit(0)
-    while left.limit(1).count():
-        # Targets farther than the radius may be in the cells around too: near_join leaves them.
-        got = spatial.nearest_within(left, targets, cell).checkpoint()
-        found = got if found is None else found.unionByName(got)
-        left = left.join(got.select("id"), "id", "left_anti").checkpoint()
-        cell *= 2
-    return points.select("id").limit(0).select("id", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("d2")) if found is None else found
-
-
 def clipped(edges: DataFrame, rings: DataFrame) -> DataFrame:
     """Edges (id, ax, ay, bx, by, ...) whose middle is in a ring (id, ring)."""
     middle = edges.select(F.col("id").alias("rid"), ((F.col("ax") + F.col("bx")) / 2).alias("rx"), ((F.col("ay") + F.col("by")) / 2).alias("ry"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sunlattice.operators import areas, graph, raster
+from sunlattice.operators.nearest import nearest
 from sunlattice.plans import flows
 from sunlattice.plans.registry import query
 from sunlattice.plans.relations import POINTS_SQL, RINGS_SQL, _points, _rings, _xy
@@ -102,7 +103,18 @@ def candidate_masks(spark, sf_dir):
 def nearest_any(spark, sf_dir):
     """The nearest node of each place, however far it is."""
     points, nodes = _points(spark, sf_dir)
-    return areas.nearest(points, nodes.select("rid", "rx", "ry"), 12.0).select("id", "rid", F.round("d2", 6).alias("d2"))
+    return nearest(points, nodes.select("rid", "rx", "ry")).select("id", "rid", F.round("d2", 6).alias("d2"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 89 <> 1 THEN (c_custkey * 37 % 211) * CASE WHEN c_custkey % 97 = 0 THEN 100000 ELSE 3 END END::DOUBLE AS x, (c_custkey * 61 % 197 * 3)::DOUBLE AS y FROM customer),
+s AS (SELECT s_suppkey AS rid, CASE WHEN s_suppkey % 13 <> 0 THEN s_suppkey * 53 % 307 END::DOUBLE AS rx, CASE WHEN s_suppkey % 17 = 0 THEN -1000000 ELSE s_suppkey * 29 % 311 END::DOUBLE AS ry FROM supplier),
+d AS (SELECT id, rid, (x - rx) * (x - rx) + (y - ry) * (y - ry) AS d2 FROM c, s WHERE x IS NOT NULL AND rx IS NOT NULL) SELECT id, arg_min(rid, (d2, rid)) AS rid, min(d2) AS d2 FROM d GROUP BY id""")
+def nearest_outliers(spark, sf_dir):
+    """The nearest node where places lie far off or have none."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 89 != 1, c * 37 % 211 * F.when(c % 97 == 0, 100000).otherwise(3)).cast("double").alias("x"), (c * 61 % 197 * 3).cast("double").alias("y"))
+    nodes = table(spark, sf_dir, "supplier").select(s.alias("rid"), F.when(s % 13 != 0, s * 53 % 307).cast("double").alias("rx"), F.when(s % 17 == 0, -1000000).otherwise(s * 29 % 311).cast("double").alias("ry"))
+    return nearest(points, nodes)
 
 
 @query(f"""WITH {RINGS_SQL}, g AS (SELECT o_orderkey AS id, o_totalprice AS w, ((o_custkey * 37 % 211) * 3.0::DOUBLE + (o_custkey * 37 % 211) * 3.0::DOUBLE + 4) / 2 AS x, ((o_custkey * 61 % 197) * 3.0::DOUBLE + (o_custkey * 61 % 197) * 3.0::DOUBLE - 2) / 2 AS y FROM orders),

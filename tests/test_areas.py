@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from sunlattice.operators import areas, graph, light, spatial
+from sunlattice.operators.nearest import nearest
 from sunlattice.plans.registry import QUERIES
 from sunlattice.session import with_checkpoints
 from sunlattice.sources import studies
@@ -45,9 +46,28 @@ def test_nearest_of_far_places(spark):
     with_checkpoints(spark)
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 0.0), (3, 5.0, 5.0)], "id long, x double, y double")
     targets = spark.createDataFrame([(10, 3.0, 4.0), (11, -3.0, -4.0), (12, 400.0, 0.0)], "rid long, rx double, ry double")
-    got = {r.id: (r.rid, r.d2) for r in areas.nearest(points, targets, 1.0).collect()}
+    got = {r.id: (r.rid, r.d2) for r in nearest(points, targets).collect()}
     assert got == {1: (10, 25.0), 2: (12, 360000.0), 3: (10, 5.0)}
-    assert areas.nearest(points, targets.limit(0), 1.0).count() == 0 and areas.nearest(points.limit(0), targets, 1.0).count() == 0
+    assert nearest(points, targets.limit(0)).count() == 0 and nearest(points.limit(0), targets).count() == 0
+
+
+@pytest.mark.parametrize("small", [{}, {"max_sample": 60, "cell_rows": 20, "chunk": 7}])
+def test_nearest_against_all_pairs(spark, small):
+    with_checkpoints(spark)
+    rng = np.random.default_rng(8)
+    places = lambda n: [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 40, (n, 2)) * rng.choice([1, 1, 1, 5000], (n, 1)))]
+    points, targets = places(700), places(500)
+    points += [(0, 3.0, 3.0), (900, None, 1.0), (901, 1.0, float("nan")), (902, float("inf"), 1.0), (None, 1.0, 1.0), (903, -1e9, 1e9)] + [(k, 7.0, 7.0) for k in range(1000, 1100)]
+    targets += [(900 + k, 7.0, 7.5) for k in range(200)] + [(-5, None, 1.0), (-6, float("nan"), 2.0), (None, 7.0, 7.0)]
+    want = {}
+    for i, x, y in points:
+        if i is not None and x is not None and math.isfinite(x) and math.isfinite(y):
+            own = min(((x - a) * (x - a) + (y - b) * (y - b), r) for r, a, b in targets if r is not None and a is not None and math.isfinite(a))
+            want[i] = min(want.get(i, own), own)
+    p = spark.createDataFrame(points, "id long, x double, y double").repartition(4)
+    t = spark.createDataFrame(targets, "rid long, rx double, ry double").repartition(4)
+    got = nearest(p, t, **small).collect()
+    assert len(got) == len(want) and {r.id: (r.d2, r.rid) for r in got} == want
 
 
 def test_road_widths(spark):
