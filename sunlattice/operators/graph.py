@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +38,85 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "label")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, dist, prev from each source over undirected edges (a, b, cost).
-
-    Rounds relax the edges of what has changed; of equal costs the predecessor
-    that is nearer to the source, then the lower one, is kept.
+class Rows:
+    """A graph as arrays: the edges of each node one behind the other. Nodes are numbered in the order of their ids."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, cost: np.ndarray):
+        self.nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = ends[: len(u)], ends[len(u) :]
+        from_, to, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cost, cost])
+        order = np.argsort(from_, kind="stable")
+        self.first, self.to, self.cost = np.searchsorted(from_[order], np.arange(len(self.nodes) + 1)), to[order], both[order]
+
+    def paths(self, source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the nodes reached in the order of their distance, the distances and the nodes before them (-1 at the source).
+
+        A heap holds (distance, that of the node before, node before, node): of equal
+        costs the predecessor nearer to the source wins, then the lower one.
+        """
+        first, to, cost = self.first, self.to, self.cost
+        settled: set[int] = set()
+        least: dict[int, float] = {}
+        out, heap = [], [(0.0, 0.0, -1, source)]
+        while heap:
+            d, _, prev, node = heapq.heappop(heap)
+            if node in settled:
+                continue
+            settled.add(node)
+            out.append((node, d, prev))
+            lo, hi = first[node], first[node + 1]
+            for v, c in zip(to[lo:hi].tolist(), cost[lo:hi].tolist()):
+                if v not in settled and d + c <= least.get(v, d + c):
+                    least[v] = d + c
+                    heapq.heappush(heap, (d + c, d, node, v))
+        node, dist, prev = zip(*out)
+        return np.array(node), np.array(dist), np.array(prev)
+
+
+_PATHS = "source long, node long, dist double, prev long"
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_edges: int = 1 << 21) -> DataFrame:
+    """source, node, dist, prev from each different source over undirected edges (a, b, cost of 0 or more).
+
+    Of equal costs the predecessor that is nearer to the source, then the lower
+    one, is kept. A graph of at most `max_edges` edges (its size is counted) is
+    sent to the workers as arrays, and each source is one search with a heap there,
+    so the work follows sources x edges and not the length of routes. A larger
+    graph is walked by rounds of joins (`relaxed_paths`), with the same rows.
+
+    A source without edges reaches itself. Null sources and edges with a null end
+    or cost are left out; a negative cost is an error. No sources give no rows.
     """
+    known = edges.filter("a is not null and b is not null and cost is not null").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double"))
+    size = known.agg(F.count("*").alias("n"), F.min("cost").alias("least")).first()
+    if size.n and size.least < 0:
+        raise ValueError("costs must not be negative")
+    starts = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()
+    if size.n > max_edges:
+        return relaxed_paths(known, starts)
+    table = known.toArrow()
+    graph = edges.sparkSession.sparkContext.broadcast(Rows(*(table[c].to_numpy() for c in ("a", "b", "cost"))))
+
+    def run(batches):
+        g = graph.value
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                at = int(np.searchsorted(g.nodes, source))
+                if at == len(g.nodes) or g.nodes[at] != source:
+                    yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([source]), pa.array([0.0]), pa.array([None], pa.int64())], ["source", "node", "dist", "prev"])
+                    continue
+                node, dist, prev = g.paths(at)
+                before = pa.array(g.nodes[prev], mask=prev < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), source)), pa.array(g.nodes[node]), pa.array(dist), before], ["source", "node", "dist", "prev"])
+
+    # A search takes long for its few bytes: sources are dealt by number.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return starts.repartition(parts, "source").mapInArrow(run, _PATHS)
+
+
+def relaxed_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of `shortest_paths` by rounds that relax the edges of what has changed, for graphs of any size."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost").union(edges.select("b", "a", "cost")).checkpoint()
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(0.0).alias("before")).checkpoint()
     front = best
@@ -52,12 +130,50 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return best.drop("before")
 
 
-def edge_flows(paths: DataFrame, demand: DataFrame) -> DataFrame:
+def edge_flows(paths: DataFrame, demand: DataFrame, max_nodes: int = 1 << 21) -> DataFrame:
     """a, b, flow: weights of trips (source, node, w) summed over the edges of their paths (source, node, dist, prev).
 
-    Without trips, or with trips that walk nowhere, there are no rows.
+    The paths from a source are a tree: weights are added up from its far ends, a
+    source a group. Trees of more than `max_nodes` nodes are walked by rounds of
+    joins instead (`relayed_flows`). Trips to nodes without a path, trips that walk
+    nowhere and null weights give nothing; without trips there are no rows.
     """
-    at = demand.groupBy("source", "node").agg(F.sum("w").alias("w")).checkpoint()
+    largest = paths.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    trips = demand.groupBy("source", "node").agg(F.sum("w").alias("w"))
+    if largest > max_nodes:
+        return relayed_flows(paths, trips)
+    rows = paths.select("source", "node", "prev").join(trips, ["source", "node"], "left")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, prev, w = pdf["node"].to_numpy(), pdf["prev"].to_numpy(dtype=float), pdf["w"].fillna(0.0).to_numpy(dtype=float).copy()
+        rooted = ~np.isnan(prev)
+        order = np.argsort(nodes)
+        parent = np.where(rooted, order[np.searchsorted(nodes[order], np.where(rooted, prev, nodes).astype(np.int64))], -1)
+        # Far ends first: a node is passed on once all behind it are.
+        behind = np.bincount(parent[rooted], minlength=len(nodes)).tolist()
+        todo = [k for k, n in enumerate(behind) if not n]
+        up, weight = parent.tolist(), w.tolist()
+        while todo:
+            k = todo.pop()
+            p = up[k]
+            if p >= 0:
+                weight[p] += weight[k]
+                behind[p] -= 1
+                if not behind[p]:
+                    todo.append(p)
+        weight = np.array(weight)
+        used = rooted & (weight != 0)
+        a, b = nodes[used], prev[used].astype(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": weight[used]})
+
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flows = rows.repartition(parts, "source").groupBy("source").applyInPandas(one, "a long, b long, w double")
+    return flows.groupBy("a", "b").agg(F.sum("w").alias("flow"))
+
+
+def relayed_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
+    """The rows of `edge_flows` by rounds that pass all weights on by one edge."""
+    at = trips.checkpoint()
     flows = at.select(F.col("node").alias("a"), F.col("node").alias("b"), "w").limit(0)
     while at.limit(1).count():
         moved = at.join(paths.select("source", "node", "prev"), ["source", "node"]).filter("prev is not null").checkpoint()

@@ -52,6 +52,39 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_paths(graph.undirected(_segments(spark, sf_dir)), _sources(spark)).select("source", "node", "dist")
 
 
+ONE_SQL = """n AS (SELECT count(*)::BIGINT AS n FROM customer),
+way AS (SELECT c_custkey AS u, c_custkey % n + 1 AS v, (1 + c_custkey % 5)::DOUBLE AS cost FROM customer, n UNION ALL SELECT c_custkey, c_custkey * 7 % n + 1, 2.5::DOUBLE + c_custkey % 11 FROM customer, n WHERE c_custkey % 3 = 0),
+edges AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(cost) AS cost FROM way WHERE u <> v GROUP BY ALL),
+both_ AS (SELECT a AS u, b AS v, cost FROM edges UNION ALL SELECT b, a, cost FROM edges)"""
+
+
+def _one_graph(spark, sf_dir):
+    """One connected graph over all customers, and a source a nation."""
+    c = table(spark, sf_dir, "customer")
+    n, k = c.count(), F.col("c_custkey")
+    ring = c.select(k.alias("u"), (k % n + 1).alias("v"), (1 + k % 5).cast("double").alias("cost"), k.alias("ordinal"), F.lit("ring").alias("tag"))
+    chords = c.filter(k % 3 == 0).select(k, k * 7 % n + 1, 2.5 + k % 11, k + n, F.lit("chord"))
+    return graph.undirected(ring.union(chords)), table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 37 % n + 1).alias("source"))
+
+
+@query(f"""WITH RECURSIVE {ONE_SQL}, r(source, node, dist) USING KEY (source, node) AS (
+ SELECT DISTINCT n_nationkey * 37 % n + 1, n_nationkey * 37 % n + 1, 0.0::DOUBLE FROM nation, n
+ UNION SELECT source, v, min(d) FROM (SELECT r.source, e.v, r.dist + e.cost AS d FROM r JOIN both_ e ON e.u = r.node) q
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.source = q.source AND o.node = q.v AND o.dist <= q.d) GROUP BY source, v)
+SELECT source, node, dist FROM r""")
+def walk_costs(spark, sf_dir):
+    """Least costs from a source of each nation to all nodes of one connected graph that grows."""
+    return graph.shortest_paths(*_one_graph(spark, sf_dir)).select("source", "node", "dist")
+
+
+@query()
+def walk_flows(spark, sf_dir):
+    """Trips from those sources to all nodes, summed over the edges of their routes; tested against brute force."""
+    paths = graph.shortest_paths(*_one_graph(spark, sf_dir)).checkpoint()
+    demand = paths.select("source", "node", (1 / (1 + F.col("node") % 4)).alias("w"))
+    return graph.edge_flows(paths, demand).select("a", "b", F.round("flow", 6).alias("flow"))
+
+
 @query()
 def flow_accumulate(spark, sf_dir):
     """Trips from two sources to all reachable nodes, summed over the edges of their routes; tested against brute force."""
