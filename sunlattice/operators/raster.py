@@ -27,12 +27,6 @@ def dilate(cells: DataFrame, radius: float) -> DataFrame:
     return cells.withColumn("o", _offsets(disc(radius))).select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j")).distinct()
 
 
-def convolve(cells: DataFrame, kernel: list[tuple[int, int, float]], value: str = "v") -> DataFrame:
-    """Sum of each cell's values spread by a kernel of offsets and weights."""
-    spread = cells.withColumn("o", _offsets(kernel))
-    return spread.groupBy((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j")).agg(F.sum(F.col(value) * F.col("o.k")).alias(value))
-
-
 def gaussian_mix(cells: DataFrame, sigma: float, reach: int) -> DataFrame:
     """Mean of v weighed by a Gaussian over the cells that are there (i, j, v): two passes along the axes."""
     w = [float(np.exp(-k * k / (2 * sigma * sigma))) for k in range(-reach, reach + 1)]

@@ -12,7 +12,6 @@ from sunlattice.session import table
 
 RES, NY, NX = 1.5, 60, 60
 SUNS = [(0, 12.0, 95.0), (1, 35.0, 140.0), (2, 55.0, 180.0), (3, 20.0, 262.0)]
-HIGHEST = 20.0
 
 GRID_SQL = "grid AS (SELECT l_partkey % 60 AS i, l_orderkey % 60 AS j, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 HEIGHTS_SQL = """cells AS (SELECT i, j FROM generate_series(0, 59) a(i), generate_series(0, 59) b(j)),

@@ -130,6 +130,14 @@ def anti_matched(spark, sf_dir):
     return s.join(near, "rid", "left_anti").select("rid")
 
 
+@query(f"""WITH {POINTS_SQL} SELECT s.rid FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE (x - rx) * (x - rx) + (y - ry) * (y - ry) <= 1)""")
+def anti_matched_close(spark, sf_dir):
+    """Samples that no point has within a metre."""
+    c, s = _points(spark, sf_dir)
+    near = spatial.near_join(c, s, 1.0).select("rid").distinct()
+    return s.join(near, "rid", "left_anti").select("rid")
+
+
 @query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(a.w * b.w, 6) AS w FROM
  (SELECT n_nationkey, (n_nationkey % 5 + 1) / 10.0::DOUBLE AS w FROM nation) a JOIN (SELECT n_nationkey, (n_nationkey % 5 + 1) / 10.0::DOUBLE AS w FROM nation) b ON a.n_nationkey < b.n_nationkey""")
 def upper_triangle_pairs(spark, sf_dir):

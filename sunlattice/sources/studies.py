@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBJECTS = "OBJECTS array<struct<object string, entity string, name string, handle string, layer array<bigint>, point array<double>, ins_pt array<double>, points array<array<double>>>>"
-SCENARIO = "name string, sails array<array<double>>, sail_h double, sail_crown double, sail_cells array<array<double>>, sail_tau double, window array<double>, canopy_area_m2 double, solution string, point string, level double"
+#: The fields of a scenario file.
+SCENARIO = "name string, trees array<array<double>>, sails array<array<double>>, sail_h double, sail_crown double, sail_cells array<array<double>>, sail_tau double, window array<double>, canopy_area_m2 double, solution string, point string, level double"
 
 #: Heights of sails on posts and of sheets (metres), crown of a sail, share of light through a sheet.
 SAIL_HEIGHT, SHEET_HEIGHT, SAIL_CROWN, SHEET_LIGHT = 4.1, 6.0, 6.8, 0.28
@@ -46,13 +47,9 @@ def boundary_lines(objects: DataFrame, layers: dict[str, str], digits: int = 2)
 
 
 def scenarios(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """plants (name, x, y, h, crown, evergreen) and sheet cells (name, x, y, h, light) that scenario files add; sails count as evergreen crowns.
-
-    A file holds one scenario, its plants in the field whose name begins with 'tree'.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", SCENARIO).alias("s"), F.from_json("value", "map<string, string>").alias("fields"))
-    rows = whole.select("s.*", F.from_json(F.get(F.map_values(F.map_filter("fields", lambda k, _: k.startswith("tree"))), F.lit(0)), "array<array<double>>").alias("plants"))
-    tree = rows.select("name", F.explode("plants").alias("t")).select("name", *[F.get("t", F.lit(k)).alias(c) for k, c in enumerate(["x", "y", "h", "crown"])], F.lit(False).alias("evergreen"))
+    """plants (name, x, y, h, crown, evergreen) and sheet cells (name, x, y, h, light) that scenario files, one scenario each, add; sails count as evergreen crowns."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", SCENARIO).alias("s")).select("s.*")
+    tree = rows.select("name", F.explode("trees").alias("t")).select("name", *[F.get("t", F.lit(k)).alias(c) for k, c in enumerate(["x", "y", "h", "crown"])], F.lit(False).alias("evergreen"))
     sail = rows.select("name", F.coalesce("sail_h", F.lit(SAIL_HEIGHT)).alias("h"), F.coalesce("sail_crown", F.lit(SAIL_CROWN)).alias("crown"), F.explode("sails").alias("t"))
     sail = sail.select("name", F.get("t", F.lit(0)).alias("x"), F.get("t", F.lit(1)).alias("y"), "h", "crown", F.lit(True).alias("evergreen"))
     sheet = rows.select("name", F.coalesce("sail_h", F.lit(SHEET_HEIGHT)).alias("h"), F.coalesce("sail_tau", F.lit(SHEET_LIGHT)).alias("light"), F.explode("sail_cells").alias("t"))
