@@ -85,7 +85,7 @@ def edge_rows(cells: DataFrame, xmin: float, ymax: float, res: float, spacing: f
     first and last cell are taken in order; one that isn't plantable, or nearer than
     `APART` of the spacing to one kept before, is left out. What is scanned in one
     task are these ends of one footprint, two a line. Null axes are 'y', null
-    plantable is false; cells without a place count for nothing.
+    plantable is false; cells without a place or id count for nothing.
     """
     step = max(1, round(spacing / res))
     along = F.col("axis") == "x"
@@ -98,18 +98,24 @@ def edge_rows(cells: DataFrame, xmin: float, ymax: float, res: float, spacing: f
     rows = both.select("id", (F.col("line") * 2 + F.col("side")).alias("turn"), F.col("end.ok").alias("ok"), *[F.when(F.col("along"), a).otherwise(b).cast("long").alias(c) for c, a, b in (("i", F.col("end.at"), F.col("line")), ("j", F.col("line"), F.col("end.at")))])
     least = (APART * spacing) ** 2
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["ok"]].sort_values("turn")
-        # Kept places by bucket, so each looks at its neighbours only.
-        size, held, kept = APART * spacing, {}, []
-        for row, (i, j) in enumerate(zip(pdf["i"], pdf["j"])):
-            x, y = xmin + (j + 0.5) * res, ymax - (i + 0.5) * res
-            a, b = int(x // size), int(y // size)
-            near = (p for da in (-1, 0, 1) for db in (-1, 0, 1) for p in held.get((a + da, b + db), ()))
-            if all((x - px) ** 2 + (y - py) ** 2 >= least for px, py in near):
-                held.setdefault((a, b), []).append((x, y))
-                kept.append(row)
-        out = pdf.iloc[kept][["id", "i", "j"]]
-        return out.assign(ordinal=np.arange(1, len(out) + 1))[["id", "ordinal", "i", "j"]]
-
-    return rows.groupBy("id").applyInPandas(one, f"id {dict(cells.dtypes)['id']}, ordinal long, i long, j long")
+    def scan(batches):
+        # Kept places of the footprint at hand by bucket, so each place looks at its neighbours only.
+        size, footprint, held, ordinal = APART * spacing, None, {}, 0
+        for pdf in batches:
+            kept = []
+            for row, (name, i, j) in enumerate(zip(pdf["id"], pdf["i"], pdf["j"])):
+                if name != footprint:
+                    footprint, held, ordinal = name, {}, 0
+                x, y = xmin + (j + 0.5) * res, ymax - (i + 0.5) * res
+                a, b = int(x // size), int(y // size)
+                near = (p for da in (-1, 0, 1) for db in (-1, 0, 1) for p in held.get((a + da, b + db), ()))
+                if all((x - px) ** 2 + (y - py) ** 2 >= least for px, py in near):
+                    held.setdefault((a, b), []).append((x, y))
+                    ordinal += 1
+                    kept.append((row, ordinal))
+            out = pdf.iloc[[row for row, _ in kept]][["id", "i", "j"]]
+            yield out.assign(ordinal=np.array([n for _, n in kept], np.int64))[["id", "ordinal", "i", "j"]]
+
+    # One ordered pass over many footprints, however short each is.
+    dealt = rows.filter("ok and id is not null").repartition("id").sortWithinPartitions("id", "turn")
+    return dealt.mapInPandas(scan, f"id {dict(cells.dtypes)['id']}, ordinal long, i long, j long")
