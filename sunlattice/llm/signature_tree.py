@@ -43,6 +43,7 @@ doc_id and text are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -157,8 +158,9 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.binary() if wide else pa.list_(pa.int64()))], ["rep", "f1", "f2", name])
 
     found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(make, f"rep long, f1 long, f2 long, {name} {'binary' if wide else 'array<long>'}")
-    # A document repeated with its id would come twice.
-    found = saved(sorted_join(found, chosen, ["rep", "f1", "f2"]).groupBy("cid").agg(F.first(name).alias(name)), "jaccard-items")
+    # A document repeated with its id would come twice. Grouped by the keys of the join, so that sets aren't moved again.
+    key = ["rep", "f1", "f2"]
+    found = saved(sorted_join(found, chosen, key).groupBy(*key).agg(F.first("cid").alias("cid"), F.first(name).alias(name)).select("cid", name), "jaccard-items")
     discard(chosen)
     return found
 
@@ -168,9 +170,55 @@ def _places(f1: np.ndarray, rep: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)]
 
 
+def _bloom(ids: DataFrame, name: str):
+    """A test for arrays of ids that is true for all in the column `name` of ids and for few others; 16 bits an id, 8 MB at most."""
+    bits = min(26, max(12, (16 * ids.count()).bit_length()))
+
+    def fill(batch, cells):
+        for h in _places(batch.column(0).to_numpy(), batch.column(0).to_numpy(), bits):
+            cells[h] = 1
+
+    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(hashed_counts(ids.select(name), fill, bits, np.uint8, np.maximum)))
+
+    def has(these: np.ndarray) -> np.ndarray:
+        found = np.ones(len(these), bool)
+        for h in _places(these, these, bits):
+            found &= ((packed.value[h >> 3] >> (7 - (h & 7))) & 1).astype(bool)
+        return found
+
+    return has
+
+
+def _those_in(pairs: DataFrame, side: str, items: DataFrame) -> DataFrame:
+    """items without most of the classes that are not on one side of the pairs; the join that follows is exact."""
+    has = _bloom(pairs.select(side).distinct(), side)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has(batch.column(0).to_numpy())))
+
+    return items.mapInArrow(keep, items.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but the rows whose doc_id is in gone (doc_id); a null id is one of its own.
+
+    Only rows that a Bloom filter of the ids in gone finds are shuffled, for an
+    exact join; all others, which are surely kept, stay in the task that reads them.
+    So kept texts do not move, however many there are. Rows repeated with an id
+    all go or all stay; an empty table on either side changes nothing.
+    """
+    name = common.free_name(docs.columns, "gone_id")
+    gone = gone.select(common.doc_key().alias(name))
+    has = _bloom(gone, name)
+    maybe = F.pandas_udf(lambda ids: pd.Series(has(ids.to_numpy())), "boolean")(common.doc_key())
+    unsure = docs.filter(maybe).join(gone.hint("merge"), common.doc_key() == F.col(name), "left_anti")
+    return docs.filter(~maybe).unionByName(unsure.select(*docs.columns))
+
+
 def _linked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
-    left, right = (items.select(F.col("cid").alias(k), F.col("items").alias(f"{k}_items")) for k in ("a", "b"))
+    left, right = (_those_in(pairs, k, items).select(F.col("cid").alias(k), F.col("items").alias(f"{k}_items")) for k in ("a", "b"))
     both = F.size(F.array_intersect("a_items", "b_items"))
     return sorted_join(sorted_join(pairs, left, "a"), right, "b").filter(100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
 

@@ -76,3 +76,16 @@ def test_components_by_width(spark):
         got = signature_tree.jaccard_components(docs, percent, width).collect()
         assert {r.doc_id: r.component_id for r in got} == brute_components(rows, width, percent)
         assert {r.doc_id: r.n_shingles for r in got} == {d: len(shingle_set(t, width)) for d, t in rows}
+
+
+def test_without_keeps_all_other_rows(spark):
+    """Rows of an id go or stay together, a null id is one of its own, and empty tables on either side are fine."""
+    from sunlattice.llm import signature_tree
+
+    rows = [(k, f"text {k}", "a") for k in range(300)] + [(None, "no id", "a"), (5, "again", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
+    gone = spark.createDataFrame([(5,), (None,), (77,), (5,)], "doc_id long")
+    kept = sorted(tuple(r) for r in signature_tree.without(docs, gone).collect())
+    assert kept == sorted(r for r in rows if r[0] not in (5, None, 77))
+    assert signature_tree.without(docs, gone.limit(0)).count() == len(rows)
+    assert signature_tree.without(docs.limit(0), gone).columns == docs.columns
