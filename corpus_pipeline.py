@@ -42,8 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent:
     if twice.limit(1).count():
         return _first_of_each(docs, percent, width)
     found = signature_tree.jaccard_components(docs.select("doc_id", "text"), percent, width, all_links=False)
-    first = found.filter(doc_key() == doc_key("component_id")).select(doc_key().alias("first_id"), "n_shingles").distinct()
-    return docs.join(first, doc_key() == F.col("first_id"), "left_semi").select(*docs.columns)
+    return signature_tree.without(docs, found.filter(doc_key() != doc_key("component_id")))
 
 
 def _first_of_each(docs: DataFrame, percent: int, width: int) -> DataFrame:
