@@ -7,6 +7,7 @@ so memory does not depend on the size of a partition or of a batch.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -70,6 +71,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits or goes on to another stage holds none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    # Not in every C library.
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """The same task over batches, with memory released before and after it."""
+
+    def task(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * _M1

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunlattice.llm.common import discard, free_name, mix, saved, slices
+from sunlattice.llm.common import SLICE_BYTES, discard, free_name, mix, saved, slices, tidy
 
 _STEP = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, 17, dtype=np.uint64)
 _FLUSH = 1 << 18
@@ -131,7 +131,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
                 yield from out(list(held)[:1])
         yield from out(list(held))
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, gram array<int>, n long")
+    counted = rows.select("lang", "text").mapInArrow(tidy(run), "lang string, gram array<int>, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -268,8 +268,11 @@ def train(rows: DataFrame, order: int = 4) -> Models:
     return Models(out, order)
 
 
-def classify(docs: DataFrame, models: Models, evidence: int = 20, name: str = "language") -> DataFrame:
-    """Each row of docs (a column `text`) with a struct `name`: lang_pred, score, cross_entropy, n_symbols."""
+def classify(docs: DataFrame, models: Models, evidence: int = 20, name: str = "language", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Each row of docs (a column `text`) with a struct `name`: lang_pred, score, cross_entropy, n_symbols.
+
+    A task holds some 150 bytes a byte of text for a slice of `slice_bytes`, or of one text where that is longer.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     columns = [*docs.columns, name]
     place = columns.index("text")
@@ -281,7 +284,7 @@ def classify(docs: DataFrame, models: Models, evidence: int = 20, name: str = "l
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
             best, score, entropy, size = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]
-            for _, _, data, off in slices(batch.column(place)):
+            for _, _, data, off in slices(batch.column(place), slice_bytes):
                 ce, n = m.cross_entropy(data, off)
                 low = ce.min(1) if m.langs else np.full(len(n), np.inf)
                 some = np.isfinite(low)
@@ -294,7 +297,7 @@ def classify(docs: DataFrame, models: Models, evidence: int = 20, name: str = "l
             parts = [pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(size.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(parts, added.names)], columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def limits(scored: DataFrame, margin: float = 4.0, tail: float = 0.99, steady: int = 400) -> DataFrame:
@@ -345,14 +348,14 @@ def identify(docs: DataFrame, training, order: int = 4, max_rows: int = 4_000_00
     return out.select("doc_id", "lang_pred", "score", "cross_entropy", fits(steady).alias("accepted"), "in_training")
 
 
-def keep_known(docs: DataFrame, order: int = 4, max_rows: int = 4_000_000, evidence: int = 20, margin: float = 4.0, tail: float = 0.99, steady: int = 400, least: int = 32) -> DataFrame:
+def keep_known(docs: DataFrame, order: int = 4, max_rows: int = 4_000_000, evidence: int = 20, margin: float = 4.0, tail: float = 0.99, steady: int = 400, least: int = 32, slice_bytes: int = 1 << 18) -> DataFrame:
     """The rows of docs whose language is accepted, `lang` being the identified one; all labelled rows train or calibrate.
 
     Each text is scored once, on its way through; those that calibrate are scored before.
     """
     rows = roles(docs.select(F.col("lang").cast("string").alias("lang"), "text"), max_rows, least)
     models = train(rows.filter("role in (0, 2)"), order)
-    scored = saved(classify(rows.filter("role in (1, 2)"), models, evidence).select("lang", "language.*"), "language")
+    scored = saved(classify(rows.filter("role in (1, 2)"), models, evidence, slice_bytes=slice_bytes).select("lang", "language.*"), "language")
     known = limits(scored, margin, tail, steady).collect()
     discard(scored)
     name = free_name(docs.columns, "language")
@@ -362,5 +365,5 @@ def keep_known(docs: DataFrame, order: int = 4, max_rows: int = 4_000_000, evide
     for r in known:
         scaled = (got.cross_entropy - r.centre) * F.sqrt(F.least(got.n_symbols, F.lit(steady)) / steady)
         fine = F.when(got.lang_pred == r.lang_pred, scaled <= r.most).otherwise(fine)
-    kept = classify(docs, models, evidence, name).filter((got.lang_pred != "und") & F.coalesce(fine, F.lit(False)))
+    kept = classify(docs, models, evidence, name, slice_bytes).filter((got.lang_pred != "und") & F.coalesce(fine, F.lit(False)))
     return kept.select(*[got.lang_pred.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

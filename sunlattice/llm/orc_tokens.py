@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sunlattice.llm.common import buffers, prepare, shared_dir
+from sunlattice.llm.common import buffers, prepare, shared_dir, tidy
 
 #: ASCII marks after an ASCII letter or digit, up to the end of the piece.
 _TAIL = re.compile(rb"(?<=[a-z0-9])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, words_kept: i
                 at += int(ends[-1])
                 lo = hi
 
-    encoded = rows.mapInArrow(run, SCHEMA)
+    encoded = rows.mapInArrow(tidy(run), SCHEMA)
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": stride, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     encoded.write.options(**options).orc(path)
 
@@ -195,11 +195,11 @@ def digest(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((off[1:] - off[:-1]).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, by_id: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, by_id: bool = True, words_kept: int = 300_000) -> DataFrame:
     """Write docs to a new folder of the shared place and digest what the files hold."""
     path = shared_dir(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer, end_id, by_id=by_id)
+    write(docs, path, tokenizer, end_id, words_kept, by_id=by_id)
     return digest(read(docs.sparkSession, path))

@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, percent: int, width: int = 3) -> DataFrame:
                     prefixes.append(np.zeros(0, np.int64)), signatures.append(b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["doc_id", "n", "f1", "f2", "prefix", "sig"])
 
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n int, f1 long, f2 long, prefix array<long>, sig binary"), "jaccard-sets")
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidy(make), "doc_id long, n int, f1 long, f2 long, prefix array<long>, sig binary"), "jaccard-sets")
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, wide: bool = False) -> DataFrame:
@@ -157,7 +157,7 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: i
                         rows.append(ids[row]), f1.append(a), f2.append(b), sets.append(_signature(s, WIDE) if wide else signed(s))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sets, pa.binary() if wide else pa.list_(pa.int64()))], ["rep", "f1", "f2", name])
 
-    found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(make, f"rep long, f1 long, f2 long, {name} {'binary' if wide else 'array<long>'}")
+    found = docs.select(common.doc_key().alias("rep"), "text").mapInArrow(common.tidy(make), f"rep long, f1 long, f2 long, {name} {'binary' if wide else 'array<long>'}")
     # A document repeated with its id would come twice. Grouped by the keys of the join, so that sets aren't moved again.
     key = ["rep", "f1", "f2"]
     found = saved(sorted_join(found, chosen, key).groupBy(*key).agg(F.first("cid").alias("cid"), F.first(name).alias(name)).select("cid", name), "jaccard-items")
@@ -197,7 +197,7 @@ def _those_in(pairs: DataFrame, side: str, items: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(has(batch.column(0).to_numpy())))
 
-    return items.mapInArrow(keep, items.schema)
+    return items.mapInArrow(common.tidy(keep), items.schema)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], ["a", "b"])
 
     joined = sorted_join(sorted_join(pairs, left, "a"), right, "b").select("a", "b", "a_n", "a_sig", "b_n", "b_sig")
-    return joined.mapInArrow(keep, "a long, b long")
+    return joined.mapInArrow(common.tidy(keep), "a long, b long")
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -392,7 +392,7 @@ def _tree_pairs(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes:
             signatures = wide = _whole_sets(docs, classes, part.select("cid").distinct(), width, wide=True)
         else:
             signatures = classes.select("cid", "sig")
-        found.append(_in_blocks(part, cuts, signatures).mapInArrow(_search(percent), "a long, b long"))
+        found.append(_in_blocks(part, cuts, signatures).mapInArrow(common.tidy(_search(percent)), "a long, b long"))
     pairs = found[0].union(found[1])
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-tree")
     discard(kept, kept_open, wide)
@@ -478,7 +478,7 @@ def _degrees(docs: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     items = _whole_sets(docs, classes, more.select("cid"), width)
     rows = _bands(more.join(items.select("cid", F.size("items").alias("n")), "cid"), percent)
     cuts = rows.groupBy("token", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("cut"))
-    counted = _in_blocks(rows, cuts, items).mapInArrow(_degrees_in(percent), "cid long, n_links long")
+    counted = _in_blocks(rows, cuts, items).mapInArrow(common.tidy(_degrees_in(percent)), "cid long, n_links long")
     out = saved(counted.groupBy("cid").agg(F.sum("n_links").alias("n_links")).union(pairs), "jaccard-degrees")
     discard(items, named)
     return out
