@@ -86,7 +86,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone, each repeated row is written, and an
     empty table gives no files.
     """
-    return orc_tokens.round_trip(docs, tokenizer_path(), END_ID, by_id=False)
+    return orc_tokens.round_trip(docs, tokenizer_path(), END_ID, by_id=False, words_kept=100_000)
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("token_output", tokens)]
