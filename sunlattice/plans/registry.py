@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from sunlattice.plans import areas, flows, kernels, layers, light, ordered, rasters, relations, sites, sun  # noqa: E402, F401
+from sunlattice.plans import areas, flows, kernels, layers, light, ordered, rasters, relations, sites, sun, zones  # noqa: E402, F401
