@@ -17,9 +17,11 @@ Two searches, each one shuffle of rows and queries by block: first the positives
 (rows of the anchor's label, nearest first), then for each positive the rows of
 other labels within its annulus, nearest first. A query goes to the cells that may
 hold a better row than the k-th best of the sample, which is exact. In a block the
-traversal is incremental: a heap holds nodes by their least possible distance and
-rows by their distance, and rows leave it in order, until there are k. A block with
-more than `chunk` queries is searched in as many copies as it takes.
+traversal is incremental and takes a run of queries together: each query looks at its
+leaves by their least possible distance, at one, then as many again as it has seen,
+and a leaf's scores with all queries that look at it are one product. A query stops
+where no leaf left may hold a better row than its k-th best. A block with more than
+`chunk` queries is searched in as many copies as it takes.
 
 Null ids, labels or vectors and vectors with a null or non-finite component take no
 part. Rows that repeat id, label and vector are one row; different rows with one id
@@ -32,20 +34,21 @@ integers, or the search raises an error.
 
 from __future__ import annotations
 
-import heapq
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunlattice.llm.common import discard, prepare, saved
+from sunlattice.llm.common import buffers, discard, prepare, saved
 
 #: Rows of a leaf of a block's tree, and candidates for a vantage point.
 LEAF, TRIED = 128, 5
 #: Distances are compared with this slack, so rounding never drops a row.
 SLACK = 1e-6
+#: Queries of a block that are searched together, and scores that are looked at at once.
+RUN, AT_ONCE = 512, 1 << 20
+#: Beyond every score: a window without an end.
+OPEN = 2**62
 
 
 def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -58,6 +61,20 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x @ q).astype(np.int64) if most < 2**53 else x.astype(np.int64) @ q.astype(np.int64)
 
 
+def _products(x: np.ndarray, q: np.ndarray, most: float | None = None) -> np.ndarray:
+    """The same of many vectors, a row each; `most` is no less than any product of two components."""
+    if not x.size or not q.size:
+        return np.zeros((len(q), len(x)), np.int64)
+    if most is None:
+        most = float(np.abs(x).max()) * float(np.abs(q).max())
+    # Whole numbers of doubles; larger ones are looked at vector by vector.
+    return q @ x.T if most * x.shape[1] < 2**53 else np.array([_scores(x, row) for row in q])
+
+
+def _away(whole: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(whole - 2.0 * score, 0))
+
+
 def _augmented(x: np.ndarray, top: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
     return np.concatenate([x, rest[:, None]], axis=1)
@@ -79,6 +96,7 @@ class Tree:
     def __init__(self, x: np.ndarray, top: float, leaf: int = LEAF, depth: int = 64):
         rng = np.random.default_rng(len(x))
         self.top, self.x = top, x
+        self.widest = float(np.abs(x).max()) if x.size else 0.0
         wide = _augmented(x, top)
         #: A node: (number of vantage, inner child with least and largest distance, outer child likewise), or the rows of a leaf.
         self.nodes: list[tuple | np.ndarray] = []
@@ -110,42 +128,25 @@ class Tree:
             grow(np.arange(len(x)), depth)
         self.vantages = np.array(vantages) if vantages else np.zeros((0, x.shape[1] + 1))
 
-    def far(self, q: np.ndarray) -> tuple[float, np.ndarray]:
-        """|q|^2 + M^2, and the distances of a query to all vantage points."""
-        whole = float(q @ q) + self.top
-        return whole, np.sqrt(np.maximum(whole - 2 * (self.vantages[:, :-1] @ q), 0))
+    def far(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """|q|^2 + M^2 of each query, and its distances to all vantage points."""
+        whole = (q * q).sum(1) + self.top
+        return whole, _away(whole[:, None], q @ self.vantages[:, :-1].T)
 
-    def nearest(self, view: "View", leaf_rows, low: int | None, high: int | None):
-        """(score, id, row) of accepted rows with low <= score <= high, by falling score and then id.
-
-        `leaf_rows(node)`: scores (falling, then by id), ids and numbers of a leaf's accepted rows.
-        """
-        if not self.nodes:
-            return
-        whole, away = view.whole, view.away
-        near = 0.0 if high is None else max(whole - 2.0 * high, 0.0) ** 0.5 - SLACK
-        rim = float("inf") if low is None else max(whole - 2.0 * low, 0.0) ** 0.5 + SLACK
-        # Nodes come before rows at the same distance, as they may hold a smaller id.
-        heap: list[tuple] = [(0.0, 0, 0, 0)]
-        while heap:
-            d, is_row, a, b = heapq.heappop(heap)
-            if is_row:
-                yield -b[0], a, b[1]
-                continue
-            node = self.nodes[a]
-            if isinstance(node, tuple):
-                dv = away[node[0]]
-                for child, lo, hi in node[1:]:
-                    least = max(d, lo - dv - SLACK, dv - hi - SLACK)
-                    if least <= rim and dv + hi >= near:
-                        heapq.heappush(heap, (least, 0, child, 0))
+    def reach(self, away: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The leaves, and the least and largest possible distance of each query to their rows."""
+        leaves, least, most = [], [], []
+        todo = [(0, np.zeros(len(away)), np.full(len(away), np.inf))] if self.nodes else []
+        while todo:
+            node, low, high = todo.pop()
+            if not isinstance(self.nodes[node], tuple):
+                leaves.append(node), least.append(low), most.append(high)
                 continue
-            scores, ids, rows = leaf_rows(a)
-            first = 0 if high is None else int(np.searchsorted(-scores, -high))
-            last = len(scores) if low is None else int(np.searchsorted(-scores, -low, side="right"))
-            for k in range(first, min(last, first + view.k)):
-                s = int(scores[k])
-                heapq.heappush(heap, (max(whole - 2.0 * s, 0.0) ** 0.5, 1, int(ids[k]), (-s, int(rows[k]))))
+            d = away[:, self.nodes[node][0]]
+            for child, lo, hi in self.nodes[node][1:]:
+                todo.append((child, np.maximum(low, np.maximum(lo - d, d - hi) - SLACK), np.minimum(high, d + hi)))
+        none = np.zeros((len(away), 0))
+        return leaves, np.stack(least, 1) if leaves else none, np.stack(most, 1) if leaves else none
 
     def cell_of(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The leaf's node of each row, and its distances to the vantage points above (`most` columns, NaN beyond)."""
@@ -177,24 +178,81 @@ class Tree:
 
 
 class View:
-    """What a query sees of a tree: distances to its vantage points, and the sorted scores of the leaves it has looked at."""
+    """What a run of queries (n, dim) sees of a tree; `accepted` (n, rows) are the rows that each may find. Rows are in the order of ids."""
 
     def __init__(self, tree: Tree, q: np.ndarray, ids: np.ndarray, accepted: np.ndarray, k: int):
-        self.tree, self.q, self.ids, self.accepted, self.k = tree, q, ids, accepted, k
-        self.whole, self.away = tree.far(q)
-        self.seen: dict[int, tuple] = {}
-
-    def leaf(self, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if node not in self.seen:
-            rows = self.tree.nodes[node]
-            rows = rows[self.accepted[rows]]
-            scores = _scores(self.tree.x[rows], self.q)
-            order = np.lexsort((self.ids[rows], -scores))
-            self.seen[node] = (scores[order], self.ids[rows][order], rows[order])
-        return self.seen[node]
+        self.tree, self.q, self.ids, self.k = tree, np.atleast_2d(q), ids, k
+        self.accepted = np.atleast_2d(accepted)
+        self.whole, away = tree.far(self.q)
+        self.leaves, self.least, self.most = tree.reach(away)
+        self.widest = tree.widest * (float(np.abs(self.q).max()) if self.q.size else 0.0)
+        #: Leaves that a query has looked at: (query, leaf).
+        self.seen: set[tuple[int, int]] = set()
 
     def best(self, low: int | None = None, high: int | None = None) -> list[tuple[int, int, int]]:
-        return list(islice(self.tree.nearest(self, self.leaf, low, high), self.k))
+        """(score, id, row) of the first query's best rows with low <= score <= high, by falling score and then id."""
+        n = len(self.q)
+        ask, score, row = self.nearest(np.full((n, 1), -OPEN if low is None else low), np.full((n, 1), OPEN if high is None else high))
+        return [(int(s), int(self.ids[r]), int(r)) for a, s, r in zip(ask, score, row) if a == 0]
+
+    def nearest(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ask, score and row of the k best rows of each ask, by ask, falling score and then id.
+
+        low, high: (n, asks) windows of scores, asks being numbered row by row. A window with low > high finds nothing.
+        """
+        whole = self.whole[:, None]
+        # Only a row before these, of a score or row number, is of use: the window's end, then the k-th best.
+        floor, floor_row = low.astype(np.int64), np.full(low.shape, len(self.tree.x))
+        near = np.where(high >= OPEN, 0, _away(whole, high) - SLACK)
+        # The place of each leaf in a query's order.
+        place = np.argsort(np.argsort(self.least, axis=1, kind="stable"), axis=1)
+        best, start, stop = [np.zeros(0, np.int64)] * 3, 0, 1
+        while start < len(self.leaves):
+            rim = np.where(floor <= -OPEN, np.inf, _away(whole, floor) + SLACK)
+            rim[low > high] = -np.inf
+            inside = (place >= start) & (place < stop) & (self.least <= rim.max(1, keepdims=True))
+            if not inside.any() and not (self.least <= rim.max(1, keepdims=True))[place >= stop].any():
+                break
+            pending = [best]
+            for leaf in np.flatnonzero(inside.any(0)):
+                at = np.flatnonzero(inside[:, leaf])
+                at = at[((self.least[at, leaf, None] <= rim[at]) & (self.most[at, leaf, None] >= near[at])).any(1)]
+                if not len(at):
+                    continue
+                self.seen.update((int(i), self.leaves[leaf]) for i in at)
+                rows = self.tree.nodes[self.leaves[leaf]]
+                step = max(LEAF, AT_ONCE // (len(at) * low.shape[1]))
+                for lo in range(0, len(rows), step):
+                    pending += self._found(at, rows[lo : lo + step], floor, floor_row, high)
+                    if sum(len(p[0]) for p in pending) > AT_ONCE:
+                        pending = [self._kept(pending, floor, floor_row)]
+            best = self._kept(pending, floor, floor_row)
+            start, stop = stop, 2 * stop
+        return tuple(best)
+
+    def _found(self, at: np.ndarray, rows: np.ndarray, floor: np.ndarray, floor_row: np.ndarray, high: np.ndarray) -> list[list[np.ndarray]]:
+        """For each ask of the queries `at`: asks, scores and numbers of the rows that may be among its best."""
+        scores = _products(self.tree.x[rows], self.q[at], self.widest)
+        i, r = np.nonzero(scores >= floor[at].min(1, keepdims=True).astype(scores.dtype))
+        scores, query, row = scores[i, r].astype(np.int64), at[i], rows[r]
+        ok = self.accepted[query, row] if len(self.accepted) > 1 else self.accepted[0, row]
+        scores, query, row = scores[ok], query[ok], row[ok]
+        out = []
+        for ask in range(high.shape[1]):
+            least = floor[query, ask]
+            ok = (scores <= high[query, ask]) & ((scores > least) | ((scores == least) & (row < floor_row[query, ask])))
+            out.append([query[ok] * high.shape[1] + ask, scores[ok], row[ok]])
+        return out
+
+    def _kept(self, found: list[list[np.ndarray]], floor: np.ndarray, floor_row: np.ndarray) -> list[np.ndarray]:
+        """The k best of each ask; `floor` and `floor_row` become the k-th."""
+        ask, score, row = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((row, -score, ask))
+        ask, score, row = ask[order], score[order], row[order]
+        rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
+        last = rank == self.k - 1
+        floor.flat[ask[last]], floor_row.flat[ask[last]] = score[last], row[last]
+        return [c[rank < self.k] for c in (ask, score, row)]
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -223,11 +281,14 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return out.select("vec_id", F.xxhash64("label", "vec").alias("key"), "label", "vec", "dim", "norm")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, off = buffers(column)
+    if (np.diff(off) == 4 * dim).all():
+        return data[off[0] : off[-1]].view("<i4").reshape(len(column), dim).astype(np.float64)
     out = np.zeros((len(column), dim))
-    for k, b in enumerate(column.to_pylist()):
-        own = np.frombuffer(b, "<i4")
-        out[k, : len(own)] = own
+    for k, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
+        out[k, : (hi - lo) // 4] = data[lo:hi].view("<i4")
     return out
 
 
@@ -275,24 +336,27 @@ _WANT = "pos_id long, pos_key long, pos_score long, low long"
 
 
 def _sent_to(anchors: DataFrame, cells: Cells, dim: int, k: int, window: tuple[int, int] | None) -> DataFrame:
-    """Anchors by cell that they must be searched in; with `window`, with the positives that ask for it."""
+    """Anchors by cell that they must be searched in, with the least score of use; with `window`, with the positives that ask for it."""
     shared = anchors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
         c: Cells = shared.value
+        step = max(1, AT_ONCE // max(1, len(c.ids)))
         for batch in batches:
             x = _matrix(batch.column(3), dim)
             at, cell, wants = [], [], []
+            whole_of, away = c.tree.far(x)
             for row in range(len(x)):
-                q, me, key, label = x[row], batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                whole, away = c.tree.far(q)
-                least, most = c.reach(away)
-                known = _scores(c.tree.x, q)
+                if row % step == 0:
+                    known_of = _products(c.tree.x, x[row : row + step])
+                known, whole, me, key, label = known_of[row % step], whole_of[row], batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
+                least, most = c.reach(away[row])
                 if window is None:
                     own = known[(c.labels == label) & ~((c.ids == me) & (c.keys == key))]
-                    rim = np.sqrt(max(whole - 2.0 * np.partition(own, -k)[-k], 0)) + SLACK if len(own) >= k else np.inf
+                    low = int(np.partition(own, -k)[-k]) if len(own) >= k else None
+                    rim = np.inf if low is None else _away(whole, low) + SLACK
                     for place in np.flatnonzero(least <= rim):
-                        at.append(row), cell.append(c.cells[place]), wants.append([])
+                        at.append(row), cell.append(c.cells[place]), wants.append([{"low": low}])
                     continue
                 other, asked = known[c.labels != label], [[] for _ in c.cells]
                 for p in batch.column(4)[row].as_py():
@@ -303,7 +367,7 @@ def _sent_to(anchors: DataFrame, cells: Cells, dim: int, k: int, window: tuple[i
                         low = int(np.partition(inside, -k)[-k])
                     if low > high:
                         continue
-                    near, rim = np.sqrt(max(whole - 2.0 * high, 0)) - SLACK, np.sqrt(max(whole - 2.0 * low, 0)) + SLACK
+                    near, rim = _away(whole, high) - SLACK, _away(whole, low) + SLACK
                     for place in np.flatnonzero((least <= rim) & (most >= near)):
                         asked[place].append({**p, "low": low})
                 for place, own in enumerate(asked):
@@ -316,8 +380,8 @@ def _sent_to(anchors: DataFrame, cells: Cells, dim: int, k: int, window: tuple[i
     return anchors.mapInArrow(run, f"{_ANCHOR}, cell long, wants array<struct<{_WANT.replace(' long', ': long')}>>")
 
 
-def _searched(rows: DataFrame, sent: DataFrame, parts: DataFrame, dim: int, top: float, k: int, chunk: int) -> DataFrame:
-    """For each anchor, block and want its k best rows; a want of none at all asks for rows of the anchor's label."""
+def _searched(rows: DataFrame, sent: DataFrame, parts: DataFrame, dim: int, top: float, k: int, chunk: int, same: bool) -> DataFrame:
+    """For each anchor, block and want its k best rows, of the anchor's label if `same` and of others if not."""
     sent = sent.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     sent = saved(sent, "anchors-sent")
     asked = sent.groupBy("cell", "part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
@@ -331,25 +395,21 @@ def _searched(rows: DataFrame, sent: DataFrame, parts: DataFrame, dim: int, top:
     def run(batches):
         block, held, tree = None, [], None
         for batch in batches:
-            out = []
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            asks = batch.column(3).to_numpy(zero_copy_only=False)
-            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or asks[i] != asks[i - 1]), len(names)]
+            if not len(batch):
+                continue
+            names = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
             for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                if names[lo] != block:
-                    block, held, tree = names[lo], [], None
-                piece = batch.slice(lo, hi - lo)
-                if not asks[lo]:
-                    held.append(piece)
+                if block != (name := tuple(names[lo, :3])):
+                    block, held, tree = name, [], None
+                if not names[lo, 3]:
+                    held.append(batch.slice(lo, hi - lo))
                     continue
                 if tree is None:
                     tree = _block(held, dim, top)
                     held = []
-                for row, q in enumerate(_matrix(piece.column(7), dim)):
-                    out += _answers(*tree, q, *(piece.column(i)[row].as_py() for i in (4, 5, 6, 8)), k)
-            yield pa.RecordBatch.from_pylist(out, pa.schema([(c.split()[0], pa.int64()) for c in _FOUND.split(", ")]))
+                for at in range(lo, hi, RUN):
+                    yield _answers(*tree, batch.slice(at, min(RUN, hi - at)), dim, k, same)
 
     return dealt.mapInArrow(run, _FOUND)
 
@@ -368,15 +428,25 @@ def _block(held: list[pa.RecordBatch], dim: int, top: float) -> tuple[Tree, np.n
     return Tree(_matrix(pieces["vec"].filter(pa.array(new)), dim), top), ids[new], keys[new], pieces["label"].to_numpy()[new]
 
 
-def _answers(tree: Tree, ids, keys, labels, q, me: int, key: int, label: int, wants: list[dict], k: int) -> list[dict]:
-    same = not wants
-    accepted = (labels == label) & ~((ids == me) & (keys == key)) if same else labels != label
-    view = View(tree, q, ids, accepted, k)
-    out = []
-    for w in wants or [{"pos_id": None, "pos_key": None, "pos_score": None, "low": None}]:
-        for score, found, row in view.best(w["low"], w["pos_score"]):
-            out.append({"vec_id": me, "key": key, "pos_id": w["pos_id"], "pos_key": w["pos_key"], "pos_score": w["pos_score"], "found_id": found, "found_key": int(keys[row]), "score": score})
-    return out
+def _answers(tree: Tree, ids, keys, labels, asking: pa.RecordBatch, dim: int, k: int, same: bool) -> pa.RecordBatch:
+    """What a run of queries finds in a block."""
+    me, key, label = (asking.column(i).to_numpy() for i in (4, 5, 6))
+    wants = asking.column(8)
+    of = np.repeat(np.arange(len(me)), wants.value_lengths().to_numpy())
+    wants = wants.flatten()
+    first = np.searchsorted(of, of)
+    ask = np.arange(len(of)) - first
+    shape = (len(me), int(ask.max(initial=0)) + 1)
+    low, high, want = np.full(shape, OPEN), np.full(shape, -OPEN), np.full(shape, -1)
+    low[of, ask] = wants.field("low").fill_null(-OPEN).to_numpy()
+    high[of, ask] = wants.field("pos_score").fill_null(OPEN).to_numpy()
+    want[of, ask] = np.arange(len(of))
+    accepted = labels == label[:, None]
+    accepted = accepted & ~((ids == me[:, None]) & (keys == key[:, None])) if same else ~accepted
+    found, score, row = View(tree, _matrix(asking.column(7), dim), ids, accepted, k).nearest(low, high)
+    query, where = found // shape[1], pa.array(want.ravel()[found])
+    positive = [wants.field(c).take(where) for c in ("pos_id", "pos_key", "pos_score")]
+    return pa.RecordBatch.from_arrays([pa.array(me[query]), pa.array(key[query]), *positive, pa.array(ids[row]), pa.array(keys[row]), pa.array(score)], [c.split()[0] for c in _FOUND.split(", ")])
 
 
 def mine(vectors: DataFrame, anchors, positives: int = 5, negatives: int = 5, window: tuple[int, int] = (80, 100), scale: int = 256, max_sample: int = 16_384, max_cells: int = 1024, cell_rows: int = 4096, block: int | None = None, chunk: int = 16_384) -> DataFrame:
@@ -414,12 +484,12 @@ def mine(vectors: DataFrame, anchors, positives: int = 5, negatives: int = 5, wi
     asking = saved(placed.filter(anchors).select("vec_id", "key", "label", "vec").dropDuplicates(["vec_id", "key"]), "anchors")
     best = lambda keys: Window.partitionBy(*keys).orderBy(F.desc("score"), "found_id", "found_key")
     own = ["vec_id", "key"]
-    near = _searched(dealt, _sent_to(asking, cells, dim, positives, None), parts, dim, top, positives, chunk)
+    near = _searched(dealt, _sent_to(asking, cells, dim, positives, None), parts, dim, top, positives, chunk, True)
     near = near.withColumn("rank", F.row_number().over(best(own))).filter(F.col("rank") <= positives)
     # At most `positives` a row.
     lists = near.groupBy(*own).agg(F.collect_list(F.struct(F.col("found_id").alias("pos_id"), F.col("found_key").alias("pos_key"), F.col("score").alias("pos_score"))).alias("found"))
     again = saved(asking.join(lists, own).select("vec_id", "key", "label", "vec", "found"), "anchors-found")
-    hard = _searched(dealt, _sent_to(again, cells, dim, negatives, window), parts, dim, top, negatives, chunk)
+    hard = _searched(dealt, _sent_to(again, cells, dim, negatives, window), parts, dim, top, negatives, chunk, False)
     hard = hard.withColumn("rank", F.row_number().over(best([*own, "pos_id", "pos_key"]))).filter(F.col("rank") <= negatives)
     out = saved(hard.select(F.col("vec_id").alias("anchor_id"), F.col("pos_id").alias("positive_id"), "rank", F.col("found_id").alias("negative_id"), F.col("pos_score").alias("positive_score"), F.col("score").alias("negative_score")), "negatives")
     discard(rows, placed, asking, again)

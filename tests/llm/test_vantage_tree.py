@@ -84,3 +84,32 @@ def test_query_matches_sql(spark):
     want = con.execute(f"SELECT {', '.join(KEEP)} FROM ({queries.NEGATIVES_SQL})").fetchall()
     got = queries.op12_vantage_tree(spark, sf).select(*KEEP).collect()
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 50
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_run_of_queries_shares_the_products_of_a_leaf(monkeypatch, wide):
+    """Equal rows, labels and windows: the same as brute force, in as many products as leaves and rounds need."""
+    rng = np.random.default_rng(5)
+    x = np.floor(300 * rng.normal(size=(1500, 12)))
+    x[400:900] = x[400]
+    # Products of wide components pass 2^53.
+    x = x * 2.0**19 if wide else x
+    labels, at = rng.integers(0, 3, 1500), np.arange(0, 1500, 5)
+    s = np.array([[sum(int(a) * int(b) for a, b in zip(x[q], x[r])) for r in range(0, 1500, 7)] for q in at[:5]])
+    assert (vantage_tree._products(x, x[at])[:5, ::7] == s).all()
+    calls, whole = [], vantage_tree._products
+    monkeypatch.setattr(vantage_tree, "_products", lambda *a: calls.append(a) or whole(*a))
+    monkeypatch.setattr(vantage_tree, "AT_ONCE", 4096)
+    tree = vantage_tree.Tree(x, float((x * x).sum(1).max()), 64)
+    view = vantage_tree.View(tree, x[at], np.arange(1500), labels == labels[at][:, None], 4)
+    scores = x.astype(np.int64) @ x[at].astype(np.int64).T
+    tops = np.sort(scores, axis=0)[::-1][[3, 40]].T
+    low, high = np.stack([tops[:, 1], tops[:, 0] + 1, np.full(300, -vantage_tree.OPEN)], 1), np.stack([tops[:, 0], tops[:, 0], np.full(300, vantage_tree.OPEN)], 1)
+    got = list(zip(*(c.tolist() for c in view.nearest(low, high))))
+    want = []
+    for n, q in enumerate(at):
+        for w in range(3):
+            ok = [r for r in range(1500) if labels[r] == labels[q] and low[n, w] <= scores[r, n] <= high[n, w]]
+            want += [(3 * n + w, int(scores[r, n]), r) for r in sorted(ok, key=lambda r: (-scores[r, n], r))[:4]]
+    assert got == want and len(want) > 2000
+    assert len(calls) < 300
