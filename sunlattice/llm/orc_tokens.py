@@ -14,8 +14,9 @@ them, which is the order that a table was written in.
 Words are encoded once and remembered: pieces between ASCII white space never
 share a token in this tokenizer, so a text's ids are those of its pieces. A piece
 of Latin letters, digits and marks is cut into words by the tokenizer's own
-pattern, and each word goes to its model alone; any other piece goes through the
-whole tokenizer. The memory for that is bounded by about three times `words_kept`
+pattern (one of letters alone is a word), and each word goes to its model alone; any
+other piece goes through the whole tokenizer. A piece is looked up once for each time
+it occurs, and marks that end pieces are found over the bytes of many texts at once. The memory for that is bounded by about three times `words_kept`
 pieces and their words in each Python worker, which keeps it from task to task.
 
 A null text is empty: its only id is the end id. Equal doc_ids stand in order of
@@ -29,9 +30,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterable
 from functools import cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,11 @@ from pyspark.sql import functions as F
 
 from sunlattice.llm.common import buffers, prepare, shared_dir, tidy
 
-#: ASCII marks after an ASCII letter or digit, up to the end of the piece.
-_TAIL = re.compile(rb"(?<=[a-z0-9])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
+#: Kinds of bytes, in lower case: letters and digits, other printable ASCII, white space, and the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 2
+_KIND[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = 1
+_KIND[[0x20, *range(0x09, 0x0E)]] = 3
 
 #: Characters whose normal form, lower case and class are the same in every library (no marks that combine, no sigma).
 _LATIN = re.compile(r"[\x21-\x7e\u00a1-\u024f\u2010-\u2027]+")
@@ -55,9 +57,24 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = dict(zip(sorted(set(range(256)) - set(_PRINTED)), range(256, 512)))
 
+#: Packers of a few ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
 SCHEMA = "doc_id long, part string, at long, n_tokens long, ids array<int>"
 
 
+class _Known(dict):
+    """The ids of pieces; one that is missing is learnt where it is looked up."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
@@ -69,59 +86,69 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_kept = words_kept
         #: What is known, and what was before that: words still in use move over, the rest is forgotten.
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = _Known(self._learn)
         self.before: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        again = words & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        odd = []
-        for w in words - again:
-            s = w.decode()
-            if "<|" not in s and (s.isascii() and s.isprintable() or _LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s)):
-                self.known[w] = b"".join(map(self._word, _WORDS.findall(s.lower())))
-            else:
-                odd.append((w, s))
-        for i in range(0, len(odd), 512):
-            part = odd[i : i + 512]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch([s for _, s in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one word of the pattern, in lower case."""
+    def _learn(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is not None:
+            return ids
+        s = piece.decode()
+        if "<|" not in s and (s.isascii() and s.isprintable() or _LATIN.fullmatch(s) and unicodedata.is_normalized("NFC", s)):
+            s = s.lower()
+            return self._word(s) if s.isalpha() else b"".join(map(self._part, _WORDS.findall(s)))
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, word: str) -> bytes:
+        """The ids of one word of a piece, in lower case."""
         key = word.encode()
         ids = self.known.get(key)
         if ids is None:
-            tokens = self.model.tokenize(word if word.isascii() else key.decode("latin-1").translate(_BYTES))
-            ids = self.known[key] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            ids = self.known[key] = self._word(word)
         return ids
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        """White-space pieces in lower case, with marks that end a word on their own.
+    def _word(self, word: str) -> bytes:
+        """The ids that the model gives one word of the pattern."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def pieces(self, texts: list[bytes]) -> list[list[bytes]]:
+        """White-space pieces of each text in lower case, with marks that end a word on their own.
 
         The tokenizer does both itself; done here, fewer different pieces are
         left to encode. Texts that may hold special tokens stay as they are.
         """
-        return text.split() if b"<|" in text else _TAIL.sub(rb" \1", text.lower()).split()
+        plain = [b"" if b"<|" in t else t for t in texts]
+        data = np.frombuffer(b" %b " % b" ".join(plain).lower(), np.uint8)
+        kind = _KIND[data]
+        mark = kind == 2
+        edges = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+        first, after = edges[::2], edges[1::2]
+        # Marks after an ASCII letter or digit, up to the end of the piece.
+        cut = first[(kind[first - 1] == 1) & (kind[after] == 3)]
+        ends = np.cumsum([len(t) + 1 for t in plain])
+        starts = np.concatenate([[1], ends[:-1] + 1])
+        spaced = np.insert(data, cut, 0x20).tobytes()
+        starts, ends = starts + np.searchsorted(cut, starts), ends + np.searchsorted(cut, ends)
+        return [spaced[lo:hi].split() if t is p else t.split() for t, p, lo, hi in zip(texts, plain, starts.tolist(), ends.tolist())]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. What a call adds to the memory is bounded by taking long texts in runs."""
-        out = [self.pieces(t) for t in texts]
+        if not texts:
+            return []
+        out = self.pieces(texts)
         if sum(map(len, out)) <= self.words_kept:
-            self._know(chain.from_iterable(out))
+            self._forget()
             return [b"".join(map(self.known.__getitem__, w)) for w in out]
         return [b"".join(self._run(w[i : i + self.words_kept]) for i in range(0, len(w), self.words_kept)) for w in out]
 
     def _run(self, words: list[bytes]) -> bytes:
-        self._know(words)
+        self._forget()
         return b"".join(map(self.known.__getitem__, words))
 
-    def _know(self, words: Iterable[bytes]) -> None:
+    def _forget(self) -> None:
         if len(self.known) > self.words_kept:
-            self.known, self.before = {}, self.known
-        missing = set(filterfalse(self.known.__contains__, words))
-        if missing:
-            self._learn(missing)
+            self.known, self.before = _Known(self._learn), self.known
 
 
 @cache

@@ -78,3 +78,28 @@ def test_pieces_have_the_ids_of_the_whole_tokenizer():
     for kept in (300_000, 50):
         encoder = Encoder(tokenizer_path(), kept)
         assert [ids for i in range(0, len(rows), 100) for ids in encoder.encode([r.encode() for r in rows[i : i + 100]])] == want
+
+
+def test_pieces_of_many_texts_are_found_at_once_and_learnt_once():
+    """As a pattern finds them text by text: marks beside the ends of texts, other white space, special tokens, empty texts."""
+    import random
+    import re
+
+    from tokenizers import Tokenizer
+
+    from sunlattice.llm.orc_tokens import Encoder
+
+    tail = re.compile(rb"(?<=[a-z0-9])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("aZ9.,!<|>'é\x1c\x7f \t\n\x0b", k=draw.randint(0, 12))).encode() for _ in range(5000)]
+    texts += [b"", b"ab.", b".", b"ab<|endoftext|>C.", b"x" * 70 + b"!"]
+    encoder, learnt = Encoder(tokenizer_path()), []
+    want = [t.split() if b"<|" in t else tail.sub(rb" \1", t.lower()).split() for t in texts]
+    assert encoder.pieces(texts) == want
+    learn = encoder.known.learn
+    encoder.known.learn = lambda piece: learnt.append(piece) or learn(piece)
+    got = encoder.encode(texts)
+    assert encoder.encode(texts) == got and encoder.encode([]) == []
+    assert len(learnt) == len(set(learnt)) and set(learnt) <= {p for w in want for p in w}
+    whole = Tokenizer.from_file(tokenizer_path())
+    assert [len(ids) // 4 for ids in got] == [len(whole.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
