@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,77 @@ def segment_samples(segments: DataFrame, step: float) -> DataFrame:
     return rows.select("id", "k", "len", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
 
 
+def flow_cells(segments: DataFrame, step: float, top: float, res: float) -> DataFrame:
+    """i, j, flow: flows of segments (id, flow, ax, ay, bx, by), a row each, summed over the cells at their samples and the eight around each.
+
+    A segment counts once a cell. Samples are those of `segment_samples`, cells are
+    (top - y) / res and x / res, at nine decimals, cut to whole numbers. Cells along
+    a straight line only move on in each axis, so a sample's new cells are those
+    that the sample before does not reach, and no row of a segment leaves its task.
+    """
+    ends = ["ax", "ay", "bx", "by"]
+    whole = F.lit(True)
+    for c in ends:
+        whole = whole & F.col(c).isNotNull()
+
+    def cell(v: np.ndarray) -> np.ndarray:
+        return np.trunc(np.copysign(np.floor(np.abs(v * 1e9) + 0.5), v) / 1e9).astype(np.int64)
+
+    def sums(i: np.ndarray, j: np.ndarray, w: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        i0, j0 = i.min(), j.min()
+        high, wide = int(i.max() - i0) + 1, int(j.max() - j0) + 1
+        if high * wide <= 1 << 22:
+            at, n = (i - i0) * wide + (j - j0), high * wide
+            ci, cj = np.arange(n) // wide + i0, np.arange(n) % wide + j0
+        else:
+            (ci, cj), at = np.unique(np.stack([i, j]), axis=1, return_inverse=True)
+            at, n = at.reshape(-1), len(ci)
+        flow, seen, valued = np.bincount(at, w, n), np.zeros(n, bool), np.zeros(n, bool)
+        seen[at], valued[at[known]] = True, True
+        return pa.RecordBatch.from_arrays([pa.array(ci[seen]), pa.array(cj[seen]), pa.array(flow[seen], mask=~valued[seen])], ["i", "j", "flow"])
+
+    def run(batches, most: int = 1 << 19):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            flow = np.where(known, batch.column(0).to_numpy(zero_copy_only=False), 0.0)
+            ax, ay, dx, dy = (batch.column(k).to_numpy() for k in range(1, 5))
+            dx, dy = dx - ax, dy - ay
+            length = np.sqrt(dx * dx + dy * dy)
+            if not np.isfinite(length).all():
+                raise ValueError("segments must have finite ends")
+            n = np.maximum(2, np.trunc(length / step).astype(np.int64) + 1)
+            end = np.cumsum(n)
+            for lo in range(0, int(end[-1]), most):
+                # One sample more in front, for the cells that it has already.
+                flat = np.arange(max(lo - 1, 0), min(lo + most, int(end[-1])))
+                row = np.searchsorted(end, flat, side="right")
+                k = flat - (end - n)[row]
+                t = k / (n[row] - 1)
+                i, j = cell((top - (ay[row] + t * dy[row])) / res), cell((ax[row] + t * dx[row]) / res)
+                di, dj = np.diff(i, prepend=i[0]), np.diff(j, prepend=j[0])
+                fresh = k == 0
+                moves = (fresh | (di != 0) | (dj != 0)) & (flat >= lo)
+                i, j, di, dj, fresh, row = i[moves], j[moves], di[moves], dj[moves], fresh[moves], row[moves]
+                found = []
+                for a in (-1, 0, 1):
+                    for b in (-1, 0, 1):
+                        new = np.flatnonzero(fresh | (np.abs(di + a) > 1) | (np.abs(dj + b) > 1))
+                        found.append((i[new] + a, j[new] + b, row[new]))
+                i, j, row = (np.concatenate(c) for c in zip(*found))
+                if len(i):
+                    yield sums(i, j, flow[row], known[row])
+
+    parts = segments.filter(whole).select(*[F.col(c).cast("double") for c in ("flow", *ends)]).mapInArrow(run, "i long, j long, flow double")
+    # Rows that lack a place, by the cells that they have.
+    lacking = segments.filter(~whole)
+    at = segment_samples(lacking, step).select("id", F.round((top - F.col("y")) / res, 9).cast("long").alias("i"), F.round(F.col("x") / res, 9).cast("long").alias("j"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    wide = at.withColumn("o", around).select("id", (F.col("i") + F.col("o.i")).alias("i"), (F.col("j") + F.col("o.j")).alias("j")).distinct()
+    return parts.union(wide.join(lacking.select("id", "flow"), "id").select("i", "j", F.col("flow").cast("double"))).groupBy("i", "j").agg(F.sum("flow").alias("flow"))
+
+
 def stamp_crowns(plants: DataFrame, res: float) -> DataFrame:
     """i, j, top, bottom of crowns (x, y, h, crown): ellipsoids on cells, highest top and lowest bottom.
 

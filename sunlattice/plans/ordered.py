@@ -35,12 +35,7 @@ d AS (SELECT DISTINCT id, flow, i + di AS i, j + dj AS j FROM c, generate_series
 SELECT i, j, round(sum(flow), 4) AS flow FROM d GROUP BY ALL""")
 def flow_raster(spark, sf_dir):
     """Flows of street segments on the cells along them and next to those; a segment counts once a cell."""
-    seg = _segments(spark, sf_dir)
-    s = raster.segment_samples(seg, 1.2)
-    cells = s.select("id", F.round((90 - F.col("y")) / 1.5, 9).cast("long").alias("i"), F.round(F.col("x") / 1.5, 9).cast("long").alias("j")).distinct()
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    wide = cells.withColumn("o", around).select("id", (F.col("i") + F.col("o.i")).alias("i"), (F.col("j") + F.col("o.j")).alias("j")).distinct()
-    return wide.join(seg.select("id", "flow"), "id").groupBy("i", "j").agg(F.round(F.sum("flow"), 4).alias("flow"))
+    return raster.flow_cells(_segments(spark, sf_dir), 1.2, 90.0, 1.5).select("i", "j", F.round("flow", 4).alias("flow"))
 
 
 @query("""WITH g AS (SELECT s_suppkey * 17 % 90 AS i, s_suppkey * 23 % 70 AS j FROM supplier), c AS (SELECT j, min(i) AS first, max(i) AS last, row_number() OVER (ORDER BY j) AS k FROM g GROUP BY j)
