@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from sunlattice.operators import spatial
+from sunlattice.operators import sites, spatial
 from sunlattice.session import with_checkpoints
 
 NAN = float("nan")
@@ -83,3 +83,14 @@ def test_points_at_one_place_make_no_pairs(spark):
     assert spatial.undominated(df, 5.0, 3.0).count() == 66_667
     assert {tuple(r) for r in spatial.nearest_within(df, samples, 1.0).selectExpr("id % 3", "rid", "d2").distinct().collect()} == {(k, k, 0.0) for k in range(3)}
     assert time.perf_counter() - began < 60
+
+
+def test_plants_at_one_place_make_no_pairs(spark):
+    with_checkpoints(spark)
+    began = time.perf_counter()
+    many = spark.range(60_000).selectExpr("id", "0.0D AS x", "1.0D AS y")
+    census = many.selectExpr("*", "id % 5 * 1.0D AS h", "3.0D AS crown")
+    mapped = spark.createDataFrame([(7, 40.0, 1.0, None, None, True), (8, 40.0, 1.0, 5.0, None, None)], "id long, x double, y double, h double, crown double, evergreen boolean")
+    got = sites.merged_plants(mapped, census, many.selectExpr("id", "x + 3.75D AS x", "y"), many.selectExpr("id", "x + id % 2 * 12 AS x", "y"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 7, 40.0, 1.0, 3.0, 3.0, True), (1, 0, 0.0, 1.0, 3.0, 3.0, False), (2, 0, 3.75, 1.0, 3.0, 3.0, False), (3, 1, 12.0, 1.0, 3.0, 3.0, False)]
+    assert time.perf_counter() - began < 60
