@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,22 +44,28 @@ def cluster_named(stops: DataFrame, radius: float) -> DataFrame:
     dealt = placed.repartition("name").sortWithinPartitions("name", "id").select("id", "name", "x", "y")
 
     def run(frames):
-        name, found = run, []  # no name is equal to a function
+        name, found, xs, ys = run, [], array("d"), array("d")  # no name is equal to a function
         for pdf in frames:
             of = []
             for r in pdf.itertuples(index=False):
                 own = r.name if isinstance(r.name, str) else None
                 if own != name:
-                    name, found = own, []
-                for c in found:
-                    if math.hypot(c[1] - r.x, c[2] - r.y) < radius:
-                        c[3] += 1
-                        c[1] += (r.x - c[1]) / c[3]
-                        c[2] += (r.y - c[2]) / c[3]
+                    name, found, xs, ys = own, [], array("d"), array("d")
+                # A look at all centres at once, a little wide, then the exact one at those near in their order.
+                near = range(len(found))
+                if len(found) > 32:
+                    near = np.flatnonzero((np.frombuffer(xs) - r.x) ** 2 + (np.frombuffer(ys) - r.y) ** 2 < radius * radius * (1 + 1e-9)).tolist()
+                for k in near:
+                    c = found[k]
+                    if math.hypot(xs[k] - r.x, ys[k] - r.y) < radius:
+                        c[1] += 1
+                        xs[k] += (r.x - xs[k]) / c[1]
+                        ys[k] += (r.y - ys[k]) / c[1]
                         break
                 else:
-                    c = [r.id, r.x, r.y, 1]
+                    c = [r.id, 1]
                     found.append(c)
+                    xs.append(r.x), ys.append(r.y)
                 of.append(c[0])
             yield pd.DataFrame({"id": pdf["id"], "name": pdf["name"], "cluster": of, "x": pdf["x"], "y": pdf["y"]})
 

@@ -88,22 +88,22 @@ def walk_origins(stops: DataFrame, extent: tuple[float, float, float, float], sp
         if mode in ("tram", "bus"):
             of = sequences.cluster_named(of, merge).select(F.col("cluster").alias("id"), "name", "x", "y")
         of = spatial.undominated(of.withColumn("d", away).filter(F.col("d") < cutoff).checkpoint(), radius, gain)
-        if mode == "metro":
-            doors = stops.filter("kind = 'metro_entrance'").select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-            near = spatial.near_join(of.select("id", "x", "y"), doors, entrance, inclusive=False).select("id", "rx", "ry")
-            n = near.groupBy("id").agg(F.count("*").alias("n"))
-            of = of.join(n, "id", "left").join(near, "id", "left").select("id", "name", F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"), F.coalesce("n", F.lit(1)).alias("n"))
-        else:
-            of = of.select("id", "name", "x", "y", F.lit(1).cast("long").alias("n"))
-        of = of.withColumn("mode", F.lit(mode))
+        of = of.select(F.lit(mode).alias("mode"), "id", "name", "x", "y")
         parts = of if parts is None else parts.unionByName(of)
     parts = parts.checkpoint()
+    # Pairs of places, with the number of doors at one: rows a stop and door are made last and not shuffled.
+    spots = stops.filter("kind = 'metro_entrance'").groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.count("*").alias("doors"))
+    near = spatial.near_join(parts.filter("mode = 'metro'").select("x", "y").distinct(), spots, entrance, inclusive=False).drop("d2")
+    near = near.groupBy("x", "y").agg(F.collect_list(F.struct("rx", "ry", "doors")).alias("near"), F.sum("doors").alias("n")).withColumn("mode", F.lit("metro"))
     share = F.create_map(*[F.lit(v) for kv in split.items() for v in kv])
     # A row a mode.
     sizes = parts.groupBy("mode").agg(F.count_distinct("id").alias("stops")).withColumn("share", share[F.col("mode")])
     total = sizes.agg(F.sum("share").alias("total")).withColumn("one", F.lit(1))
     sizes = sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    return parts.join(F.broadcast(sizes), "mode").select("mode", "name", "x", "y", (F.col("share") / F.col("total") / F.col("stops") / F.col("n")).alias("w"))
+    rows = parts.join(near, ["mode", "x", "y"], "left").join(F.broadcast(sizes), "mode")
+    rows = rows.select("mode", "name", "x", "y", (F.col("share") / F.col("total") / F.col("stops") / F.coalesce("n", F.lit(1))).alias("w"), F.explode_outer("near").alias("near"))
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("near.doors", F.lit(1)))))
+    return rows.select("mode", "name", F.coalesce("near.rx", "x").alias("x"), F.coalesce("near.ry", "y").alias("y"), "w")
 
 
 def walk_destinations(buildings: DataFrame, entrances: DataFrame, extent: tuple[float, float, float, float], excluded: list[tuple[float, float, float]] = ()) -> DataFrame:

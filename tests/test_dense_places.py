@@ -5,6 +5,7 @@ import statistics
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from sunlattice.operators import sites, spatial
 from sunlattice.session import with_checkpoints
@@ -94,3 +95,15 @@ def test_plants_at_one_place_make_no_pairs(spark):
     got = sites.merged_plants(mapped, census, many.selectExpr("id", "x + 3.75D AS x", "y"), many.selectExpr("id", "x + id % 2 * 12 AS x", "y"))
     assert sorted(tuple(r) for r in got.collect()) == [(0, 7, 40.0, 1.0, 3.0, 3.0, True), (1, 0, 0.0, 1.0, 3.0, 3.0, False), (2, 0, 3.75, 1.0, 3.0, 3.0, False), (3, 1, 12.0, 1.0, 3.0, 3.0, False)]
     assert time.perf_counter() - began < 60
+
+
+def test_stops_and_doors_at_one_place_make_no_pairs(spark):
+    """The pairs of stops, 4 x 10^8 a place, would take long; doors at one place count each."""
+    with_checkpoints(spark)
+    began = time.perf_counter()
+    metro = spark.range(60_000).selectExpr("id", "'metro' AS kind", "'m' AS name", "id % 3 * 100.0D AS x", "0.0D AS y")
+    doors = spark.createDataFrame([(70_000, 3.0), (70_001, 3.0), (70_002, 0.0)], "id long, x double").selectExpr("id", "'metro_entrance' AS kind", "CAST(NULL AS string) AS name", "x", "0.0D AS y")
+    got = sites.walk_origins(metro.union(doors), (-1.0, 1.0, -1.0, 1.0), {"metro": 1.0}, cutoff=150.0, radius=90.0, gain=5.0, entrance=4.0)
+    found = {(r.x, r.y): (r.n, r.w) for r in got.groupBy("x", "y").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
+    assert found == {(3.0, 0.0): (40_000, pytest.approx(1 / 3)), (0.0, 0.0): (20_000, pytest.approx(1 / 6)), (100.0, 0.0): (20_000, pytest.approx(0.5))}
+    assert time.perf_counter() - began < 60
