@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,78 +41,192 @@ def largest_component(edges: DataFrame) -> DataFrame:
 class Rows:
     """A graph as arrays: the edges of each node one behind the other. Nodes are numbered in the order of their ids."""
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, cost: np.ndarray):
-        self.nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = ends[: len(u)], ends[len(u) :]
-        from_, to, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([cost, cost])
-        order = np.argsort(from_, kind="stable")
-        self.first, self.to, self.cost = np.searchsorted(from_[order], np.arange(len(self.nodes) + 1)), to[order], both[order]
-
-    def paths(self, source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the nodes reached in the order of their distance, the distances and the nodes before them (-1 at the source).
-
-        A heap holds (distance, that of the node before, node before, node): of equal
-        costs the predecessor nearer to the source wins, then the lower one.
+    def __init__(self, columns: list[np.ndarray]):
+        """columns: ends and cost of the edges; the list is emptied, so that they can go as soon as they are read."""
+        u, v, cost = columns
+        columns.clear()
+        if np.isnan(cost).any():
+            known = ~np.isnan(cost)
+            u, v, cost = u[known], v[known], cost[known]
+        # Sorted in place: sets of numbers take several times their memory.
+        ends = np.concatenate([u, v])
+        ends.sort()
+        self.nodes = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
+        del ends
+        # Edges fit a task's memory, so numbers are short.
+        a = np.searchsorted(self.nodes, u).astype(np.int32)
+        del u
+        b = np.searchsorted(self.nodes, v).astype(np.int32)
+        del v
+        from_ = np.concatenate([a, b])
+        order = np.argsort(from_, kind="stable").astype(np.int32)
+        self.first = np.zeros(len(self.nodes) + 1, np.int64)
+        np.cumsum(np.bincount(from_, minlength=len(self.nodes)), out=self.first[1:])
+        del from_
+        self.to = np.concatenate([b, a])[order]
+        order[order >= len(cost)] -= len(cost)
+        self.cost = cost[order]
+        self.width = float(cost.mean()) if len(cost) else 0.0
+
+    def _edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many edges each of the nodes has, and the numbers of all these edges."""
+        n = self.first[nodes + 1] - self.first[nodes]
+        return n, np.arange(n.sum()) + np.repeat(self.first[nodes] - np.cumsum(n) + n, n)
+
+    def costs(self, source: int, run: int = 1 << 20) -> np.ndarray:
+        """Least cost of each node; NaN where it isn't reached.
+
+        Nodes whose cost has fallen pass it on together, those up to a limit first; it
+        rises by the mean cost of an edge once there are none.
         """
-        first, to, cost = self.first, self.to, self.cost
-        settled: set[int] = set()
-        least: dict[int, float] = {}
-        out, heap = [], [(0.0, 0.0, -1, source)]
-        while heap:
-            d, _, prev, node = heapq.heappop(heap)
-            if node in settled:
-                continue
-            settled.add(node)
-            out.append((node, d, prev))
-            lo, hi = first[node], first[node + 1]
-            for v, c in zip(to[lo:hi].tolist(), cost[lo:hi].tolist()):
-                if v not in settled and d + c <= least.get(v, d + c):
-                    least[v] = d + c
-                    heapq.heappush(heap, (d + c, d, node, v))
-        node, dist, prev = zip(*out)
-        return np.array(node), np.array(dist), np.array(prev)
+        dist = np.full(len(self.nodes), np.nan)
+        changed = np.zeros(len(dist), bool)
+        dist[source], limit = 0.0, 0.0
+        front, far = np.array([source]), []
+
+        def each(found: list[np.ndarray]) -> np.ndarray:
+            if sum(map(len, found)) < len(changed) >> 6:
+                return np.unique(np.concatenate(found))
+            for x in found:
+                changed[x] = True
+            out = np.flatnonzero(changed)
+            changed[out] = False
+            return out
+
+        while len(front):
+            upto, lo, fallen = np.cumsum(self.first[front + 1] - self.first[front]), 0, []
+            while lo < len(front):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + run, side="right")))
+                n, at = self._edges(front[lo:hi])
+                to, d = self.to[at], np.repeat(dist[front[lo:hi]], n) + self.cost[at]
+                less = ~(d >= dist[to])
+                fallen.append(to[less])
+                np.fmin.at(dist, fallen[-1], d[less])
+                lo = hi
+            to = each(fallen)
+            near = dist[to] <= limit
+            front = to[near]
+            far.append(to[~near].astype(np.int32))
+            if not len(front):
+                wait = each(far)
+                wait = wait[dist[wait] > limit]
+                if len(wait):
+                    limit = dist[wait].min() + self.width
+                near = dist[wait] <= limit
+                front, far = wait[near], [wait[~near].astype(np.int32)]
+        return dist
+
+    def paths(self, source: int, run: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the nodes reached, the distances, the nodes before them and the edges to those (-1 at the source).
+
+        Of equal costs the predecessor nearer to the source wins, then the lower one.
+        Nodes that only edges without cost lead to, from nodes as far, are settled
+        after the others of their distance, so that routes make no circles.
+        """
+        dist = self.costs(source)
+        prev, edge = np.full(len(dist), -1, np.int32), np.full(len(dist), -1, np.int32)
+        none, lo = np.iinfo(np.int32).max, 0
+        while lo < len(dist):
+            hi = max(lo + 1, int(np.searchsorted(self.first, self.first[lo] + run, side="right")) - 1)
+            begin, end = self.first[lo], self.first[hi]
+            starts, n = self.first[lo:hi] - begin, np.diff(self.first[lo : hi + 1])
+            to, own = self.to[begin:end], np.repeat(dist[lo:hi], n)
+            before = dist[to]
+            fits = (before < own) & (before + self.cost[begin:end] == own)
+            fits &= before == np.repeat(np.minimum.reduceat(np.where(fits, before, np.inf), starts), n)
+            least = np.minimum.reduceat(np.where(fits, to, none), starts)
+            fits &= to == np.repeat(least, n)
+            at = np.minimum.reduceat(np.where(fits, np.arange(end - begin), end - begin), starts)
+            found = least < none
+            prev[lo:hi][found], edge[lo:hi][found] = least[found], at[found] + begin
+            lo = hi
+        left = np.flatnonzero((prev < 0) & ~np.isnan(dist))
+        loose = set(left[left != source].tolist())
+        if loose:
+            level = lambda v: ((k, int(self.to[k])) for k in range(self.first[v], self.first[v + 1]) if dist[self.to[k]] == dist[v] == dist[v] + self.cost[k])
+            back = {(u, v): k for v in loose for k, u in reversed(list(level(v)))}
+            heap = [(dist[v], u, v) for u, v in back if u not in loose]
+            heapq.heapify(heap)
+            while heap:
+                d, u, v = heapq.heappop(heap)
+                if v in loose:
+                    loose.discard(v)
+                    prev[v], edge[v] = u, back[u, v]
+                    for _, w in level(v):
+                        if w in loose:
+                            heapq.heappush(heap, (d, v, w))
+        node = np.flatnonzero(~np.isnan(dist))
+        return node, dist[node], prev[node], edge[node]
 
 
 _PATHS = "source long, node long, dist double, prev long"
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_edges: int = 1 << 21) -> DataFrame:
+def _known(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Whole edges (a, b, cost), written out, different sources and the number of edges."""
+    known = edges.filter("a is not null and b is not null and cost is not null").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double")).checkpoint()
+    size = known.agg(F.count("*").alias("n"), F.min("cost").alias("least")).first()
+    if size.n and size.least < 0:
+        raise ValueError("costs must not be negative")
+    return known, sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct(), size.n
+
+
+def _searched(known: DataFrame, starts: DataFrame, size: int, search, schema: str) -> DataFrame:
+    """What search(graph, sources) yields in each task: sources are dealt evenly, the graph is shuffled to as many tasks as run at once.
+
+    Neither passes through the driver.
+    """
+    starts = starts.checkpoint()
+    session = known.sparkSession
+    parts = max(1, min(starts.count(), session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    part = (F.row_number().over(Window.orderBy("source")) % parts).cast("int")
+    none = F.lit(None).cast("long")
+    copies = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = copies.select("part", "a", "b", "cost", none.alias("source")).union(starts.select(part.alias("part"), none, none, F.lit(None).cast("double"), "source"))
+
+    def run(batches):
+        columns, at, sources = [np.empty(size, np.int64), np.empty(size, np.int64), np.empty(size)], 0, []
+        for batch in batches:
+            sources.extend(batch.column(4).drop_null().to_pylist())
+            batch = batch.filter(batch.column(1).is_valid())
+            for k, column in enumerate(columns):
+                column[at : at + batch.num_rows] = batch.column(k + 1).to_numpy()
+            at += batch.num_rows
+        if sources:
+            yield from search(Rows(columns), sources)
+
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_edges: int = 1 << 23) -> DataFrame:
     """source, node, dist, prev from each different source over undirected edges (a, b, cost of 0 or more).
 
     Of equal costs the predecessor that is nearer to the source, then the lower
     one, is kept. A graph of at most `max_edges` edges (its size is counted) is
-    sent to the workers as arrays, and each source is one search with a heap there,
+    dealt to tasks, each of which holds it as arrays and searches from its sources,
     so the work follows sources x edges and not the length of routes. A larger
     graph is walked by rounds of joins (`relaxed_paths`), with the same rows.
 
     A source without edges reaches itself. Null sources and edges with a null end
     or cost are left out; a negative cost is an error. No sources give no rows.
     """
-    known = edges.filter("a is not null and b is not null and cost is not null").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double"))
-    size = known.agg(F.count("*").alias("n"), F.min("cost").alias("least")).first()
-    if size.n and size.least < 0:
-        raise ValueError("costs must not be negative")
-    starts = sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct()
-    if size.n > max_edges:
+    known, starts, size = _known(edges, sources)
+    if size > max_edges:
         return relaxed_paths(known, starts)
-    table = known.toArrow()
-    graph = edges.sparkSession.sparkContext.broadcast(Rows(*(table[c].to_numpy() for c in ("a", "b", "cost"))))
 
-    def run(batches):
-        g = graph.value
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                at = int(np.searchsorted(g.nodes, source))
-                if at == len(g.nodes) or g.nodes[at] != source:
-                    yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([source]), pa.array([0.0]), pa.array([None], pa.int64())], ["source", "node", "dist", "prev"])
-                    continue
-                node, dist, prev = g.paths(at)
-                before = pa.array(g.nodes[prev], mask=prev < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), source)), pa.array(g.nodes[node]), pa.array(dist), before], ["source", "node", "dist", "prev"])
-
-    # A search takes long for its few bytes: sources are dealt by number.
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return starts.repartition(parts, "source").mapInArrow(run, _PATHS)
+    def search(g, sources, run: int = 1 << 18):
+        names = ["source", "node", "dist", "prev"]
+        for source in sources:
+            at = int(np.searchsorted(g.nodes, source))
+            if at == len(g.nodes) or g.nodes[at] != source:
+                yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([source]), pa.array([0.0]), pa.array([None], pa.int64())], names)
+                continue
+            node, dist, prev, _ = g.paths(at)
+            for lo in range(0, len(node), run):
+                own, before = node[lo : lo + run], prev[lo : lo + run]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), source)), pa.array(g.nodes[own]), pa.array(dist[lo : lo + run]), pa.array(g.nodes[before], mask=before < 0)], names)
+
+    return _searched(known, starts, size, search, _PATHS)
 
 
 def relaxed_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
