@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -158,6 +159,27 @@ class Rows:
         node = np.flatnonzero(~np.isnan(dist))
         return node, dist[node], prev[node], edge[node]
 
+    def add_flows(self, flow: np.ndarray, node: np.ndarray, prev: np.ndarray, edge: np.ndarray, w: np.ndarray) -> None:
+        """Adds the weights of trips to the nodes of a tree of paths to the flow of the edges they take, from its far ends."""
+        at = np.full(len(self.nodes), -1, np.int32)
+        at[node] = np.arange(len(node))
+        up = np.where(prev >= 0, at[prev], -1)
+        # Ancestors twice as far each time count how deep a node is.
+        deep, over = (up >= 0).astype(np.int32), up.copy()
+        while True:
+            some = np.flatnonzero(over >= 0)
+            if not len(some):
+                break
+            deep[some] += deep[over[some]]
+            over[some] = over[over[some]]
+        order = np.argsort(deep, kind="stable")
+        ends = np.cumsum(np.bincount(deep))
+        w = w.copy()
+        for k in range(len(ends) - 1, 0, -1):
+            own = order[ends[k - 1] : ends[k]]
+            np.add.at(w, up[own], w[own])
+            flow[edge[own]] += w[own]
+
 
 _PATHS = "source long, node long, dist double, prev long"
 
@@ -229,6 +251,33 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_edges: int = 1 << 2
     return _searched(known, starts, size, search, _PATHS)
 
 
+def routed_flows(edges: DataFrame, sources: DataFrame, weight: Callable, max_edges: int = 1 << 23) -> DataFrame:
+    """a, b, flow: `edge_flows` of the shortest paths from the sources, with a trip to each node reached.
+
+    weight(node) is a trip's weight, of a column or of an array of nodes. Trees are
+    added up where they are searched: only sums an edge and task are shuffled.
+    """
+    known, starts, size = _known(edges, sources)
+    if size > max_edges:
+        paths = relaxed_paths(known, starts).checkpoint()
+        return edge_flows(paths, paths.select("source", "node", weight(F.col("node")).alias("w")))
+
+    def search(g, sources, run: int = 1 << 18):
+        flow = np.zeros(len(g.to))
+        for source in sources:
+            at = int(np.searchsorted(g.nodes, source))
+            if at < len(g.nodes) and g.nodes[at] == source:
+                node, _, prev, edge = g.paths(at)
+                g.add_flows(flow, node, prev, edge, np.asarray(weight(g.nodes[node]), float))
+        used = np.flatnonzero(flow)
+        for lo in range(0, len(used), run):
+            k = used[lo : lo + run]
+            a, b = g.nodes[np.searchsorted(g.first, k, side="right") - 1], g.nodes[g.to[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(flow[k])], ["a", "b", "w"])
+
+    return _searched(known, starts, size, search, "a long, b long, w double").groupBy("a", "b").agg(F.sum("w").alias("flow"))
+
+
 def relaxed_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """The rows of `shortest_paths` by rounds that relax the edges of what has changed, for graphs of any size."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "cost").union(edges.select("b", "a", "cost")).checkpoint()

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunlattice.operators import graph
@@ -49,6 +50,18 @@ def test_arrays_settle_as_a_heap_does(costs):
             assert np.array_equal(rows.costs(s, 1), rows.costs(s), equal_nan=True)
 
 
+@pytest.mark.parametrize("most", [1 << 23, 3])
+def test_flows_of_trees_match_those_of_paths(spark, most):
+    with_checkpoints(spark)
+    e = spark.createDataFrame(some_edges(5, 60, 90, [1.0, 2.0, 2.5]), EDGES)
+    sources = spark.createDataFrame([(0,), (7,), (7,), (12,), (999,), (None,)], "source long")
+    paths = graph.shortest_paths(e, sources).checkpoint()
+    want = {(r.a, r.b): pytest.approx(r.flow) for r in graph.edge_flows(paths, paths.select("source", "node", (F.col("node") % 3).alias("w"))).collect()}
+    got = {(r.a, r.b): r.flow for r in graph.routed_flows(e, sources, lambda node: node % 3, most).collect()}
+    assert got == want
+    assert graph.routed_flows(e.limit(0), sources, lambda node: node, most).count() == graph.routed_flows(e, sources.limit(0), lambda node: node, most).count() == 0
+
+
 def test_graphs_do_not_pass_through_the_driver(spark, monkeypatch):
     with_checkpoints(spark)
     for name in ("toArrow", "toPandas"):
@@ -56,3 +69,4 @@ def test_graphs_do_not_pass_through_the_driver(spark, monkeypatch):
     edges = spark.range(200_000).selectExpr("id AS a", "(id * 7 + 1) % 200000 AS b", "1.0D AS cost")
     sources = spark.range(3).selectExpr("id AS source")
     assert graph.shortest_paths(edges, sources).agg(F.max("dist")).count() == 1
+    assert isinstance(graph.routed_flows(edges, sources, lambda node: 1.0 + node % 2), DataFrame)
